@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_boxes"]
+MODULES = ["q_boxes", "q_scalars"]
 
 
 def load_all() -> None:
