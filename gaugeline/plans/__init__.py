@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_boxes", "q_scalars"]
+MODULES = ["q_boxes", "q_scalars", "q_matching"]
 
 
 def load_all() -> None:

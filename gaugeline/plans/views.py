@@ -72,10 +72,16 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Measured objects of both sides; positions from the boxes."""
-    return boxes(spark, sf).select(
+    """Measured objects of both sides; positions and numbers from the boxes of a run."""
+    from pyspark.sql import Window
+
+    down = Window.partitionBy("run_id", "side").orderBy("yc", "box_id")
+    ranked = boxes(spark, sf).repartition("run_id").withColumn("tube_idx", F.row_number().over(down))
+    return ranked.select(
         "run_id", "side",
         F.col("box_id").alias("id"),
+        "tube_idx",
+        (F.col("tube_idx") - 1).alias("source_order"),
         (F.abs(F.col("xc") - 610.0) / 5.0).alias("distance_in"),
         (F.col("xc") - 610.0).alias("offset_px"),
         F.when(F.col("side") == "152", F.when(F.col("xc") < 610.0, "after").otherwise("before")).alias("relative_position"),
@@ -88,6 +94,24 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def run_number(column: str = "run_id"):
+    return F.substring_index(F.col(column), ".", 1).cast("bigint")
+
+
+def datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """One header per run and side: bounds, source, image size and crop, some missing."""
+    n = run_number()
+    span = boxes(spark, sf).groupBy("run_id", "side").agg(F.min("yc").alias("lo"), F.max("yc").alias("hi"))
+    crop = lambda v: F.when(n % 4 == 0, F.lit(float(v)))
+    return span.select(
+        "run_id", "side",
+        F.when(n % 3 != 0, F.col("lo") - 20.0).alias("bounds_top"), F.when(n % 3 != 0, F.col("hi") + 20.0).alias("bounds_bottom"),
+        F.when(n % 2 == 0, "yolo_pipe_end").otherwise("classic").alias("detection_source"),
+        F.when(n % 5 != 0, F.lit(float(WIDTH))).alias("image_w"), F.when(n % 5 != 0, F.lit(float(HEIGHT))).alias("image_h"),
+        crop(10).alias("roi_x"), crop(20).alias("roi_y"), crop(WIDTH).alias("roi_w"), crop(HEIGHT).alias("roi_h"),
+    )
+
+
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Short value series: one per user, or several where a user has very many events."""
     from pyspark.sql import Window
@@ -121,13 +145,21 @@ VIEWS: dict[str, str] = {
              (SELECT l_partkey, CAST(ceil(count(*) / 64.0) AS BIGINT) AS n_frames
               FROM lineitem GROUP BY 1 HAVING count(*) > 64) USING (l_partkey))""",
     "v_items": """
-  SELECT run_id, side, box_id AS id, abs(xc - 610.0::DOUBLE) / 5.0::DOUBLE AS distance_in,
+  SELECT run_id, side, box_id AS id, CAST(row_number() OVER (PARTITION BY run_id, side ORDER BY yc, box_id) AS INTEGER) AS tube_idx,
+         CAST(row_number() OVER (PARTITION BY run_id, side ORDER BY yc, box_id) - 1 AS INTEGER) AS source_order, abs(xc - 610.0::DOUBLE) / 5.0::DOUBLE AS distance_in,
          xc - 610.0::DOUBLE AS offset_px,
          CASE WHEN side = '152' THEN CASE WHEN xc < 610.0 THEN 'after' ELSE 'before' END END AS relative_position,
          l_returnflag <> 'A' AS active, (l_linestatus = 'F' AND l_linenumber = 7) AS unmatched,
          CASE WHEN l_linenumber = 1 THEN 'check' ELSE '' END AS notes,
          yc AS y_center, h AS box_height, 610.0::DOUBLE AS ref_x
   FROM v_boxes""",
+    "v_datasets": """
+  SELECT run_id, side, n, CASE WHEN n % 3 <> 0 THEN lo - 20.0::DOUBLE END AS bounds_top, CASE WHEN n % 3 <> 0 THEN hi + 20.0::DOUBLE END AS bounds_bottom,
+         CASE WHEN n % 2 = 0 THEN 'yolo_pipe_end' ELSE 'classic' END AS detection_source,
+         CASE WHEN n % 5 <> 0 THEN 1280.0::DOUBLE END AS image_w, CASE WHEN n % 5 <> 0 THEN 1536.0::DOUBLE END AS image_h,
+         CASE WHEN n % 4 = 0 THEN 10.0::DOUBLE END AS roi_x, CASE WHEN n % 4 = 0 THEN 20.0::DOUBLE END AS roi_y,
+         CASE WHEN n % 4 = 0 THEN 1280.0::DOUBLE END AS roi_w, CASE WHEN n % 4 = 0 THEN 1536.0::DOUBLE END AS roi_h
+  FROM (SELECT run_id, side, CAST(split_part(run_id, '.', 1) AS BIGINT) AS n, min(yc) AS lo, max(yc) AS hi FROM v_boxes GROUP BY ALL)""",
     "v_profile": """
   SELECT series, row_number() OVER (PARTITION BY series ORDER BY ts, event_id) - 1 AS idx, value
   FROM (SELECT e.*, user_id::VARCHAR || '.' || coalesce(event_id % n_strips, 0)::VARCHAR AS series
@@ -138,7 +170,7 @@ VIEWS: dict[str, str] = {
   SELECT *, lead(yc) OVER (PARTITION BY img ORDER BY yc, box_id) - yc AS gap FROM v_boxes""",
 }
 
-NEEDS = {"v_items": ["v_boxes"], "v_gaps": ["v_boxes"]}
+NEEDS = {"v_items": ["v_boxes"], "v_gaps": ["v_boxes"], "v_datasets": ["v_boxes"]}
 
 
 def sql(names: str, body: str, recursive: bool = False) -> str:
