@@ -169,7 +169,7 @@ def isolated_clusters(boxes: DataFrame, spacing: DataFrame | None = None, **limi
     min_gap = limits.get("min_gap_px", K.CLUSTER_MIN_GAP_PX)
     image, order = whole_image(), top_down()
     gap = F.col("yc") - F.lag("yc").over(order)
-    tall = F.coalesce(F.median(positive(F.col("h"))).over(image), F.lit(1.0))
+    tall = F.coalesce(F.median(positive(F.col("h"))).over(image), F.lit(limits.get("default_height", 1.0)))
     rows = boxes.withColumns(
         {"_gap": gap, "_tall": tall, "_n": F.count(F.lit(1)).over(image)}
     )
@@ -195,7 +195,7 @@ def isolated_clusters(boxes: DataFrame, spacing: DataFrame | None = None, **limi
     best = F.max(F.struct(F.col("_size"), (-F.col("_cluster")).alias("c"))).over(image)
     rows = rows.withColumn("_best", best)
     keep = (
-        (F.col("_n") < max(4, min_size + 1))
+        (F.col("_n") < limits.get("unchanged_below", max(4, min_size + 1)))
         | (F.col("_size") >= max(1, min_size))
         | ((F.col("_best")["_size"] < max(1, min_size)) & (F.col("_cluster") == -F.col("_best")["c"]))
     )

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_boxes", "q_scalars", "q_matching"]
+MODULES = ["q_boxes", "q_scalars", "q_matching", "q_statistics"]
 
 
 def load_all() -> None:
