@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_boxes", "q_scalars", "q_matching", "q_statistics"]
+MODULES = ["q_boxes", "q_scalars", "q_matching", "q_statistics", "q_recovery"]
 
 
 def load_all() -> None:
