@@ -23,8 +23,17 @@ def pack(boxes: DataFrame, name: str = "boxes") -> DataFrame:
     return boxes.groupBy(*IMAGE).agg(F.collect_list(F.struct(*FIELDS)).alias(name))
 
 
+def explode_boxes(packed: DataFrame, array, *others) -> DataFrame:
+    """Rows (keys, b) of an array of boxes.
+
+    A plain explode makes the optimizer test the array for being empty below the
+    projections that compute it, and so copy every fold into a filter.
+    """
+    return packed.select(*IMAGE, *others, F.explode_outer(array).alias("b")).filter(F.col("b").isNotNull())
+
+
 def unpack(packed: DataFrame, name: str = "boxes") -> DataFrame:
-    return packed.select(*IMAGE, F.explode(name).alias("b")).select(*IMAGE, "b.*")
+    return explode_boxes(packed, name).select(*IMAGE, "b.*")
 
 
 def top_down() -> object:

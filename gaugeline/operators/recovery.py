@@ -278,8 +278,8 @@ def split_oversize(boxes: DataFrame, separators: DataFrame) -> DataFrame:
         ),
     )
     whole = F.array(F.struct(*FIELDS))
-    return marked.withColumn("_b", F.explode(F.coalesce(parts, whole))).select(
-        *IMAGE, F.col("_spans").isNotNull().alias("was_split"), "_b.*"
+    return B.explode_boxes(marked, F.coalesce(parts, whole), F.col("_spans").isNotNull().alias("was_split")).select(
+        *IMAGE, "was_split", "b.*"
     )
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_boxes", "q_scalars", "q_matching", "q_statistics", "q_recovery"]
+MODULES = ["q_boxes", "q_scalars", "q_matching", "q_statistics", "q_recovery", "q_profiles"]
 
 
 def load_all() -> None:

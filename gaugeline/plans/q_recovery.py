@@ -28,7 +28,7 @@ def rows(spark, sf):
 
 
 def found(df):
-    shown = df.select("img", F.explode("found").alias("b"))
+    shown = B.explode_boxes(df, "found")
     return shown.select(
         "img", F.col("b.box_id").alias("box_id"), *[r6(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2", "conf")],
         F.array_join("b.flags", "|").alias("flags"),
