@@ -11,7 +11,7 @@ PREFIX = 4
 def hash_rank(df: DataFrame, key: str, seed: int, groups: list[str], name: str = "rank") -> DataFrame:
     """Rank rows of each group (or of the whole table) in a seeded random order.
 
-    The order is md5(seed:key), key.  The first digits of the hash split a group into
+    Adds the rank and the ``total`` of the group.  The order is md5(seed:key), key.  The first digits of the hash split a group into
     65,536 even buckets; counts of the buckets give every bucket its first rank.
     """
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn(
@@ -19,7 +19,10 @@ def hash_rank(df: DataFrame, key: str, seed: int, groups: list[str], name: str =
     )
     sizes = hashed.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*groups, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    whole = Window.partitionBy(*groups)
+    starts = sizes.select(
+        *groups, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("total")
+    )
     inside = Window.partitionBy(*groups, "_b").orderBy("_h", key)
     return (
         hashed.withColumn("_r", F.row_number().over(inside))
