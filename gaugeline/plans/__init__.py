@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_boxes", "q_scalars", "q_matching", "q_statistics", "q_recovery", "q_profiles", "q_datasets"]
+MODULES = ["q_boxes", "q_scalars", "q_matching", "q_statistics", "q_recovery", "q_profiles", "q_datasets", "q_catalogue"]
 
 
 def load_all() -> None:
