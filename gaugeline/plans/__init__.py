@@ -2,7 +2,9 @@
 
 import importlib
 
-MODULES = ["q_boxes", "q_scalars", "q_matching", "q_statistics", "q_recovery", "q_profiles", "q_datasets", "q_catalogue"]
+MODULES = [
+    "q_boxes", "q_scalars", "q_matching", "q_statistics", "q_recovery", "q_profiles", "q_datasets", "q_catalogue", "q_calibration",
+]
 
 
 def load_all() -> None:

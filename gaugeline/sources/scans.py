@@ -256,7 +256,7 @@ def load_calibrations(spark: SparkSession, root: str) -> DataFrame:
     typed = files.filter(F.lower("path").rlike(r"\.(toml|json)$")).select("path", "content").mapInPandas(_read_calibrations, CALIBRATION)
     names = [c for c in typed.columns if c != "stem"]
     best = typed.groupBy("stem").agg(F.max_by(F.struct(*names), "is_toml").alias("c"))
-    return best.select(F.regexp_extract("stem", r"([^/]+)$", 1).alias("cal_id"), "c.*").drop("is_toml")
+    return best.select(relative(F.col("stem"), root).alias("cal_id"), "c.*").drop("is_toml")
 
 
 def calibration_rows(calibrations: DataFrame, kind: str) -> DataFrame:
