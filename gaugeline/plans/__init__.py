@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = [
-    "q_boxes", "q_scalars", "q_matching", "q_statistics", "q_recovery", "q_profiles", "q_datasets", "q_catalogue", "q_calibration",
+    "q_boxes", "q_scalars", "q_matching", "q_statistics", "q_recovery", "q_profiles", "q_datasets", "q_catalogue", "q_calibration", "q_streaming",
 ]
 
 
