@@ -17,6 +17,11 @@ def intersection(a, b) -> Column:
     return F.greatest(F.lit(0.0), width) * F.greatest(F.lit(0.0), height)
 
 
+def touching(a, b) -> Column:
+    """Whether two boxes share any area; a cheap test ahead of the ratios."""
+    return (a["y2"] > b["y1"]) & (a["y1"] < b["y2"]) & (a["x2"] > b["x1"]) & (a["x1"] < b["x2"])
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole <= 1e-6, F.lit(0.0)).otherwise(part / F.greatest(whole, F.lit(1e-6)))
 

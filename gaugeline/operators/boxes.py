@@ -57,7 +57,7 @@ def drop_containers(
     """Remove boxes that cover most of several smaller boxes."""
 
     def covers(big):
-        return lambda small: (G.area(big) > G.area(small)) & (
+        return lambda small: G.touching(big, small) & (G.area(big) > G.area(small)) & (
             G.intersection(big, small) / F.greatest(G.area(small), F.lit(1.0)) >= ratio
         )
 
@@ -72,7 +72,7 @@ def suppress_overlaps(boxes: Column, limit: float = K.OVERLAP_LIMIT) -> Column:
 
     def step(kept, ranked_box):
         box = ranked_box["b"]
-        clash = F.exists(kept, lambda other: G.overlap_over_smaller(other, box) > limit)
+        clash = F.exists(kept, lambda other: G.touching(other, box) & (G.overlap_over_smaller(other, box) > limit))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(box)))
 
     first = F.transform(F.slice(ranked, 1, 1), lambda s: s["b"])
