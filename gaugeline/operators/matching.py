@@ -84,7 +84,15 @@ def bundle_slots(ordered: DataFrame, datasets: DataFrame) -> DataFrame:
     top, bottom = F.col("bounds_top"), F.col("bounds_bottom")
     tall = F.when(bottom - top > 1e-6, bottom - top)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (bottom - F.col("y_center")) / tall))
-    rows = ordered.join(datasets.select(*SIDE, "bounds_top", "bounds_bottom"), SIDE, "left").withColumn("share", share)
+    # one row per run, so that the join keeps the partitioning by run
+    interval = F.struct("bounds_top", "bounds_bottom")
+    per_run = datasets.groupBy("run_id").agg(
+        F.max(F.when(F.col("side") == "151", interval)).alias("_151"), F.max(F.when(F.col("side") == "152", interval)).alias("_152")
+    )
+    own = F.when(F.col("side") == "151", F.col("_151")).otherwise(F.col("_152"))
+    rows = ordered.join(per_run, "run_id", "left").withColumns(
+        {"bounds_top": own["bounds_top"], "bounds_bottom": own["bounds_bottom"]}
+    ).drop("_151", "_152").withColumn("share", share)
     rows = rows.withColumn("_whole", F.bool_and(F.col("share").isNotNull()).over(side)).filter("_whole")
     upward = side.orderBy("share", "place")
     rows = rows.withColumn("_gap", positive(F.col("share") - F.lag("share").over(upward)))

@@ -12,6 +12,7 @@ from gaugeline.plans import q_boxes, views
 from gaugeline.plans.q_scalars import reference_table
 from gaugeline.plans.registry import mid, query, r6
 from gaugeline.plans.views import NEEDS, VIEWS, sql
+from gaugeline.session import cut_lineage
 
 SIDE = "PARTITION BY run_id, side"
 
@@ -120,6 +121,11 @@ def ordered(spark, sf):
     return P.active_order(P.by_run(views.items(spark, sf)))
 
 
+def slots(spark, sf):
+    """Chosen slots, written once: the pairing needs them both as sets and as rows."""
+    return cut_lineage(P.chosen_slots(cut_lineage(ordered(spark, sf)), views.datasets(spark, sf)))
+
+
 def matched(spark, sf):
     return P.match_runs(views.items(spark, sf), views.datasets(spark, sf))
 
@@ -156,7 +162,7 @@ def bundle_slots(spark, sf):
 
 @query("e9_best_slot_offset", sql("v_slots", f'SELECT * FROM {offsets("v_slots")}'))
 def best_slot_offset(spark, sf):
-    return P.best_slot_offset(P.chosen_slots(ordered(spark, sf), views.datasets(spark, sf)))
+    return P.best_slot_offset(slots(spark, sf))
 
 
 VIEWS["v_slot_sets"] = """
@@ -180,7 +186,7 @@ ROW = "run_id, tube_number, match_status, id_151, id_152"
 
 @query("e7_slot_match", sql("v_slot_rows", f"SELECT {ROW} FROM v_slot_rows"))
 def slot_match(spark, sf):
-    return P.slot_match(P.chosen_slots(ordered(spark, sf), views.datasets(spark, sf))).select(*ROW.split(", "))
+    return P.slot_match(slots(spark, sf)).select(*ROW.split(", "))
 
 
 @query("e8_order_match", sql("v_order_rows", f"SELECT {ROW} FROM v_order_rows"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.session import cut_lineage
+
 FRAME_BOXES = 64
 STRIP_ROWS = 256
 WIDTH = 1280
@@ -20,18 +22,28 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def frames(df: DataFrame, key: str, spread, limit: int, name: str) -> DataFrame:
-    """Adds a frame number: 0 for keys within the limit, spread evenly beyond it.
+BROADCAST_KEYS = 500_000
+_crowded: dict[tuple, DataFrame] = {}
+
+
+def crowded_keys(df: DataFrame, key: str, limit: int, source: str) -> DataFrame:
+    """Keys beyond the limit and how many frames each needs.
 
-    Only keys beyond the limit reach the join; adaptive execution broadcasts them when
-    their measured size allows and splits skewed join partitions when it does not.
+    Counted once per session and table from the key column alone and kept in the shared
+    folder.  The stored list is broadcast only after its length was checked; a longer one
+    is joined by shuffle, where adaptive execution splits skewed partitions.
     """
-    crowded = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > limit)
-        .select(key, F.ceil(F.col("_n") / F.lit(float(limit))).alias("_frames"))
-    )
+    name = (df.sparkSession.sparkContext.applicationId, source, key, limit)
+    if name not in _crowded:
+        counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+        stored = cut_lineage(counted.select(key, F.ceil(F.col("_n") / F.lit(float(limit))).alias("_frames")))
+        _crowded[name] = F.broadcast(stored) if stored.count() <= BROADCAST_KEYS else stored
+    return _crowded[name]
+
+
+def frames(df: DataFrame, key: str, spread, limit: int, name: str, source: str) -> DataFrame:
+    """Adds a frame number: 0 for keys within the limit, spread evenly beyond it."""
+    crowded = crowded_keys(df.select(key), key, limit, source)
     return (
         df.join(crowded, key, "left")
         .withColumn(name, F.coalesce(F.pmod(spread, F.col("_frames")), F.lit(0)).cast("bigint"))
@@ -51,7 +63,7 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
     yc = F.col("l_extendedprice") / F.lit(70.0)
     run = F.concat(F.floor(F.col("l_partkey") / F.lit(2.0)).cast("bigint").cast("string"), F.lit("."), F.col("frame").cast("string"))
     side = F.when(F.col("l_partkey") % 2 == 0, "151").otherwise("152")
-    return frames(items, "l_partkey", spread, FRAME_BOXES, "frame").select(
+    return frames(items, "l_partkey", spread, FRAME_BOXES, "frame", sf).select(
         run.alias("run_id"),
         side.alias("side"),
         F.concat(run, F.lit("/"), side).alias("img"),
@@ -118,7 +130,7 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 
     events = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
     series = F.concat_ws(".", F.col("user_id").cast("string"), F.col("strip").cast("string"))
-    named = frames(events, "user_id", F.col("event_id"), STRIP_ROWS, "strip").withColumn("series", series)
+    named = frames(events, "user_id", F.col("event_id"), STRIP_ROWS, "strip", sf).withColumn("series", series)
     order = Window.partitionBy("series").orderBy("ts", "event_id")
     return named.select(
         "series", (F.row_number().over(order) - 1).cast("bigint").alias("idx"), F.col("value")

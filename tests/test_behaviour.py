@@ -179,7 +179,7 @@ def test_exact_median_of_a_hot_group(spark, n):
 
 def test_hot_part_is_spread_over_frames(spark):
     rows = spark.range(3000).selectExpr("if(id % 3 > 0, 7, id) AS part", "id")
-    framed = views.frames(rows, "part", F.col("id"), 64, "frame").groupBy("part", "frame").count()
+    framed = views.frames(rows, "part", F.col("id"), 64, "frame", "test_hot_part").groupBy("part", "frame").count()
     assert framed.agg(F.max("count")).first()[0] <= 128 and framed.agg(F.sum("count")).first()[0] == 3000
 
 
