@@ -117,7 +117,13 @@ def movement_sequence(raw: Column) -> Column:
 
 def parse_iso_utc(text: Column) -> Column:
     """ISO text to a UTC timestamp; text without an offset is UTC; bad text is null."""
-    return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
+    clean = F.trim(text)
+    zoned = (
+        F.when(F.length(clean) == 10, F.concat(clean, F.lit("T00:00:00Z")))
+        .when(clean.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), clean)
+        .otherwise(F.concat(clean, F.lit("Z")))
+    )
+    return F.when(clean != "", F.try_to_timestamp(zoned))
 
 
 def hour_label(text: Column) -> Column:

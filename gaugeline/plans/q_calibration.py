@@ -272,7 +272,23 @@ def load_calibrations(spark, sf):
     )
 
 
-@query("b29_marker_positions")
+INVERSE = {
+    "g11": "h22 * h33 - h23 * h32", "g12": "h13 * h32 - h12 * h33", "g13": "h12 * h23 - h13 * h22", "g21": "h23 * h31 - h21 * h33", "g22": "h11 * h33 - h13 * h31",
+    "g23": "h13 * h21 - h11 * h23", "g31": "h21 * h32 - h22 * h31", "g32": "h12 * h31 - h11 * h32", "g33": "h11 * h22 - h12 * h21",
+}
+BX = "round(round_even(greatest(0.0, least(1599.0, (g11 * {0} + g12 * {1} + g13) / (g31 * {0} + g32 * {1} + g33))), 3), 3)"
+BY = "round(round_even(greatest(0.0, least(1199.0, (g21 * {0} + g22 * {1} + g23) / (g31 * {0} + g32 * {1} + g33))), 3), 3)"
+
+
+@query("b29_marker_positions", sql("v_items v_hom", f"""
+WITH m AS (SELECT CASE WHEN k % 2 = 0 THEN '151' ELSE '152' END AS side, {', '.join(f'arg_min({h}, k) AS {h}' for h in A.MATRIX)} FROM v_hom GROUP BY 1),
+g AS (SELECT side, {', '.join(f'{text} AS {name}' for name, text in INVERSE.items())} FROM m),
+p AS (SELECT *, 610.0::DOUBLE + offset_px AS cx, CASE tube_idx % 4 WHEN 0 THEN 611.0::DOUBLE + offset_px WHEN 1 THEN 609.0::DOUBLE + offset_px
+        WHEN 2 THEN ((590.0::DOUBLE + offset_px) + (630.0::DOUBLE + offset_px)) * 0.5 ELSE CASE WHEN side = '152' THEN ref_x ELSE 610.0::DOUBLE + offset_px END END AS vx,
+        CASE WHEN tube_idx % 4 = 2 THEN ((y_center - 9.0::DOUBLE) + (y_center + 9.0::DOUBLE)) * 0.5 ELSE y_center END AS vy FROM v_items)
+SELECT run_id, side, tube_idx AS tube_number, tube_idx, {BX.format('vx', 'vy')} AS x, {BY.format('vx', 'vy')} AS y,
+       CASE tube_idx % 4 WHEN 0 THEN 'refined_pipe_end' WHEN 1 THEN 'yolo_box_center' WHEN 2 THEN 'box_xyxy_center' ELSE CASE WHEN side = '152' THEN 'legacy_ref_fallback' ELSE 'legacy_calc_fallback' END END AS visual_source,
+       {BX.format('cx', 'y_center')} AS calc_x, {BX.format('ref_x', 'y_center')} AS ref_x FROM p JOIN g USING (side)"""))
 def marker_positions(spark, sf):
     """Markers of all measured items; the homography of each side is one of the fitted ones."""
     every = views.items(spark, sf)

@@ -207,3 +207,55 @@ def test_as_of_with_a_hot_key(spark):
         mine = [(mt, p, st) for kk, st, mt, p in exports if kk == k]
         before = [x for x in mine if x[2] <= at]
         assert got[i] == max(before or mine)[1]
+
+
+def plain_runs(peaks, low, high):
+    best = []
+    for i in range(len(peaks)):
+        run = [peaks[i]]
+        for p in peaks[i + 1 :]:
+            if p - run[-1] > high:
+                break
+            if p - run[-1] >= low:
+                run.append(p)
+        if len(run) > len(best):
+            best = run
+    return best
+
+
+def plain_walk(run, peaks, period, unit, sign):
+    """Steps of one period; snap to a peak nearby, else the profile must support the place."""
+    pos = 0.55 * (len(unit) - 1)
+    ordered = sorted(unit)
+    cut = max(0.16, ordered[int(pos)] + (pos - int(pos)) * (ordered[min(len(unit) - 1, math.ceil(pos))] - ordered[int(pos)]))
+    reach, apart, at, out = max(5, round(0.4 * period)), max(10, round(0.55 * period)), run[0] if sign < 0 else run[-1], []
+    while True:
+        guess = round(at + sign * period)
+        if guess < 0 or guess > len(unit) - 1:
+            return out
+        near = [p for p in peaks if abs(p - guess) <= reach]
+        place = min(near, key=lambda p: (abs(p - guess), p)) if near else (guess if unit[guess] >= cut else None)
+        if place is None or sign * (place - at) < apart:
+            return out
+        out.append(place)
+        at = place
+
+
+def test_runs_and_extension_equal_plain_loops(spark):
+    rng = random.Random(8)
+    cases = []
+    for n in range(30):
+        peaks = sorted(rng.sample(range(5, 395), rng.randrange(6, 18)))
+        cases.append((f"s{n}", peaks, float(rng.randrange(14, 30)), [rng.random() for _ in range(400)]))
+    rows = spark.createDataFrame(cases, "series string, peaks array<bigint>, period double, x array<double>")
+    got = {r["series"]: r for r in R.extend_periodic(R.best_periodic_run(rows, 14, 34, 3), 64).collect()}
+    for name, peaks, period, unit in cases:
+        best = plain_runs(peaks, 14, 34)
+        run = best if len(best) >= 3 else peaks
+        assert got[name]["run"] == run
+        joined = plain_walk(run, peaks, period, unit, -1)[::-1] + run + plain_walk(run, peaks, period, unit, 1)
+        thin = []
+        for p in joined:
+            if not thin or p - thin[-1] >= max(10, round(0.55 * period)):
+                thin.append(p)
+        assert got[name]["extended"] == thin
