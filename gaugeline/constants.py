@@ -9,7 +9,7 @@ RIGHT_REFERENCE_IN = 41.0
 LEFT_ALIASES = ["151", "cam151", "cam_151", "left", "izq", "izquierda"]
 RIGHT_ALIASES = ["152", "cam152", "cam_152", "right", "der", "derecha"]
 
-# Image suffixes of a pool, and the wider set of a bundle pool.
+# Image suffixes of a pool.
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "bmp", "webp"]
 
 # Box cleaning limits.
@@ -27,7 +27,6 @@ FAR_X_MIN_PX = 35.0
 FAR_X_MIN_CONF = 0.25
 FAR_X_EXTRA_CONF = 0.12
 DETECTOR_CONF = 0.35
-DETECTOR_MAX_BOXES = 256
 
 # Gap and edge recovery.
 RECOVERY_MIN_RATIO = 1.35

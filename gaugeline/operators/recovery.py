@@ -211,18 +211,17 @@ def edge_targets(kept: Column, pitch: Column) -> Column:
 def recovery_input(kept: DataFrame, weak: DataFrame, images: DataFrame) -> DataFrame:
     """One row per image: kept boxes (sorted), weak boxes, image size and bounds.
 
-    Kept and weak rows are tagged and gathered by one grouping, so no join is needed.
+    All three sides are grouped by the image keys before they are joined, so the kept
+    boxes keep the partitioning they come with and no box pairs are formed.  ``images``
+    may be keyed by the image alone, at the price of one more exchange.
     """
-    box = F.struct(*FIELDS)
-    tagged = kept.select(*IMAGE, F.lit(True).alias("k"), *FIELDS).unionByName(weak.select(*IMAGE, F.lit(False).alias("k"), *FIELDS))
-    gathered = tagged.groupBy(*IMAGE).agg(
-        F.array_sort(F.collect_list(F.when(F.col("k"), box))).alias("kept"),
-        F.array_sort(F.collect_list(F.when(~F.col("k"), box))).alias("weak"),
-    )
+    gathered = F.array_sort(F.collect_list(F.struct(*FIELDS)))
+    rows = kept.groupBy(*IMAGE).agg(gathered.alias("kept")).join(weak.groupBy(*IMAGE).agg(gathered.alias("weak")), IMAGE, "left")
+    keys = IMAGE if set(IMAGE) <= set(images.columns) else ["img"]
     sizes = images.select(
-        "img", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), "bounds_top", "bounds_bottom"
+        *keys, F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"), "bounds_top", "bounds_bottom"
     )
-    return gathered.join(sizes, "img")
+    return rows.withColumn("weak", F.coalesce("weak", empty())).join(sizes, keys)
 
 
 def recover_gaps(rows: DataFrame) -> DataFrame:
@@ -254,11 +253,14 @@ def union_recovered(rows: DataFrame) -> DataFrame:
 
 
 def split_oversize(boxes: DataFrame, separators: DataFrame) -> DataFrame:
-    """Cut candidates at their separators (img, box_id, seps: sorted array of y).
+    """Cut candidates at their separators (image keys, box_id, seps: sorted array of y).
 
-    Too few separators or a part under 0.35 of the median height keep the box whole.
+    Too few separators or a part under 0.35 of the median height keep the box whole.  The
+    separators of an image travel as one row, so the boxes stay partitioned by image.
     """
-    marked = B.oversize_boxes(boxes).join(separators.select("img", "box_id", "seps"), ["img", "box_id"], "left")
+    listed = separators.groupBy(*IMAGE).agg(F.collect_list(F.struct("box_id", "seps")).alias("_cuts"))
+    own = F.get(F.filter("_cuts", lambda s: s["box_id"] == F.col("box_id")), F.lit(0))["seps"]
+    marked = B.oversize_boxes(boxes).join(listed, IMAGE, "left").withColumn("seps", own).drop("_cuts")
     wanted = F.greatest(F.lit(1), F.col("parts") - 1)
     cuts = F.when(F.size("seps") >= wanted, F.slice("seps", F.lit(1), wanted))
     borders = F.concat(F.array("y1"), cuts, F.array("y2"))

@@ -15,7 +15,7 @@ from gaugeline.plans.views import sql
 def inputs(spark, sf):
     """Strong boxes, weak boxes and images with size and bounds."""
     boxes = views.boxes(spark, sf)
-    images = boxes.groupBy("img").agg((F.min("yc") - 40.0).alias("bounds_top"), (F.max("yc") + 60.0).alias("bounds_bottom")).withColumns(
+    images = boxes.groupBy(*B.IMAGE).agg((F.min("yc") - 40.0).alias("bounds_top"), (F.max("yc") + 60.0).alias("bounds_bottom")).withColumns(
         {"width": F.lit(1280.0), "height": F.lit(1536.0)}
     )
     return boxes.filter(F.col("conf") >= 0.2), boxes.filter(F.col("conf") < 0.2), images
@@ -62,7 +62,7 @@ def separators(boxes):
     """Cuts of tall boxes at even parts; boxes without a clear edge get none."""
     tall = B.oversize_boxes(boxes).filter((F.col("decision") == "candidate") & (F.col("conf") < 0.95))
     cut = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda k: F.col("y1") + k * (F.col("h") / F.col("parts")))
-    return tall.select("img", "box_id", cut.alias("seps"))
+    return tall.select(*B.IMAGE, "box_id", cut.alias("seps"))
 
 
 @query("e15_split_oversize", sql("v_boxes", OVERSIZE + """,
