@@ -259,3 +259,41 @@ def test_runs_and_extension_equal_plain_loops(spark):
             if not thin or p - thin[-1] >= max(10, round(0.55 * period)):
                 thin.append(p)
         assert got[name]["extended"] == thin
+
+
+def plain_cluster(peaks, period, height):
+    low, high, best = max(12, math.floor(0.75 * period)), 0, None
+    high = max(low + 1, math.ceil(1.15 * period))
+    if len(peaks) < 8:
+        return peaks
+    start = 0
+    for i in range(1, len(peaks) + 1):
+        if i == len(peaks) or not low <= peaks[i] - peaks[i - 1] <= high:
+            if i - start >= 8 and peaks[start] >= round(0.45 * height):
+                best = max(best or (0, 0, 0), (i - start, peaks[start], start))
+            start = i
+    return peaks if best is None else peaks[best[2] :]
+
+
+def test_bottom_cluster_equals_plain_loop(spark):
+    rng = random.Random(4)
+    cases = []
+    for n in range(30):
+        y, peaks = rng.randrange(0, 250), []
+        for _ in range(24):
+            peaks.append(y)
+            y += rng.choice([19, 20, 21, 22, 20, 20, 20, 20, 20, 45])
+        cases.append((f"s{n}", peaks[: rng.choice([5, 24])], 20.0))
+    rows = spark.createDataFrame(cases, "series string, peaks array<bigint>, period double")
+    got = {r["series"]: r["cluster"] for r in R.bottom_cluster(rows, 500).collect()}
+    assert got == {name: plain_cluster(peaks, period, 500) for name, peaks, period in cases}
+    assert any(got[name] != peaks for name, peaks, _ in cases)
+
+
+def test_late_candidate_is_pulled_back(spark):
+    falling = [100.0] * 80 + [20.0] * 60
+    cases = [("far", falling, 110.0, 80), ("near", falling, 84.0, 80), ("mid", falling, 90.0, 80), ("none", falling, 110.0, None), ("flat", [60.0] * 140, 110.0, 80)]
+    rows = spark.createDataFrame(cases, "series string, x array<double>, candidate double, crossing bigint")
+    got = {r["series"]: r["pulled"] for r in R.pull_back(rows, 100.0, 20.0).collect()}
+    assert got["far"] == 80.0 and got["near"] == 84.0 and got["none"] == 110.0 and got["flat"] == 110.0
+    assert math.isclose(got["mid"], 0.85 * 80 + 0.15 * 90)
