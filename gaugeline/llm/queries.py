@@ -111,3 +111,40 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.mixing import mix, summary
 
     return summary(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Documents whose labels no model learns from."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.langid import label_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return label_documents(docs, train(docs, ~held_out())).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.lengths import length_counts, length_table
+
+    return length_table(length_counts(table(spark, sf_dir, "documents")))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.licenses import license_labels, scan_licenses
+
+    return license_labels(scan_licenses(table(spark, sf_dir, "documents"))).drop("licenses")
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.quality import THRESHOLD, document_statistics, fit, score
+    from gaugeline.session import cut_lineage
+
+    stats = cut_lineage(document_statistics(table(spark, sf_dir, "documents")))
+    scored = score(stats, fit(stats, table(spark, sf_dir, "labels"), ~held_out()))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
