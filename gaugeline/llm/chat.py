@@ -74,8 +74,11 @@ def read_back(chats: DataFrame) -> DataFrame:
         texts = F.split(F.substring(block, F.length(role) + skip + 2, F.length(block)), r"<\|next\|>")
         return F.transform(texts, lambda t: F.struct(unescape(role).alias("role"), unescape(t).alias("text")))
 
-    loss = F.transform("mask", lambda m: unescape(F.substring(F.get("parts", m["part"]), m["start"] + 1, m["length"])))
-    return (
-        chats.withColumn("parts", F.split("formatted", r"(?<=<\|next\|>)|(?<=</turn>\n)"))
-        .select("conv_id", "formatted", F.flatten(F.transform(blocks, read)).alias("turns"), F.array_join(loss, "").alias("loss_text"))
+    def masked(parts: Column) -> Column:
+        return F.array_join(F.transform("mask", lambda m: unescape(F.substring(F.get(parts, m["part"]), m["start"] + 1, m["length"]))), "")
+
+    # the parts are the variable of a lambda, so that they are split once and not once per entry of the mask
+    parts = F.split("formatted", r"(?<=<\|next\|>)|(?<=</turn>\n)")
+    return chats.select(
+        "conv_id", "formatted", F.flatten(F.transform(blocks, read)).alias("turns"), F.get(F.transform(F.array(parts), masked), 0).alias("loss_text"),
     )

@@ -148,3 +148,24 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut_lineage(document_statistics(table(spark, sf_dir, "documents")))
     scored = score(stats, fit(stats, table(spark, sf_dir, "labels"), ~held_out()))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+NEAREST = 5
+
+
+@query("op8_nearest_neighbours")
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.hnsw import build_index, nodes, search_index
+    from gaugeline.session import cut_lineage
+
+    vectors = table(spark, sf_dir, "embeddings")
+    index = cut_lineage(build_index(vectors, keep=NEAREST + 1))
+    asked = nodes(vectors.where(F.col("vec_id") % 50 == 0), keep=1 << 30).select(F.explode("ids").alias("query_id"), "vector")
+    return search_index(index, cut_lineage(asked), NEAREST)
+
+
+@query("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.hyperminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
