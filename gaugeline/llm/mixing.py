@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import PLAIN_WORD
+from gaugeline.session import cut_lineage
 
 WEIGHTS = (1.0, 2.0, 3.0)
 SLOPES = (0.5, 0.0, -0.5)
@@ -120,4 +121,5 @@ def summary(planned: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **options) -> DataFrame:
-    return plan_mix(sizes(docs, doc_id, text, source), seed=seed, **options)
+    # the words are counted once; three steps read the sizes
+    return plan_mix(cut_lineage(sizes(docs, doc_id, text, source)), seed=seed, **options)
