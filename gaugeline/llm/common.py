@@ -36,3 +36,8 @@ def id_key(column: str) -> Column:
 
 def id_back(column: str) -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column))
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Documents whose labels no model learns from."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2

@@ -242,3 +242,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, band: int = BAND, chu
         .select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
         .select(id_back("id").alias("doc_id"), "n_shingles", id_back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
     )
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs` without those whose component holds a smaller id. Rows that share an id stay or go together."""
+    gone = near_duplicates(docs, doc_id=doc_id, **options).where(~F.col("kept")).select(id_key("doc_id").alias("gone_id")).distinct()
+    return docs.alias("doc").join(gone, id_key(f"doc.`{doc_id}`") == F.col("gone_id"), "left_anti")

@@ -4,11 +4,11 @@ Each source has a weight schedule over training time t in [0, 1]: w(t) = w * (1
 Target tokens share the total by w, none above `most` times its source's size; the excess is shared again by weight.
 A source is read pass after pass in the order of a seeded hash, whole passes first, then as many documents as come nearest
 to the target. The cumulative demand of the schedule, D(t) = target * (t + slope * (t*t - t)), is inverted for the middle
-token of each placed copy and gives its training position. Placements are range-sorted by position.
+token of each placed copy and gives its training position. Documents are range-sorted by position.
 
 Prefix sums run per (source, hash slice): slices are summed first, so that a source with a third of all rows is spread
 over many tasks. Null texts have size 0 and are never placed. A null source is a source, last in order. Rows that share an
-id are placed each for itself and summed per id by `summary`. An empty table gives an empty mix.
+id are placed each for itself. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -99,27 +99,29 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise(F.least(F.greatest(rising, F.lit(0.0)), F.lit(1.0)))
 
 
-def place(planned: DataFrame, partitions: int | None = None) -> DataFrame:
-    """One row per placed copy: `doc_id`, `source`, `size`, `copy`, `position`, range-sorted by position."""
-    middle = F.col("copy") * F.col("source_size") + F.col("before") + F.col("size") / F.lit(2.0)
-    rows = (
-        planned.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-        .withColumn("position", position(F.least(middle / F.col("target"), F.lit(1.0)), F.col("slope")))
-        .select("doc_id", "source", "size", "copy", "position")
+def schedule(planned: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Per document: `doc_id`, `source`, `size`, `source_size`, `target`, `taken`, and the `positions` of its copies.
+
+    Rows are range-sorted by the first position; documents without a place come last.
+    """
+    middle = F.col("before") + F.col("size") / F.lit(2.0)
+    numbers = F.when(F.col("copies") > 0, F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    at = F.transform(numbers, lambda n: position(F.least((n * F.col("source_size") + middle) / F.col("target"), F.lit(1.0)), F.col("slope")))
+    rows = planned.select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), at.alias("positions"),
+        F.coalesce(F.get(at, F.lit(0)), F.lit(2.0)).alias("first"),
     )
-    keys = ["position", "source", "doc_id", "copy"]
-    return (rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+    keys = ["first", "source", "doc_id"]
+    return (rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys).drop("first")
 
 
-def summary(planned: DataFrame) -> DataFrame:
-    """Per document: `doc_id`, `size`, `source_size`, `target`, `taken`, and where its first copy stands."""
-    first = position(F.least((F.col("before") + F.col("size") / F.lit(2.0)) / F.col("target"), F.lit(1.0)), F.col("slope"))
-    return planned.select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-        F.when(F.col("copies") > 0, first).alias("first_position"),
-    )
+def place(scheduled: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The training order, one row per placed copy: `doc_id`, `source`, `size`, `copy`, `position`, range-sorted by position."""
+    rows = scheduled.select("doc_id", "source", "size", F.posexplode("positions").alias("copy", "position"))
+    keys = ["position", "source", "doc_id", "copy"]
+    return (rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **options) -> DataFrame:
     # the words are counted once; three steps read the sizes
-    return plan_mix(cut_lineage(sizes(docs, doc_id, text, source)), seed=seed, **options)
+    return schedule(plan_mix(cut_lineage(sizes(docs, doc_id, text, source)), seed=seed, **options))

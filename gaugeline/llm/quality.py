@@ -170,3 +170,15 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_stack(batch.column(1))), pa.float64())], ["doc_id", "score"])
 
     return stats.mapInArrow(rate, f"doc_id {dict(stats.dtypes)['doc_id']}, score double")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of `docs` whose score reaches the threshold, measured and scored in one pass."""
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = np.array([statistics(t) for t in texts(batch.column(place))]).reshape(-1, N_STATS)
+            yield batch.filter(pa.array(model.score(stats) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

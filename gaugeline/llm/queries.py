@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import table
+from gaugeline.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,14 +108,9 @@ from p
 
 @query("op10_mixing", _OP10)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gaugeline.llm.mixing import mix, summary
+    from gaugeline.llm.mixing import mix
 
-    return summary(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
-
-
-def held_out(doc_id: str = "doc_id"):
-    """Documents whose labels no model learns from."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op1_language_id")
@@ -169,3 +164,19 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.hyperminhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.suffixes import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), as_text=False)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
