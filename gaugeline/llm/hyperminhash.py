@@ -1,8 +1,8 @@
 """Near-duplicate documents: HyperMinHash registers, banding, and verification on full shingle sets.
 
 A document's set holds the hashes of its distinct shingles of `width` words. A shingle's hash picks one of 256 buckets; a
-bucket's register keeps the smallest remaining hash as its count of leading zeros plus ten mantissa bits. Bands of compressed
-registers give candidates; documents that share a band are tied to the band's smallest id, and the connected candidates form
+bucket's register keeps the smallest remaining hash as its count of leading zeros plus ten mantissa bits; for the bands,
+empty registers take over filled ones. Bands of compressed registers give candidates; documents that share a band are tied to the band's smallest id, and the connected candidates form
 groups. Each group is dealt in chunks of bounded bytes, and each pair of chunks goes to one task with the whole texts. There,
 pairs whose collision-corrected Jaccard estimate lies far below the limit are left out, pairs that are linked already need no
 look, and all others are verified on the full sets. The links found join the chunks' components.
@@ -98,14 +98,27 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.where(full, (zeros.astype(np.uint64) << np.uint64(MANTISSA)) | mantissa, np.uint64(65535)).astype(np.uint16)
 
 
+_PROBES = np.argsort(np.random.default_rng(1).random((BUCKETS, BUCKETS)), axis=1)
+
+
+def dense(regs: np.ndarray) -> np.ndarray:
+    """Every empty register takes over the first filled one in a fixed random order of its own.
+
+    So a band of a short text holds as many registers as that of a long one, and two sets agree in a register with the
+    probability of their similarity whatever their sizes are.
+    """
+    filled = regs != 65535
+    return regs if filled.all() else np.where(filled, regs, regs[_PROBES[np.arange(BUCKETS), filled[_PROBES].argmax(1)]])
+
+
 def band_keys(regs: np.ndarray, band: int = BAND) -> np.ndarray:
-    """A 64-bit key per band that has a filled register; the band's number is part of the key."""
+    """A 64-bit key per band of dense registers; the band's number is part of the key."""
     n = BUCKETS // band
-    rows = regs[:n * band].reshape(n, band).astype(np.uint64)
+    rows = dense(regs)[:n * band].reshape(n, band).astype(np.uint64)
     keys = np.arange(n, dtype=np.uint64) * _ODD[2] + _ODD[3]
     for k in range(band):
         keys = _mix(keys * _ODD[0] + rows[:, k])
-    return keys[(rows != 65535).any(1)]
+    return keys
 
 
 def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,19 +236,29 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, band: int = BAND, chu
     members = grouped.union(grouped.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     sized = members.join(nodes.groupBy("id").agg(F.max("n_bytes").alias("n_bytes")), "id")
     chunks = sized.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_bytes") / F.lit(float(chunk_bytes)))).cast("int").alias("chunks"))
-    dealt = members.join(chunks, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    # small groups share tasks: a task key holds many groups, or one pair of chunks of one group
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least("chunk", c).alias("lo"), F.greatest("chunk", c).alias("hi")))
-    wanted = cut_lineage(dealt.select("id", "grp", "chunk", F.explode(pairs).alias("p")).select("id", "grp", "chunk", "p.lo", "p.hi"))
+    dealt = cut_lineage(
+        sized.join(chunks, "grp").select("id", "grp", "chunks", "n_bytes", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+    )
+    small = dealt.agg(F.coalesce(F.sum(F.when(F.col("chunks") == 1, F.col("n_bytes"))), F.lit(0))).first()[0]
+    bins = max(1, -(-small // chunk_bytes))
+    # a task has one pair of chunks of one large group, or a bin of small groups as a whole
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.col("grp").alias("large"), F.least("chunk", c).alias("lo"), F.greatest("chunk", c).alias("hi")),
+    )
+    shared = F.array(F.struct(F.lit(None).cast("long").alias("large"), F.pmod(F.xxhash64("grp"), F.lit(bins)).cast("int").alias("lo"), F.lit(-1).alias("hi")))
+    wanted = dealt.select("id", "grp", "chunk", F.explode(F.when(F.col("chunks") == 1, shared).otherwise(pairs)).alias("p")).select("id", "grp", "chunk", "p.*")
     rows = docs.select(id_key(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(wanted, "id")
 
-    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingle_set(t.encode(), width) for t in group["text"]]
-        ids = group["id"].to_numpy()
-        links = link_sets(sets, group["chunk"].to_numpy())
-        return pd.DataFrame({"u": [ids[i] for i, _ in links], "v": [ids[j] for _, j in links]}, dtype="int64")
+    def verify(key: tuple, task: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        for _, group in task.groupby("grp"):
+            ids = group["id"].to_numpy()
+            links = link_sets([shingle_set(t.encode(), width) for t in group["text"]], group["chunk"].to_numpy())
+            u += [ids[i] for i, _ in links]
+            v += [ids[j] for _, j in links]
+        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
 
-    verified = rows.groupBy("grp", "lo", "hi").applyInPandas(verify, "u long, v long")
+    verified = rows.groupBy("large", "lo", "hi").applyInPandas(verify, "u long, v long")
     found = components(tied.select(F.col("id").alias("u"), F.col("node").alias("v")).union(verified))
     return (
         signed.select("id", "n_shingles").join(found, F.col("id") == F.col("node"), "left")
