@@ -107,17 +107,21 @@ def dense(regs: np.ndarray) -> np.ndarray:
     So a band of a short text holds as many registers as that of a long one, and two sets agree in a register with the
     probability of their similarity whatever their sizes are.
     """
-    filled = regs != 65535
-    return regs if filled.all() else np.where(filled, regs, regs[_PROBES[np.arange(BUCKETS), filled[_PROBES].argmax(1)]])
+    out = regs.copy()
+    for i in np.flatnonzero((regs == 65535).any(1)):
+        filled = regs[i] != 65535
+        empty = np.flatnonzero(~filled)
+        out[i, empty] = regs[i, _PROBES[empty, filled[_PROBES[empty]].argmax(1)]]
+    return out
 
 
 def band_keys(regs: np.ndarray, band: int = BAND) -> np.ndarray:
-    """A 64-bit key per band of dense registers; the band's number is part of the key."""
+    """A 64-bit key per band of dense registers, one row per row of registers; the band's number is part of the key."""
     n = BUCKETS // band
-    rows = dense(regs)[:n * band].reshape(n, band).astype(np.uint64)
-    keys = np.arange(n, dtype=np.uint64) * _ODD[2] + _ODD[3]
+    rows = dense(regs)[:, :n * band].reshape(len(regs), n, band).astype(np.uint64)
+    keys = np.tile(np.arange(n, dtype=np.uint64) * _ODD[2] + _ODD[3], (len(regs), 1))
     for k in range(band):
-        keys = _mix(keys * _ODD[0] + rows[:, k])
+        keys = _mix(keys * _ODD[0] + rows[:, :, k])
     return keys
 
 
@@ -144,19 +148,21 @@ def signatures(docs: DataFrame, width: int = SHINGLE, band: int = BAND, doc_id:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks, keys, n_bytes = [], [], [], []
+            sizes, marks, regs, n_bytes = [], [], [], []
             for value in texts(batch.column(1)):
                 own = shingle_set(value, width)
                 sizes.append(len(own))
                 n_bytes.append(len(value))
                 with np.errstate(over="ignore"):
                     marks.append((int(own.sum()), int(_mix(own * _ODD[5]).sum())) if len(own) else (0, 0))
-                keys.append(band_keys(registers(own), band).view(np.int64) if len(own) else np.zeros(0, np.int64))
+                if len(own):
+                    regs.append(registers(own))
             mark = np.array(marks, np.uint64).reshape(-1, 2).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            keys = band_keys(np.array(regs, np.uint16).reshape(-1, BUCKETS), band)
+            offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) > 0) * keys.shape[1]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(mark[:, 0]), pa.array(mark[:, 1]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))), pa.array(n_bytes, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel())), pa.array(n_bytes, pa.int64()),
             ], ["id", "n_shingles", "set_a", "set_b", "bands", "n_bytes"])
 
     return docs.select(id_key(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(sign, SIGNATURE)

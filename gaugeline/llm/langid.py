@@ -77,7 +77,9 @@ class Network:
             gates = _sigmoid(x[:, :2 * n] + g[:, :2 * n])
             z, r = gates[:, :n], gates[:, n:]
             c = np.tanh(x[:, 2 * n:] + r * g[:, 2 * n:])
-            new = np.where(live[:, t, None], c + z * (state - c), state)
+            new = c + z * (state - c)
+            if not live[:, t].all():
+                new = np.where(live[:, t, None], new, state)
             if keep:
                 kept[t] = (state, z, r, c, g[:, 2 * n:])
             states[t] = state = new
@@ -154,24 +156,38 @@ class Network:
         return out
 
 
+class Numbers(dict):
+    """Numbers keys as they come and lists the new ones."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = number = len(self)
+        return number
+
+
 class Labeller:
     """Labels texts; remembers the sums of the runs it has seen, up to a bound on their number."""
 
     def __init__(self, network: Network):
-        self.network, self.place, self.sums = network, {}, np.zeros((0, len(network.classes) + 1), np.float32)
+        self.network, self.place, self.sums = network, Numbers(), np.zeros((0, len(network.classes) + 1), np.float32)
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        lists = [[r for r in runs_of(t)] if t else [] for t in texts]
-        missing = sorted(set().union(*lists).difference(self.place))
-        if missing:
-            if len(self.place) + len(missing) > CACHED_RUNS:
-                self.place, self.sums = {}, self.sums[:0]
-                missing = sorted(set().union(*lists))
-            self.place.update(zip(missing, range(len(self.place), len(self.place) + len(missing))))
-            self.sums = np.concatenate([self.sums, self.network.run_sums(missing)])
+        if len(self.place) > CACHED_RUNS:
+            self.place, self.sums = Numbers(), self.sums[:0]
+        numbers = []
+        for text in texts:
+            runs = runs_of(text) if text else []
+            numbers.append(np.fromiter(map(self.place.__getitem__, runs), np.int32, len(runs)))
+        if self.place.new:
+            self.sums = np.concatenate([self.sums, self.network.run_sums(self.place.new)])
+            self.place.new = []
         names, scores = [], []
-        for text, runs in zip(texts, lists):
-            pooled = self.sums[np.fromiter(map(self.place.__getitem__, runs), np.int32, len(runs))].sum(0, dtype=np.float64) if runs else None
+        for text, runs in zip(texts, numbers):
+            pooled = self.sums[runs].sum(0, dtype=np.float64) if len(runs) else None
             if pooled is None or not pooled[-1] or not any(map(str.isalpha, text)):
                 names.append(UNKNOWN)
                 scores.append(0.0)
