@@ -84,14 +84,19 @@ def collapse_vertical(
     height_ratio: float = K.VERTICAL_HEIGHT_RATIO,
     overlap: float = K.VERTICAL_OVERLAP,
     band: float = K.VERTICAL_BAND_OVERLAP,
+    counted: bool = False,
 ) -> Column:
-    """Going down, merge a box into the last kept one when both show the same object."""
+    """Going down, merge a box into the last kept one when both show the same object.
+
+    With ``counted``: how many were merged for their band alone, far apart sideways.
+    """
     ordered = F.array_sort(boxes)
 
     def flagged(box, flag):
         return box.withField("flags", F.concat(box["flags"], F.array(flag)))
 
-    def step(kept, box):
+    def step(state, box):
+        kept, n = state["kept"], state["n"]
         last = F.element_at(kept, -1)
         near = (F.abs(box["yc"] - last["yc"]) < height_ratio * F.greatest(box["h"], last["h"])) | (
             G.overlap_over_smaller(box, last) >= overlap
@@ -101,13 +106,12 @@ def collapse_vertical(
         flag = F.when(same_band, K.FLAG_SAME_BAND).otherwise(K.FLAG_VERTICAL)
         winner = F.when(box["conf"] > last["conf"], flagged(box, flag)).otherwise(flagged(last, flag))
         head = F.slice(kept, F.lit(1), F.size(kept) - 1)
-        return F.when((near & beside) | same_band, F.concat(head, F.array(winner))).otherwise(
-            F.concat(kept, F.array(box))
-        )
+        after = F.when((near & beside) | same_band, F.concat(head, F.array(winner))).otherwise(F.concat(kept, F.array(box)))
+        return F.struct(after.alias("kept"), (n + (same_band & ~(near & beside)).cast("bigint")).alias("n"))
 
-    return F.aggregate(
-        F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1))), F.slice(ordered, 1, 1), step
-    )
+    start = F.struct(F.slice(ordered, 1, 1).alias("kept"), F.lit(0).cast("bigint").alias("n"))
+    rest = F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1)))
+    return F.aggregate(rest, start, step, lambda state: state["n"] if counted else state["kept"])
 
 
 def dedupe_stages(packed: DataFrame) -> DataFrame:
@@ -134,6 +138,7 @@ def suppression_audit(packed: DataFrame) -> DataFrame:
         (n["valid"] - n["single"]).alias("removed_large_containers"),
         (n["single"] - n["strong"]).alias("suppressed_overlap"),
         (n["strong"] - n["final"]).alias("suppressed_vertical_duplicate"),
+        collapse_vertical(F.col("strong"), counted=True).alias("suppressed_vertical_y_duplicate"),
         n["final"].alias("final_count"),
     )
 

@@ -57,7 +57,8 @@ def fit_homography(quads: DataFrame) -> DataFrame:
     """Homography and output size of source quads.
 
     Rows hold tlx..bry, an optional destination rectangle rx0..ry1, ``exact`` (no default
-    padding) and ``mirror`` (flip the output).  Degenerate quads carry an error.
+    padding) and ``mirror`` (flip the output).  A quad with a side under 40 pixels, before or
+    after it is widened to the destination rectangle, carries an error and no matrix.
     """
     length = lambda a, b: f"sqrt(({a}x - {b}x) * ({a}x - {b}x) + ({a}y - {b}y) * ({a}y - {b}y))"
     rows = quads.withColumns({"_top": F.expr(length("tl", "tr")), "_low": F.expr(length("bl", "br")), "_left": F.expr(length("tl", "bl")), "_right": F.expr(length("tr", "br"))})
@@ -81,10 +82,13 @@ def fit_homography(quads: DataFrame) -> DataFrame:
         corner[name + "x"] = F.expr(f"(_m.a * {u} + _m.b * {v} + _m.c) / {depth}")
         corner[name + "y"] = F.expr(f"(_m.d * {u} + _m.e * {v} + _m.f) / {depth}")
     rows = rows.withColumns(corner)
+    sides = [length("_tl", "_tr"), length("_bl", "_br"), length("_tl", "_bl"), length("_tr", "_br")]
+    rows = rows.withColumn("error", F.expr(f"coalesce(error, CASE WHEN least({', '.join(sides)}) < 40 THEN 'degenerate' END)"))
     rows = rows.withColumns({"out_w": F.expr("greatest(80D, rint(rx1 - rx0))"), "out_h": F.expr("greatest(80D, rint(ry1 - ry0))")})
     rows = quad_to_rect(unit_square_to_quad(rows, "_tl", "_tr", "_bl", "_br", "_n"), "_n", "out_w", "out_h")
     flipped = {f"h1{k}": F.expr(f"CASE WHEN mirror THEN (out_w - 1) * h3{k} - h1{k} ELSE h1{k} END") for k in (1, 2, 3)}
-    return rows.withColumns(flipped).drop("_top", "_low", "_left", "_right", "_m", "_n", *corner)
+    rows = rows.withColumns(flipped).withColumns({h: F.when(F.col("error").isNull(), F.col(h)) for h in MATRIX})
+    return rows.drop("_top", "_low", "_left", "_right", "_m", "_n", *corner)
 
 
 def invert_matrix(df: DataFrame) -> DataFrame:
@@ -272,7 +276,11 @@ def full_view_rect(homographies: DataFrame, width: int, height: int) -> DataFram
 
 
 def known_distance_pairs(points: DataFrame, homographies: DataFrame) -> DataFrame:
-    """Scale samples of labelled point pairs with known inches, one row per pair."""
+    """Scale samples of labelled point pairs with known inches, one row per pair.
+
+    The pairs lie in front of the left camera: calibrations (``side``) of the other give none.
+    """
+    homographies = homographies.filter(F.col("side") == "151")
     labels = sorted({label for pair in K.POINT_PAIRS for label in pair[:2]})
     rows = labelled_points(points, labels).join(homographies.select("cal_id", *MATRIX), "cal_id")
     samples = []

@@ -42,14 +42,19 @@ def newest_first(df: DataFrame, key: str = "run_id") -> DataFrame:
     return df.orderBy(when.desc_nulls_last(), F.coalesce(F.nullif("captured_at", F.lit("")), F.col(key)).desc(), F.col(key).desc())
 
 
-def dataset_as_of(matches: DataFrame, exports: DataFrame, key: str, slice_seconds: int = 60) -> DataFrame:
+def dataset_as_of(
+    matches: DataFrame, exports: DataFrame, key: str, slice_seconds: int = 60, latest_name: str = "latest.json", latest: DataFrame | None = None,
+) -> DataFrame:
     """The export each match was made from.
 
-    A stamped input named by the match wins.  Else the newest by file time among exports
-    stamped at or before the match; else the newest of all.  Time is cut into slices: each
-    slice takes over the best of all slices before it, so a key with very many exports is
-    spread over tasks and no match/export pairs are formed.
+    An input named by the match wins unless it is the file ``latest_name``.  Else the newest
+    by file time among exports stamped at or before the match; else, and for matches without
+    a time, the newest stamped one; else the named input itself; else the key's row of
+    ``latest`` (key, path).  Exports without a stamp take no part.  Time is cut into slices:
+    each slice takes over the best of all slices before it, so a key with very many exports
+    is spread over tasks and no match/export pairs are formed.
     """
+    exports = exports.filter(F.col("stamp").isNotNull())
     best = F.struct("mtime", "path")
     none = F.lit(None).cast("struct<mtime:bigint,path:string>")
     at = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6 * slice_seconds)).cast("bigint")
@@ -62,13 +67,20 @@ def dataset_as_of(matches: DataFrame, exports: DataFrame, key: str, slice_second
         key, "slice", F.max("top").over(so_far).alias("before"), F.max("top").over(whole).alias("newest")
     )
     inside = Window.partitionBy(key, "slice").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    resolved = rows.withColumn("here", F.max("best").over(inside)).join(carried, [key, "slice"]).filter(F.col("kind") == 1)
-    stamped = F.when(~F.lower("input_path").endswith("latest.json"), F.col("input_path"))
-    as_of = F.greatest("before", "here")["path"]
-    return resolved.select(
-        "match_id", key, F.coalesce(stamped, as_of, F.col("newest")["path"]).alias("path"),
-        F.when(stamped.isNotNull(), "given").when(as_of.isNotNull(), "as_of").when(F.col("newest").isNotNull(), "newest").otherwise("none").alias("how"),
-    )
+    slices = carried.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), "before", "newest")
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("slice").eqNullSafe(F.col("_slice"))
+    resolved = rows.withColumn("here", F.max("best").over(inside)).filter(F.col("kind") == 1).join(slices, same)
+    if latest is None:
+        resolved = resolved.withColumn("latest", F.lit(None).cast("string"))
+    else:
+        newest = latest.groupBy(F.col(key).alias("_latest_key")).agg(F.max("path").alias("latest"))
+        resolved = resolved.join(newest, F.col(key).eqNullSafe(F.col("_latest_key")), "left")
+    name = F.lower(F.regexp_extract("input_path", r"([^/\\\\]*)$", 1))
+    stamped = F.when(name != latest_name.lower(), F.col("input_path"))
+    as_of = F.when(F.col("ts").isNotNull(), F.greatest("before", "here")["path"])
+    tiers = {"given": stamped, "as_of": as_of, "newest": F.col("newest")["path"], "input": F.col("input_path"), "latest": F.col("latest")}
+    how = F.coalesce(*[F.when(path.isNotNull(), F.lit(tier)) for tier, path in tiers.items()], F.lit("none"))
+    return resolved.select("match_id", key, F.coalesce(*tiers.values()).alias("path"), how.alias("how"))
 
 
 def canonical_stem(stem: Column) -> Column:

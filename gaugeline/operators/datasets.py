@@ -152,7 +152,16 @@ def relabel_tally(lines: DataFrame, images: DataFrame, relabelled: DataFrame) ->
 
 
 def label_texts(boxes: DataFrame, images: DataFrame, with_conf: bool = False) -> DataFrame:
-    """Normalised label text of every image; an image without boxes has empty text."""
+    """Normalised label text of every image; an image without boxes has empty text.
+
+    Boxes with corners (x1, y1, x2, y2) are clipped corner by corner, boxes given as x, y, w,
+    h keep their size as far as the image goes.
+    """
+    if "x1" not in boxes.columns:
+        from gaugeline.operators.measure import clip_sized
+
+        corner = {"x1": F.col("x"), "y1": F.col("y"), "x2": F.col("x") + F.col("w"), "y2": F.col("y") + F.col("h")}
+        boxes = clip_sized(boxes, images).withColumns(corner).drop("width", "height")
     sizes = images.select("img", F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
     fit = lambda c, size: F.greatest(F.lit(0.0), F.least(F.col(size), F.col(c)))
     placed = boxes.join(sizes, "img").select(

@@ -235,8 +235,11 @@ def match_runs(items: DataFrame, datasets: DataFrame) -> tuple[DataFrame, DataFr
         F.count_if((F.col("variant") == "order") & (F.col("match_status") == "matched")).alias("order_matched"),
     )
     fewer, more = F.least("n151", "n152"), F.greatest("n151", "n152")
+    # a run without active items is matched too, to no rows
+    none = {c: 0 for c in ("n151", "n152", "slot_matched", "order_matched")}
     header = (
-        counts.join(matched, "run_id").join(used_bundle, "run_id").join(modelled, "run_id", "left")
+        items.select("run_id").distinct().join(counts, "run_id", "left").join(matched, "run_id", "left").join(used_bundle, "run_id", "left")
+        .join(modelled, "run_id", "left").fillna({**none, "bundle": False})
         .withColumn("count_ratio", fewer / F.greatest(more, F.lit(1)))
         .withColumn(
             "use_order",
@@ -327,7 +330,7 @@ def manual_compare(points: DataFrame, sides: DataFrame, algorithm: DataFrame) ->
     """Clicked points against measured items, by tube number.
 
     ``sides`` has one row per run: the two-point line, constant x and scale of each side
-    (columns with suffix _151 / _152); ``algorithm`` one row per (run, side, tube_idx).
+    (columns with suffix _151 / _152).  The last item of a tube number in ``algorithm`` counts.
     """
     from gaugeline.functions.scalars import residual_left, residual_right, total_length
     from gaugeline.operators.measure import x_on_line
@@ -344,9 +347,9 @@ def manual_compare(points: DataFrame, sides: DataFrame, algorithm: DataFrame) ->
         rows = rows.withColumn(f"ref_{side}", ref(side)).withColumn(
             f"manual_{side}", F.abs(F.col(f"x_{side}") - F.col(f"ref_{side}")) / scale
         )
-        numbers = algorithm.filter(F.col("side") == side).select(
-            "run_id", F.col("tube_idx").alias("tube_number"), F.col("distance_in").alias(f"algorithm_{side}"),
-            F.col("relative_position").alias(f"position_{side}"),
+        last = F.max_by(F.struct("distance_in", "relative_position"), "source_order")  # of a repeated number
+        numbers = algorithm.filter(F.col("side") == side).groupBy("run_id", F.col("tube_idx").alias("tube_number")).agg(last.alias("i")).select(
+            "run_id", "tube_number", F.col("i.distance_in").alias(f"algorithm_{side}"), F.col("i.relative_position").alias(f"position_{side}"),
         )
         rows = rows.join(numbers, ["run_id", "tube_number"], "left")
     rows = rows.withColumn(

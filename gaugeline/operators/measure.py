@@ -107,6 +107,16 @@ def clip_boxes(boxes: DataFrame, images: DataFrame) -> DataFrame:
     return clipped.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
 
 
+def clip_sized(boxes: DataFrame, images: DataFrame) -> DataFrame:
+    """Boxes given as x, y, w, h: the corner is clamped first, then the size to what is left."""
+    width, height = F.col("width").cast("double"), F.col("height").cast("double")
+    placed = boxes.join(images.select("img", "width", "height"), "img").withColumns(
+        {"x": S.clamp(F.col("x"), 0.0, width), "y": S.clamp(F.col("y"), 0.0, height)}
+    )
+    sized = placed.withColumns({"w": F.greatest(F.lit(0.0), F.least(width - F.col("x"), F.col("w"))), "h": F.greatest(F.lit(0.0), F.least(height - F.col("y"), F.col("h")))})
+    return sized.filter((F.col("w") > 0) & (F.col("h") > 0))
+
+
 def normalize_rect(df: DataFrame, width, height, least: float = 5.0) -> DataFrame:
     """Order and clamp rectangle corners; rectangles under five pixels are dropped."""
     w, h = F.lit(float(width)), F.lit(float(height))

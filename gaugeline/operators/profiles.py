@@ -168,9 +168,10 @@ def best_periodic_run(df: DataFrame, low: int = 14, high: int = 34, min_len: int
     )
     runs = f"transform(peaks, (s, i) -> aggregate(slice(peaks, i + 2, size(peaks)), {state}, (acc, p) -> {step}).run)"
     best = f"array_max(transform(filter({runs}, r -> size(r) >= {min_len}), r -> struct(size(r) AS n, -r[0] AS first, r AS run))).run"
-    return df.withColumn("run", F.expr(f"CASE WHEN size(peaks) >= {min_len} THEN {best} END")).withColumn(
-        "run", F.coalesce("run", "peaks")
-    ).withColumn("run_period", F.coalesce(bounded_median_gap("run", float(low), float(high)), bounded_median_gap("peaks")))
+    rows = df.withColumn("run", F.expr(f"CASE WHEN size(peaks) >= {min_len} THEN {best} END"))
+    # a regular run has its own band; without one, all peaks count with the general band
+    period = F.when(F.col("run").isNotNull(), bounded_median_gap("run", float(low), float(high))).otherwise(bounded_median_gap("peaks"))
+    return rows.withColumn("run_period", period).withColumn("run", F.coalesce("run", "peaks"))
 
 
 def bottom_cluster(df: DataFrame, height: int, min_peaks: int = 8) -> DataFrame:
@@ -190,11 +191,13 @@ def bottom_cluster(df: DataFrame, height: int, min_peaks: int = 8) -> DataFrame:
     return rows.withColumn("cluster", F.expr("CASE WHEN _b IS NULL THEN peaks ELSE slice(peaks, _b.i + 1, size(peaks)) END")).drop("_p", "_lo", "_hi", "_b")
 
 
-def extend_periodic(df: DataFrame, max_steps: int, y_min: int = 0) -> DataFrame:
+def extend_periodic(df: DataFrame, y_min: int = 0, y_max: int | None = None) -> DataFrame:
     """Extend a run up and down by one period at a time.
 
     Rows hold run, peaks (observed), period and the normalised profile x.  A step snaps to
-    an observed peak nearby or takes the predicted place when the profile supports it.
+    an observed peak nearby or takes the predicted place when the profile supports it. The walk
+    ends by these rules alone: a step moves by the separation at least, so the length of the
+    profile over the separation bounds their number.
     """
     rows = df.withColumn("_sep", F.expr(SEPARATION)).withColumn("_snap", F.expr("greatest(5, cast(rint(0.40D * period) AS int))"))
     rows = rows.withColumn("_sorted", F.array_sort("x")).withColumn("_pos", F.expr("0.55D * (size(x) - 1)")).withColumn(
@@ -211,11 +214,13 @@ def extend_periodic(df: DataFrame, max_steps: int, y_min: int = 0) -> DataFrame:
         take = f"CASE WHEN t IS NULL OR {sign} * (t - {edge}) < _sep THEN named_struct('out', acc.out, 'open', false) ELSE named_struct('out', concat(acc.out, array(t)), 'open', true) END"
         step = f"CASE WHEN acc.open THEN get(transform(array({target}), t -> {take}), 0) ELSE acc END"
         start = "run[0]" if sign < 0 else "element_at(run, -1)"
-        return f"slice(aggregate(sequence(1, {max_steps}), named_struct('out', array({start}), 'open', true), (acc, i) -> {step}).out, 2, {max_steps})"
+        steps = "cast(size(x) div _sep + 1 AS int)"
+        return f"slice(aggregate(sequence(1, {steps}), named_struct('out', array({start}), 'open', true), (acc, i) -> {step}).out, 2, {steps})"
 
+    top = "size(x) - 1" if y_max is None else f"least(size(x) - 1, {y_max})"
     usable = "size(run) > 0 AND period >= 8D"
     rows = rows.withColumn("_up", F.expr(f"CASE WHEN {usable} THEN {walk(-1, f'g >= {y_min}')} END")).withColumn(
-        "_down", F.expr(f"CASE WHEN {usable} THEN {walk(1, 'g <= size(x) - 1')} END")
+        "_down", F.expr(f"CASE WHEN {usable} THEN {walk(1, f'g <= {top}')} END")
     )
     joined = "concat(reverse(_up), run, _down)"
     return rows.withColumn("extended", F.expr(f"CASE WHEN {usable} THEN {thin(joined, '_sep')} ELSE run END")).drop(

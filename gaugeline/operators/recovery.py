@@ -252,10 +252,10 @@ def union_recovered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("kept", F.when(added, F.col("_4")).otherwise(F.col("kept"))).drop("_0", "_1", "_2", "_3", "_4", "found")
 
 
-def split_oversize(boxes: DataFrame, separators: DataFrame) -> DataFrame:
+def split_oversize(boxes: DataFrame, separators: DataFrame, height: float = float("inf")) -> DataFrame:
     """Cut candidates at their separators (image keys, box_id, seps: sorted array of y).
 
-    Too few separators or a part under 0.35 of the median height keep the box whole.  The
+    Parts end at the borders of the image.  Too few separators or a part under 0.35 of the median height keep the box whole.  The
     separators of an image travel as one row, so the boxes stay partitioned by image.
     """
     listed = separators.groupBy(*IMAGE).agg(F.collect_list(F.struct("box_id", "seps")).alias("_cuts"))
@@ -264,7 +264,7 @@ def split_oversize(boxes: DataFrame, separators: DataFrame) -> DataFrame:
     wanted = F.greatest(F.lit(1), F.col("parts") - 1)
     cuts = F.when(F.size("seps") >= wanted, F.slice("seps", F.lit(1), wanted))
     borders = F.concat(F.array("y1"), cuts, F.array("y2"))
-    low = lambda v: F.greatest(F.lit(0.0), v)
+    low = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(float(height)), v))
     spans = F.zip_with(
         F.slice(borders, F.lit(1), F.size(cuts) + 1), F.slice(borders, F.lit(2), F.size(cuts) + 1),
         lambda a, b: F.struct(low(a).alias("a"), low(b).alias("b")),
@@ -293,6 +293,7 @@ def clean_boxes(
     separators: DataFrame | None = None,
     base_conf: float = K.DETECTOR_CONF,
     recover: bool = True,
+    height: float = float("inf"),
 ) -> DataFrame:
     """The whole cleaning of detector boxes, in its fixed order.
 
@@ -307,7 +308,7 @@ def clean_boxes(
         kept = B.unpack(union_recovered(recover_edges(rows)), "kept")
     kept = B.drop_lateral_outliers(kept, base_conf)
     if separators is not None:
-        parts = split_oversize(kept, separators)
+        parts = split_oversize(kept, separators, height)
         packed = parts.groupBy(*IMAGE).agg(
             F.collect_list(F.when(~F.col("was_split"), F.struct(*FIELDS))).alias("kept"),
             F.collect_list(F.when(F.col("was_split"), F.struct(*FIELDS))).alias("found"),

@@ -40,7 +40,7 @@ def vertical(a: str, b: str) -> str:
 
 BOX = (
     "{'yc': yc, 'box_id': box_id, 'xc': xc, 'w': w, 'h': h, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2,"
-    " 'conf': conf, 'flags': []::VARCHAR[]}"
+    " 'conf': conf, 'flags': []::VARCHAR[], 'solo': 0}"
 )
 STRONGEST_FIRST = f"conf DESC, {area('')}, yc, box_id"
 
@@ -71,7 +71,8 @@ def collapsed(source: str) -> str:
 
     def flagged(b: str) -> str:
         fields = ", ".join(f"'{n}': {b}{n}" for n in ("yc", "box_id", "xc", "w", "h", "x1", "y1", "x2", "y2", "conf"))
-        return f"{{{fields}, 'flags': list_append({b}flags, {flag})}}"
+        # solo: how often the box won because of the band alone
+        return f"{{{fields}, 'flags': list_append({b}flags, {flag}), 'solo': {last}solo + CASE WHEN {band} AND NOT {local} THEN 1 ELSE 0 END}}"
 
     return f"""(SELECT run_id, side, img, list_reduce(list_transform(a, lambda b: [b]), lambda acc, b:
       CASE WHEN {local} OR {band}
@@ -142,7 +143,7 @@ def collapse_vertical_duplicates(spark, sf):
 @query("c14_suppression_audit", sql("v_boxes", f"""{CHAIN}
 SELECT r.img, r.n AS raw_count, v.n AS valid_count, v.n - s.n AS removed_large_containers,
        s.n - len(strong.kept) AS suppressed_overlap, len(strong.kept) - len(final.kept) AS suppressed_vertical_duplicate,
-       len(final.kept) AS final_count
+       CAST(list_sum(list_transform(final.kept, lambda k: k.solo)) AS BIGINT) AS suppressed_vertical_y_duplicate, len(final.kept) AS final_count
 FROM (SELECT img, count(*) AS n FROM v_boxes GROUP BY 1) r
 JOIN (SELECT img, count(*) AS n FROM v_boxes WHERE {area('')} > 1 GROUP BY 1) v USING (img)
 JOIN (SELECT img, count(*) AS n FROM single GROUP BY 1) s USING (img) JOIN strong USING (img) JOIN final USING (img)"""))

@@ -73,7 +73,7 @@ def quads(spark, sf):
 
 
 def homographies(spark, sf):
-    return A.fit_homography(quads(spark, sf))
+    return A.fit_homography(quads(spark, sf)).withColumn("side", F.expr("CASE WHEN k % 2 = 0 THEN '151' ELSE '152' END"))
 
 
 def matrix_text(source: str, q: str, w: str, h: str, keep: str) -> str:
@@ -217,7 +217,7 @@ def full_view_rect(spark, sf):
 PAIRS = "(VALUES ('top_03', 'top_04', 38.75, 'top_03-04'), ('mark_05', 'mark_06', 38.75, 'mark_05-06'), ('mark_03', 'mark_04', 47.75, 'mark_03-04')) s(la, lb, inches, name)"
 VIEWS["v_scales"] = f"""
   SELECT cal_id, name AS label, inches::DOUBLE AS distance_in, abs(bx - ax) AS distance_px FROM (
-    SELECT h.cal_id, name, inches, {WX.format('a.x', 'a.y')} AS ax, {WX.format('b.x', 'b.y')} AS bx FROM v_points a JOIN v_points b USING (cal_id) JOIN {PAIRS} ON a.label = la AND b.label = lb JOIN v_hom h USING (cal_id)) WHERE abs(bx - ax) > 1e-6"""
+    SELECT h.cal_id, name, inches, {WX.format('a.x', 'a.y')} AS ax, {WX.format('b.x', 'b.y')} AS bx FROM v_points a JOIN v_points b USING (cal_id) JOIN {PAIRS} ON a.label = la AND b.label = lb JOIN v_hom h USING (cal_id) WHERE h.k % 2 = 0) WHERE abs(bx - ax) > 1e-6"""
 NEEDS["v_scales"] = ["v_points", "v_hom"]
 
 
@@ -301,7 +301,7 @@ def marker_positions(spark, sf):
         F.when(t % 4 == 2, F.expr("630D + offset_px")).alias("x2"), F.when(t % 4 == 2, F.expr("y_center + 9D")).alias("y2"),
     )
     rows = every.select("run_id", "side", "tube_idx", t.alias("tube_number"), F.lit("matched").alias("match_status"))
-    sides = homographies(spark, sf).withColumn("side", F.expr("CASE WHEN k % 2 = 0 THEN '151' ELSE '152' END")).groupBy("side").agg(
+    sides = homographies(spark, sf).groupBy("side").agg(
         *[F.min_by(h, "k").alias(h) for h in A.MATRIX]
     )
     return A.marker_positions(rows, drawn, sides, 1600, 1200)

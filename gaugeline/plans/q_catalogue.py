@@ -78,7 +78,7 @@ def scan_datasets(spark, sf):
 
 @query("a5_scan_match_results", sql("v_items", """
 SELECT run_id, 1 AS version, tube_idx AS tube_number, CASE WHEN unmatched THEN 'left_only' ELSE 'matched' END AS match_status, round(distance_in, 6) AS total_length_in
-FROM v_items WHERE side = '151' AND split_part(run_id, '.', 1)::BIGINT % 6 <> 0"""))
+FROM v_items WHERE side = '151' AND run_id::BIGINT % 6 <> 0"""))
 def scan_match_results(spark, sf):
     path = fresh_path(spark, "results")
     row = F.struct(F.col("tube_idx").alias("tube_number"), F.when(F.col("unmatched"), "left_only").otherwise("matched").alias("match_status"), F.col("distance_in").alias("total_length_in"))
@@ -171,19 +171,19 @@ def latest_per_side(spark, sf):
 
 
 @query("e11_dataset_as_of", """
-WITH x AS (SELECT user_id, ts AS stamp, event_id * 37 % 10007 AS mtime, 'e' || event_id AS path FROM events WHERE event_type <> 'error'),
-m AS (SELECT event_id AS match_id, user_id, ts, CASE WHEN event_id % 13 = 0 THEN 'given_' || event_id || '.json' WHEN event_id % 5 = 0 THEN 'latest.json' END AS input_path FROM events WHERE event_type = 'error'),
+WITH x AS (SELECT user_id, ts AS stamp, event_id * 37 % 10007 AS mtime, 'e' || event_id AS path FROM events WHERE event_type <> 'error' AND event_id % 7 <> 0),
+m AS (SELECT event_id AS match_id, user_id, CASE WHEN event_id % 11 <> 0 THEN ts END AS ts, CASE WHEN event_id % 13 = 0 THEN 'given_' || event_id || '.json' WHEN event_id % 5 = 0 THEN 'latest.json' END AS input_path FROM events WHERE event_type = 'error'),
 j AS (SELECT match_id, m.user_id, input_path, arg_max(path, {'m': mtime, 'p': path}) FILTER (WHERE stamp <= ts) AS a, arg_max(path, {'m': mtime, 'p': path}) AS n FROM m LEFT JOIN x USING (user_id) GROUP BY 1, 2, 3)
-SELECT match_id, user_id, coalesce(CASE WHEN input_path <> 'latest.json' THEN input_path END, a, n) AS path,
-       CASE WHEN input_path <> 'latest.json' THEN 'given' WHEN a IS NOT NULL THEN 'as_of' WHEN n IS NOT NULL THEN 'newest' ELSE 'none' END AS how FROM j""")
+SELECT match_id, user_id, coalesce(CASE WHEN input_path <> 'latest.json' THEN input_path END, a, n, input_path) AS path,
+       CASE WHEN input_path <> 'latest.json' THEN 'given' WHEN a IS NOT NULL THEN 'as_of' WHEN n IS NOT NULL THEN 'newest' WHEN input_path IS NOT NULL THEN 'input' ELSE 'none' END AS how FROM j""")
 def dataset_as_of(spark, sf):
     rows = views.table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     e = F.col("event_id")
     exports = rows.filter(F.col("event_type") != "error").select(
-        "user_id", F.col("ts").alias("stamp"), (e * 37 % 10007).alias("mtime"), F.concat(F.lit("e"), e.cast("string")).alias("path")
+        "user_id", F.when(e % 7 != 0, F.col("ts")).alias("stamp"), (e * 37 % 10007).alias("mtime"), F.concat(F.lit("e"), e.cast("string")).alias("path")
     )
     given = F.when(e % 13 == 0, F.concat(F.lit("given_"), e.cast("string"), F.lit(".json"))).when(e % 5 == 0, "latest.json")
-    matches = rows.filter(F.col("event_type") == "error").select(e.alias("match_id"), "user_id", F.col("ts").alias("match_ts"), given.alias("input_path"))
+    matches = rows.filter(F.col("event_type") == "error").select(e.alias("match_id"), "user_id", F.when(e % 11 != 0, F.col("ts")).alias("match_ts"), given.alias("input_path"))
     return C.dataset_as_of(matches, exports, "user_id")
 
 

@@ -237,7 +237,7 @@ def set_flag(spark, sf):
 
 
 @query("l5_relabel_after_recrop", sql("v_lines", """
-SELECT camera, count(*) AS images, count(n) AS relabelled, CAST(coalesce(sum(n), 0) AS BIGINT) AS lines FROM (SELECT DISTINCT side AS camera, img FROM v_lines WHERE split_part(run_id, '.', 1)::BIGINT % 3 <> 0)
+SELECT camera, count(*) AS images, count(n) AS relabelled, CAST(coalesce(sum(n), 0) AS BIGINT) AS lines FROM (SELECT DISTINCT side AS camera, img FROM v_lines WHERE run_id::BIGINT % 3 <> 0)
 LEFT JOIN (SELECT img, count(*) AS n FROM v_lines WHERE l_linenumber > 1 GROUP BY 1) USING (img) GROUP BY 1"""))
 def relabel_after_recrop(spark, sf):
     lines = label_lines(spark, sf).filter(F.col("l_linenumber") > 1).select(F.col("side").alias("camera"), F.col("img").alias("stem"), "value")

@@ -99,7 +99,7 @@ VIEWS["v_runs"] = """
     SELECT *, least(n151, n152) / greatest(n151, n152)::DOUBLE AS count_ratio,
            modelled AND least(n151, n152) >= 8 AND least(n151, n152) / greatest(n151, n152)::DOUBLE >= 0.7 AND order_matched > slot_matched AS use_order
     FROM (SELECT run_id, count(*) FILTER (WHERE side = '151') AS n151, count(*) FILTER (WHERE side = '152') AS n152,
-                 split_part(run_id, '.', 1)::BIGINT % 2 = 0 AND count(DISTINCT side) = 2 AS modelled FROM v_active GROUP BY 1)
+                 run_id::BIGINT % 2 = 0 AND count(DISTINCT side) = 2 AS modelled FROM v_active GROUP BY 1)
     JOIN (SELECT run_id, count(*) FILTER (WHERE match_status = 'matched') AS order_matched FROM v_order_rows GROUP BY 1) USING (run_id)
     JOIN (SELECT run_id, count(*) FILTER (WHERE match_status = 'matched') AS slot_matched FROM v_slot_rows GROUP BY 1) USING (run_id)
     JOIN (SELECT run_id, bool_or(bundle) AS bundle FROM v_slots GROUP BY 1) USING (run_id))"""

@@ -154,7 +154,7 @@ def stretched(spark, sf):
 
 @query("d15_extend_periodic")
 def extend_periodic(spark, sf):
-    return R.extend_periodic(stretched(spark, sf), 64).select("series", joined("extended", "extended"))
+    return R.extend_periodic(stretched(spark, sf)).select("series", joined("extended", "extended"))
 
 
 @query("d15_extend_supported")

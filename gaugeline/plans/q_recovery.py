@@ -68,18 +68,18 @@ def separators(boxes):
 @query("e15_split_oversize", sql("v_boxes", OVERSIZE + """,
 p AS (SELECT *, CASE WHEN decision = 'candidate' AND conf < 0.95 THEN least(greatest(2, CAST(round_even(h / median_h, 0) AS INTEGER)), 4) END AS parts FROM o),
 c AS (SELECT *, list_concat([y1], list_transform(range(1, parts), lambda k: y1 + k * (h / parts)), [y2]) AS e FROM p),
-s AS (SELECT *, parts IS NOT NULL AND len(list_filter(range(1, parts + 1), lambda k: greatest(0.0, e[k + 1]) - greatest(0.0, e[k]) < 0.35 * median_h)) = 0 AS cut FROM c)
-SELECT img, box_id || '/' || k AS box_id, round(greatest(0.0, e[k]), 6) AS y1, round(greatest(0.0, e[k + 1]), 6) AS y2, round(greatest(0.01, 0.92 * conf), 6) AS conf,
+s AS (SELECT *, parts IS NOT NULL AND len(list_filter(range(1, parts + 1), lambda k: greatest(0.0, least(1200.0, e[k + 1])) - greatest(0.0, least(1200.0, e[k])) < 0.35 * median_h)) = 0 AS cut FROM c)
+SELECT img, box_id || '/' || k AS box_id, round(greatest(0.0, least(1200.0, e[k])), 6) AS y1, round(greatest(0.0, least(1200.0, e[k + 1])), 6) AS y2, round(greatest(0.01, 0.92 * conf), 6) AS conf,
        'split_sobel_y' AS flags FROM (SELECT *, unnest(range(1, parts + 1)) AS k FROM s WHERE cut)
 UNION ALL SELECT img, box_id, round(y1, 6) AS y1, round(y2, 6) AS y2, round(conf, 6) AS conf, '' AS flags FROM s WHERE NOT cut"""))
 def split_oversize(spark, sf):
     boxes = views.boxes(spark, sf)
-    parts = R.split_oversize(boxes, separators(boxes))
+    parts = R.split_oversize(boxes, separators(boxes), 1200.0)
     return parts.select("img", "box_id", *[r6(c).alias(c) for c in ("y1", "y2", "conf")], F.array_join("flags", "|").alias("flags"))
 
 
 @query("clean_boxes")
 def clean_boxes(spark, sf):
     strong, weak, images = inputs(spark, sf)
-    cleaned = R.clean_boxes(strong, weak, images, separators=separators(strong))
+    cleaned = R.clean_boxes(strong, weak, images, separators=separators(strong), height=float(views.HEIGHT))
     return cleaned.select("img", "box_id", "tube_idx", "from_bottom", r6("yc").alias("yc"), "conf", F.array_join("flags", "|").alias("flags"))

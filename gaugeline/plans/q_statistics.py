@@ -99,7 +99,7 @@ def top_outliers(spark, sf):
 @query("c10_side_scale", sql("v_items", f"""
 SELECT run_id, side, round({mid('x')}, 6) AS ref_x, round(coalesce(meta, {mid('s')}), 6) AS px_per_in FROM (
   SELECT run_id, side, {sorted_list('ref_x', 'true')} AS x, {sorted_list('abs(offset_px) / distance_in', 'distance_in <> 0')} AS s,
-         CASE WHEN split_part(run_id, '.', 1)::BIGINT % 4 = 0 THEN 4.75::DOUBLE END AS meta FROM v_items GROUP BY 1, 2)"""))
+         CASE WHEN run_id::BIGINT % 4 = 0 THEN 4.75::DOUBLE END AS meta FROM v_items GROUP BY 1, 2)"""))
 def side_scale(spark, sf):
     items = views.items(spark, sf).withColumn("px_per_in", F.when(views.run_number() % 4 == 0, 4.75))
     return T.side_scale(items).select("run_id", "side", r6("ref_x").alias("ref_x"), r6("px_per_in").alias("px_per_in"))

@@ -1,8 +1,8 @@
 """Bindings: detection tables derived from the driver tables, for Spark and for DuckDB.
 
-A part is a camera position and its line items are boxes.  Parts with more than
-FRAME_BOXES rows are spread over several frames by a row value, so that an image stays
-small however many rows one part holds; the same rule bounds profiles and exports.
+Sixteen neighbouring orders are one run, their line items its boxes, and the parity of the part tells the camera. An order
+has a handful of lines, so an image has a few dozen boxes at every size of the tables. A series is what one user did within
+a block of 65,536 event numbers, so it never holds more values than that.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.session import cut_lineage
 
-FRAME_BOXES = 64
-STRIP_ROWS = 256
+ORDERS_PER_RUN = 16
+EVENTS_PER_BLOCK = 65_536
 WIDTH = 1280
 HEIGHT = 1536
 
@@ -22,48 +21,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-BROADCAST_KEYS = 500_000
-_crowded: dict[tuple, DataFrame] = {}
-
-
-def crowded_keys(df: DataFrame, key: str, limit: int, source: str) -> DataFrame:
-    """Keys beyond the limit and how many frames each needs.
-
-    Counted once per session and table from the key column alone and kept in the shared
-    folder.  The stored list is broadcast only after its length was checked; a longer one
-    is joined by shuffle, where adaptive execution splits skewed partitions.
-    """
-    name = (df.sparkSession.sparkContext.applicationId, source, key, limit)
-    if name not in _crowded:
-        counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-        stored = cut_lineage(counted.select(key, F.ceil(F.col("_n") / F.lit(float(limit))).alias("_frames")))
-        _crowded[name] = F.broadcast(stored) if stored.count() <= BROADCAST_KEYS else stored
-    return _crowded[name]
-
-
-def frames(df: DataFrame, key: str, spread, limit: int, name: str, source: str) -> DataFrame:
-    """Adds a frame number: 0 for keys within the limit, spread evenly beyond it."""
-    crowded = crowded_keys(df.select(key), key, limit, source)
-    return (
-        df.join(crowded, key, "left")
-        .withColumn(name, F.coalesce(F.pmod(spread, F.col("_frames")), F.lit(0)).cast("bigint"))
-        .drop("_frames")
-    )
-
-
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     )
-    spread = F.col("l_orderkey") * 31 + F.col("l_suppkey") * 7 + F.col("l_linenumber") + F.col("l_quantity").cast("bigint")
     w = F.lit(20.0) + F.col("l_quantity") * F.lit(0.5)
     h = F.lit(12.0) + F.col("l_quantity") * F.lit(0.4)
     xc = F.lit(600.0) + F.col("l_tax") * F.lit(1000.0)
     yc = F.col("l_extendedprice") / F.lit(70.0)
-    run = F.concat(F.floor(F.col("l_partkey") / F.lit(2.0)).cast("bigint").cast("string"), F.lit("."), F.col("frame").cast("string"))
+    run = F.expr(f"l_orderkey div {ORDERS_PER_RUN}").cast("string")
     side = F.when(F.col("l_partkey") % 2 == 0, "151").otherwise("152")
-    return frames(items, "l_partkey", spread, FRAME_BOXES, "frame", sf).select(
+    return items.select(
         run.alias("run_id"),
         side.alias("side"),
         F.concat(run, F.lit("/"), side).alias("img"),
@@ -107,7 +76,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_number(column: str = "run_id"):
-    return F.substring_index(F.col(column), ".", 1).cast("bigint")
+    return F.col(column).cast("bigint")
 
 
 def datasets(spark: SparkSession, sf: str) -> DataFrame:
@@ -125,12 +94,12 @@ def datasets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Short value series: one per user, or several where a user has very many events."""
+    """Value series: one per user and block of event numbers."""
     from pyspark.sql import Window
 
     events = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    series = F.concat_ws(".", F.col("user_id").cast("string"), F.col("strip").cast("string"))
-    named = frames(events, "user_id", F.col("event_id"), STRIP_ROWS, "strip", sf).withColumn("series", series)
+    block = F.expr(f"event_id div {EVENTS_PER_BLOCK}").cast("string")
+    named = events.withColumn("series", F.concat_ws(".", F.col("user_id").cast("string"), block))
     order = Window.partitionBy("series").orderBy("ts", "event_id")
     return named.select(
         "series", (F.row_number().over(order) - 1).cast("bigint").alias("idx"), F.col("value")
@@ -148,14 +117,10 @@ VIEWS: dict[str, str] = {
          xc - 0.5::DOUBLE * w AS x1, yc - 0.5::DOUBLE * h AS y1,
          xc + 0.5::DOUBLE * w AS x2, yc + 0.5::DOUBLE * h AS y2,
          l_orderkey, l_linenumber, l_returnflag, l_linestatus
-  FROM (SELECT l.*, (l_partkey // 2)::VARCHAR || '.' ||
-               coalesce((l_orderkey * 31 + l_suppkey * 7 + l_linenumber + CAST(l_quantity AS BIGINT)) % n_frames, 0)::VARCHAR AS run_id,
-               CASE WHEN l_partkey % 2 = 0 THEN '151' ELSE '152' END AS side,
+  FROM (SELECT l.*, (l_orderkey // 16)::VARCHAR AS run_id, CASE WHEN l_partkey % 2 = 0 THEN '151' ELSE '152' END AS side,
                600.0::DOUBLE + l_tax * 1000.0::DOUBLE AS xc, l_extendedprice / 70.0::DOUBLE AS yc,
                20.0::DOUBLE + l_quantity * 0.5::DOUBLE AS w, 12.0::DOUBLE + l_quantity * 0.4::DOUBLE AS h
-        FROM lineitem l LEFT JOIN
-             (SELECT l_partkey, CAST(ceil(count(*) / 64.0) AS BIGINT) AS n_frames
-              FROM lineitem GROUP BY 1 HAVING count(*) > 64) USING (l_partkey))""",
+        FROM lineitem l)""",
     "v_items": """
   SELECT run_id, side, box_id AS id, CAST(row_number() OVER (PARTITION BY run_id, side ORDER BY yc, box_id) AS INTEGER) AS tube_idx,
          CAST(row_number() OVER (PARTITION BY run_id, side ORDER BY yc, box_id) - 1 AS INTEGER) AS source_order, abs(xc - 610.0::DOUBLE) / 5.0::DOUBLE AS distance_in,
@@ -171,13 +136,10 @@ VIEWS: dict[str, str] = {
          CASE WHEN n % 5 <> 0 THEN 1280.0::DOUBLE END AS image_w, CASE WHEN n % 5 <> 0 THEN 1536.0::DOUBLE END AS image_h,
          CASE WHEN n % 4 = 0 THEN 10.0::DOUBLE END AS roi_x, CASE WHEN n % 4 = 0 THEN 20.0::DOUBLE END AS roi_y,
          CASE WHEN n % 4 = 0 THEN 1280.0::DOUBLE END AS roi_w, CASE WHEN n % 4 = 0 THEN 1536.0::DOUBLE END AS roi_h
-  FROM (SELECT run_id, side, CAST(split_part(run_id, '.', 1) AS BIGINT) AS n, min(yc) AS lo, max(yc) AS hi FROM v_boxes GROUP BY ALL)""",
+  FROM (SELECT run_id, side, CAST(run_id AS BIGINT) AS n, min(yc) AS lo, max(yc) AS hi FROM v_boxes GROUP BY ALL)""",
     "v_profile": """
   SELECT series, row_number() OVER (PARTITION BY series ORDER BY ts, event_id) - 1 AS idx, value
-  FROM (SELECT e.*, user_id::VARCHAR || '.' || coalesce(event_id % n_strips, 0)::VARCHAR AS series
-        FROM events e LEFT JOIN
-             (SELECT user_id, CAST(ceil(count(*) / 256.0) AS BIGINT) AS n_strips
-              FROM events GROUP BY 1 HAVING count(*) > 256) USING (user_id))""",
+  FROM (SELECT *, user_id::VARCHAR || '.' || (event_id // 65536)::VARCHAR AS series FROM events)""",
     "v_gaps": """
   SELECT *, lead(yc) OVER (PARTITION BY img ORDER BY yc, box_id) - yc AS gap FROM v_boxes""",
 }

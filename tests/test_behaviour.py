@@ -177,10 +177,11 @@ def test_exact_median_of_a_hot_group(spark, n):
     assert got["cold"] == 6.0 and math.isclose(got["hot"], 0.5 * (hot[(n - 1) // 2] + hot[n // 2]))
 
 
-def test_hot_part_is_spread_over_frames(spark):
-    rows = spark.range(3000).selectExpr("if(id % 3 > 0, 7, id) AS part", "id")
-    framed = views.frames(rows, "part", F.col("id"), 64, "frame", "test_hot_part").groupBy("part", "frame").count()
-    assert framed.agg(F.max("count")).first()[0] <= 128 and framed.agg(F.sum("count")).first()[0] == 3000
+def test_images_and_series_follow_from_fixed_widths(spark):
+    sf = "/root/testdata/sf0.001"
+    runs = views.boxes(spark, sf).select((F.col("l_orderkey") / 16).cast("bigint").cast("string").alias("want"), "run_id")
+    assert runs.filter("run_id <> want").count() == 0
+    assert views.boxes(spark, sf).groupBy("img").count().agg(F.max("count")).first()[0] <= 256
 
 
 def test_best_run_and_extension(spark):
@@ -188,7 +189,7 @@ def test_best_run_and_extension(spark):
     rows = spark.createDataFrame([("s", peaks, 20.0, [0.5] * 400)], "series string, peaks array<bigint>, period double, x array<double>")
     run = R.best_periodic_run(rows, 14, 34, 4)
     assert run.first()["run"] == [40, 60, 81, 100, 120]
-    extended = R.extend_periodic(run, 64).first()["extended"]
+    extended = R.extend_periodic(run).first()["extended"]
     assert extended[:3] == [0, 20, 40] or extended[0] >= 0
     assert all(b - a >= 11 for a, b in zip(extended, extended[1:]))
 
@@ -209,85 +210,118 @@ def test_as_of_with_a_hot_key(spark):
         assert got[i] == max(before or mine)[1]
 
 
-def plain_runs(peaks, low, high):
-    best = []
-    for i in range(len(peaks)):
-        run = [peaks[i]]
-        for p in peaks[i + 1 :]:
-            if p - run[-1] > high:
-                break
-            if p - run[-1] >= low:
-                run.append(p)
-        if len(run) > len(best):
-            best = run
-    return best
-
-
-def plain_walk(run, peaks, period, unit, sign):
-    """Steps of one period; snap to a peak nearby, else the profile must support the place."""
-    pos = 0.55 * (len(unit) - 1)
-    ordered = sorted(unit)
-    cut = max(0.16, ordered[int(pos)] + (pos - int(pos)) * (ordered[min(len(unit) - 1, math.ceil(pos))] - ordered[int(pos)]))
-    reach, apart, at, out = max(5, round(0.4 * period)), max(10, round(0.55 * period)), run[0] if sign < 0 else run[-1], []
-    while True:
-        guess = round(at + sign * period)
-        if guess < 0 or guess > len(unit) - 1:
-            return out
-        near = [p for p in peaks if abs(p - guess) <= reach]
-        place = min(near, key=lambda p: (abs(p - guess), p)) if near else (guess if unit[guess] >= cut else None)
-        if place is None or sign * (place - at) < apart:
-            return out
-        out.append(place)
-        at = place
-
-
-def test_runs_and_extension_equal_plain_loops(spark):
-    rng = random.Random(8)
-    cases = []
-    for n in range(30):
-        peaks = sorted(rng.sample(range(5, 395), rng.randrange(6, 18)))
-        cases.append((f"s{n}", peaks, float(rng.randrange(14, 30)), [rng.random() for _ in range(400)]))
-    rows = spark.createDataFrame(cases, "series string, peaks array<bigint>, period double, x array<double>")
-    got = {r["series"]: r for r in R.extend_periodic(R.best_periodic_run(rows, 14, 34, 3), 64).collect()}
-    for name, peaks, period, unit in cases:
-        best = plain_runs(peaks, 14, 34)
-        run = best if len(best) >= 3 else peaks
-        assert got[name]["run"] == run
-        joined = plain_walk(run, peaks, period, unit, -1)[::-1] + run + plain_walk(run, peaks, period, unit, 1)
-        thin = []
-        for p in joined:
-            if not thin or p - thin[-1] >= max(10, round(0.55 * period)):
-                thin.append(p)
-        assert got[name]["extended"] == thin
-
-
-def plain_cluster(peaks, period, height):
-    low, high, best = max(12, math.floor(0.75 * period)), 0, None
-    high = max(low + 1, math.ceil(1.15 * period))
-    if len(peaks) < 8:
-        return peaks
-    start = 0
-    for i in range(1, len(peaks) + 1):
-        if i == len(peaks) or not low <= peaks[i] - peaks[i - 1] <= high:
-            if i - start >= 8 and peaks[start] >= round(0.45 * height):
-                best = max(best or (0, 0, 0), (i - start, peaks[start], start))
-            start = i
-    return peaks if best is None else peaks[best[2] :]
-
-
-def test_bottom_cluster_equals_plain_loop(spark):
-    rng = random.Random(4)
-    cases = []
-    for n in range(30):
-        y, peaks = rng.randrange(0, 250), []
-        for _ in range(24):
-            peaks.append(y)
-            y += rng.choice([19, 20, 21, 22, 20, 20, 20, 20, 20, 45])
-        cases.append((f"s{n}", peaks[: rng.choice([5, 24])], 20.0))
-    rows = spark.createDataFrame(cases, "series string, peaks array<bigint>, period double")
-    got = {r["series"]: r["cluster"] for r in R.bottom_cluster(rows, 500).collect()}
-    assert got == {name: plain_cluster(peaks, period, 500) for name, peaks, period in cases}
-    assert any(got[name] != peaks for name, peaks, _ in cases)
+def test_extension_walks_as_far_as_the_profile_supports(spark):
+    rows = spark.createDataFrame(
+        [("s", [500, 510, 520], [500, 510, 520], 10.0, [1.0] * 1500)], "series string, peaks array<bigint>, run array<bigint>, period double, x array<double>"
+    )
+    assert R.extend_periodic(rows).first()["extended"] == list(range(0, 1500, 10))
+    assert R.extend_periodic(rows, y_min=300, y_max=700).first()["extended"] == list(range(300, 701, 10))
+
+
+def test_extension_stops_where_support_ends_and_snaps_to_peaks(spark):
+    profile = [0.0] * 100 + [1.0] * 100 + [0.0] * 100
+    rows = spark.createDataFrame(
+        [("s", [87, 140, 160], [140, 160], 20.0, profile)], "series string, peaks array<bigint>, run array<bigint>, period double, x array<double>"
+    )
+    # up: 120 and 100 stand on the profile, 80 snaps to the peak at 87, 67 has neither; down: 180, then nothing holds 200
+    assert R.extend_periodic(rows).first()["extended"] == [87, 100, 120, 140, 160, 180]
+
+
+@pytest.mark.parametrize("peaks, run, period", [
+    ([0, 20, 58], [0, 20, 58], 29.0),  # no regular run: all peaks, gaps of 12 to 40 count
+    ([0, 15, 30, 45, 200], [0, 15, 30, 45], 15.0),
+    ([0, 15, 30, 100, 120, 140], [0, 15, 30], 15.0),  # equally long runs: the first
+    ([0, 5, 15, 30, 100], [0, 15, 30], 15.0),  # a close peak is passed over
+])
+def test_best_run(spark, peaks, run, period):
+    rows = spark.createDataFrame([("s", peaks)], "series string, peaks array<bigint>")
+    got = R.best_periodic_run(rows, 14, 34, 3).first()
+    assert (got["run"], got["run_period"]) == (run, period)
+
+
+@pytest.mark.parametrize("n, kept", [(10, 10), (7, 10)])
+def test_bottom_cluster(spark, n, kept):
+    top, low = [10, 60, 110], [230 + 20 * i for i in range(n)]
+    rows = spark.createDataFrame([("s", top + low, 20.0)], "series string, peaks array<bigint>, period double")
+    assert R.bottom_cluster(rows, 500).first()["cluster"] == (top + low)[-kept:]
+
+
+def test_as_of_without_times(spark):
+    from gaugeline.operators.catalogue import dataset_as_of
+
+    at = lambda df, c: df.withColumn(c, F.timestamp_millis(c))
+    exports = at(spark.createDataFrame([("u", 10, 5, "e1"), ("u", 20, 9, "e3"), ("u", None, 99, "nostamp")], "k string, stamp bigint, mtime bigint, path string"), "stamp")
+    matches = at(spark.createDataFrame([
+        (1, "u", 15, None), (2, "u", None, None), (3, "u", 5, "d/latest.json"), (4, "u", 15, "d/my_latest.json"), (5, "v", 15, "d/LATEST.json"), (6, "v", 15, None), (7, "w", 15, None),
+    ], "match_id bigint, k string, match_ts bigint, input_path string"), "match_ts")
+    latest = spark.createDataFrame([("v", "newest_v")], "k string, path string")
+    got = {r["match_id"]: (r["path"], r["how"]) for r in dataset_as_of(matches, exports, "k", latest=latest).collect()}
+    assert got == {
+        1: ("e1", "as_of"), 2: ("e3", "newest"), 3: ("e3", "newest"), 4: ("d/my_latest.json", "given"), 5: ("d/LATEST.json", "input"),
+        6: ("newest_v", "latest"), 7: (None, "none"),
+    }
+
+
+def test_both_forms_of_clipping(spark):
+    images = spark.createDataFrame([("a", 100, 100)], "img string, width int, height int")
+    sized = spark.createDataFrame([("a", "1", -10.0, 10.0, 30.0, 20.0, 20.0, 0.5)], "img string, box_id string, x double, y double, w double, h double, yc double, conf double")
+    assert D.label_texts(sized, images).first()["text"] == "0 0.150000 0.200000 0.300000 0.200000\n"
+    corners = sized.selectExpr("img", "box_id", "x AS x1", "y AS y1", "x + w AS x2", "y + h AS y2", "yc", "conf")
+    assert D.label_texts(corners, images).first()["text"] == "0 0.100000 0.200000 0.200000 0.200000\n"
+    assert M.clip_sized(sized, images).select("x", "w").first() == (0.0, 30.0)
+
+
+def test_run_without_active_items_has_a_header(spark):
+    columns = "run_id string, side string, id string, tube_idx int, source_order int, distance_in double, offset_px double, relative_position string, active boolean, unmatched boolean, notes string, y_center double, box_height double, ref_x double"
+    items = spark.createDataFrame([(run, side, f"{side}{i}", i, i, 5.0, 1.0, None, run == "2", False, "", 40.0 * i, 20.0, 610.0) for run in "12" for side in ("151", "152") for i in (1, 2)], columns)
+    sets = spark.createDataFrame([(r, s, None, None, "classic", None, None, None, None, None, None) for r in "12" for s in ("151", "152")],
+                                 "run_id string, side string, bounds_top double, bounds_bottom double, detection_source string, image_w double, image_h double, roi_x double, roi_y double, roi_w double, roi_h double")
+    rows, header = P.match_runs(items, sets)
+    assert {r["run_id"]: (r["n151"], r["n152"], r["slot_matched"]) for r in header.collect()} == {"1": (0, 0, 0), "2": (2, 2, 2)}
+    assert {r["run_id"] for r in rows.collect()} == {"2"}
+
+
+def test_known_pairs_scale_the_left_camera_only(spark):
+    from gaugeline.operators import calibration as A
+
+    points = spark.createDataFrame([(c, n, label, 155.0 * n, 10.0) for c in ("l", "r") for n, label in enumerate(("top_03", "top_04"))], "cal_id string, position int, label string, x double, y double")
+    unit = spark.createDataFrame([(c, side, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0) for c, side in (("l", "151"), ("r", "152"))], "cal_id string, side string, " + ", ".join(f"{h} double" for h in A.MATRIX))
+    assert [(r["cal_id"], r["distance_px"]) for r in A.known_distance_pairs(points, unit).collect()] == [("l", 155.0)]
+
+
+def test_degenerate_quads_have_no_matrix(spark):
+    from gaugeline.operators import calibration as A
+
+    names = [c + a for c in ("tl", "tr", "bl", "br") for a in "xy"]
+    good, flat = [0.0, 0.0, 400.0, 0.0, 0.0, 500.0, 400.0, 500.0], [0.0, 0.0, 400.0, 0.0, 0.0, 20.0, 400.0, 20.0]
+    cases = [("good", *good, None, None, None, None), ("flat", *flat, None, None, None, None), ("thin", *good, 0.0, 0.0, 20.0, 499.0)]
+    quads = spark.createDataFrame(cases, "cal_id string, " + ", ".join(f"{n} double" for n in names) + ", rx0 double, ry0 double, rx1 double, ry1 double").withColumns({"exact": F.lit(True), "mirror": F.lit(False)})
+    got = {r["cal_id"]: (r["error"], r["h11"] is None) for r in A.fit_homography(quads).collect()}
+    assert got == {"good": (None, False), "flat": ("degenerate", True), "thin": ("degenerate", True)}
+
+
+def test_last_item_of_a_repeated_number_is_compared(spark):
+    items = spark.createDataFrame([("r", "151", 1, 0, 5.0, None), ("r", "151", 1, 1, 7.0, None)], "run_id string, side string, tube_idx int, source_order int, distance_in double, relative_position string")
+    points = spark.createDataFrame([("r", 1, 10.0, 0.0, None, None)], "run_id string, tube_number int, x_151 double, y_151 double, x_152 double, y_152 double")
+    names = [f"{c}_{s}" for s in ("151", "152") for c in ("lx0", "ly0", "lx1", "ly1", "const_x", "px_per_in")]
+    sides = spark.createDataFrame([("r", *[None if n.startswith("l") else 2.0 for n in names])], "run_id string, " + ", ".join(f"{n} double" for n in names))
+    rows = P.manual_compare(points, sides, items).collect()
+    assert [(r["algorithm_151"], r["manual_151"]) for r in rows] == [(7.0, 4.0)]
+
+
+def test_band_duplicates_are_counted_apart(spark):
+    stack = [centred(0.6, 10, 50), centred(0.8, 500, 51), centred(0.5, 10, 90), centred(0.9, 12, 93)]
+    counts = B.suppression_audit(B.pack(boxes(spark, stack))).first()
+    assert (counts["suppressed_vertical_y_duplicate"], counts["final_count"]) == (1, 2)
+
+
+def test_paths_below_a_root_with_signs(spark):
+    from gaugeline.sources.scans import relative
+
+    cases = [("file:/data/run+1/a/b.txt", "/data/run+1", "a/b.txt"), ("file:///d/x/x/b.txt", "file:///d/x", "x/b.txt"), ("hdfs://h:1/d/r (2)/c.txt", "hdfs://h:1/d/r (2)/", "c.txt"),
+             ("file:/d/r%20(2)/c.txt", "/d/r (2)", "c.txt")]
+    for path, root, want in cases:
+        assert spark.createDataFrame([(path,)], "p string").select(relative(F.col("p"), root)).first()[0] == want
 
 
 def test_late_candidate_is_pulled_back(spark):

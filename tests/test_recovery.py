@@ -1,160 +1,118 @@
-"""Recovery folds against plain loops on a small random fixture."""
+"""Recovered and split boxes: literal cases worked out by hand, and properties on random stacks."""
 
-import math
 import random
-import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
+from gaugeline import constants as K
 from gaugeline.functions.boxes import from_corners
 from gaugeline.operators import boxes as B
 from gaugeline.operators import recovery as R
 
 WIDTH, HEIGHT = 400.0, 1000.0
+BOX = "run_id string, side string, img string, box_id string, conf double, x1 double, y1 double, x2 double, y2 double"
 
 
-class Box:
-    def __init__(self, name, conf, x1, y1, x2, y2):
-        self.name, self.conf, self.x1, self.y1, self.x2, self.y2 = name, conf, x1, y1, x2, y2
-        self.w, self.h, self.xc, self.yc = x2 - x1, y2 - y1, (x1 + x2) / 2, (y1 + y2) / 2
+def frame(spark, rows):
+    """Rows (img, name, conf, xc, yc, w, h)."""
+    data = [("r", "151", i, n, c, x - w / 2, y - h / 2, x + w / 2, y + h / 2) for i, n, c, x, y, w, h in rows]
+    return from_corners(spark.createDataFrame(data, BOX)).withColumn("flags", F.array().cast("array<string>"))
 
 
-def fixture(seed):
+def stack(img, ys):
+    return [(img, f"s{n}", 0.9, 200.0, float(y), 26.0, 20.0) for n, y in enumerate(ys)]
+
+
+def images(spark, names, top=None, bottom=None):
+    return spark.createDataFrame([(n, WIDTH, HEIGHT, top, bottom) for n in names], "img string, width double, height double, bounds_top double, bounds_bottom double")
+
+
+def shown(df):
+    found = B.explode_boxes(df, "found").select("img", "b.*").collect()
+    return sorted((r["img"], r["box_id"], round(r["yc"], 3), round(r["conf"], 3), tuple(r["flags"])) for r in found)
+
+
+def test_one_missing_box(spark):
+    ys = [100, 130, 190, 220, 250, 280]  # pitch 30, one place empty at 160
+    strong = frame(spark, stack("weak", ys) + stack("none", ys) + stack("far", ys))
+    weak = frame(spark, [("weak", "w", 0.15, 202.0, 161.0, 24.0, 18.0), ("weak", "weaker", 0.05, 202.0, 160.0, 24.0, 18.0), ("far", "w", 0.15, 202.0, 235.0, 24.0, 18.0)])
+    rows = R.recover_gaps(R.recovery_input(strong, weak, images(spark, ["weak", "none", "far"])))
+    assert shown(rows) == [
+        ("far", "synthetic:160000", 160.0, K.SYNTHETIC_CONF, (K.FLAG_GAP_SYNTH,)), ("none", "synthetic:160000", 160.0, K.SYNTHETIC_CONF, (K.FLAG_GAP_SYNTH,)),
+        ("weak", "w", 161.0, 0.15, (K.FLAG_GAP,)),
+    ]
+
+
+def test_two_missing_boxes_stand_evenly(spark):
+    rows = R.recover_gaps(R.recovery_input(frame(spark, stack("a", [100, 130, 160, 250, 280, 310])), frame(spark, stack("b", [1])), images(spark, ["a"])))
+    assert [(name, y) for _, name, y, _, _ in shown(rows)] == [("synthetic:190000", 190.0), ("synthetic:220000", 220.0)]
+
+
+def test_regular_stack_and_wide_gap_gain_nothing(spark):
+    strong = frame(spark, stack("even", [100, 130, 160, 190]) + stack("wide", [100, 130, 160, 190, 350, 380]))
+    rows = R.recover_gaps(R.recovery_input(strong, frame(spark, stack("x", [1])), images(spark, ["even", "wide"])))
+    assert shown(rows) == []  # a gap of 160 is over 4.25 pitches
+
+
+def test_edges_inside_the_bounds(spark):
+    strong = frame(spark, stack("a", [300, 330, 360, 390]))
+    rows = R.recover_edges(R.recovery_input(strong, frame(spark, stack("x", [1])), images(spark, ["a"], 235.0, 405.0)))
+    # above: room for two more, one at half a box from the bound; below: 5 pixels are no room
+    found = shown(rows)
+    assert [y for _, _, y, _, _ in found] == [245.0, 270.0]
+    assert {f for *_, flags in found for f in flags} == {K.FLAG_EDGE_TOP + K.FLAG_EDGE_SYNTH_SUFFIX}
+
+
+def test_without_bounds_no_edges(spark):
+    rows = R.recover_edges(R.recovery_input(frame(spark, stack("a", [300, 330, 360])), frame(spark, stack("x", [1])), images(spark, ["a"])))
+    assert shown(rows) == []
+
+
+@pytest.mark.parametrize("height, n, lowest", [(float("inf"), 2, 120.0), (1000.0, 2, 120.0), (112.0, 2, 112.0), (95.0, 1, 120.0)])
+def test_parts_end_at_the_image(spark, height, n, lowest):
+    # a box from 70 to 120 among boxes of 20; a part under 7 pixels leaves it whole
+    rows = stack("a", [10, 40, 140, 170]) + [("a", "tall", 0.8, 200.0, 95.0, 26.0, 50.0)]
+    seps = spark.createDataFrame([("r", "151", "a", "tall", [95.0, 100.0])], "run_id string, side string, img string, box_id string, seps array<double>")
+    parts = R.split_oversize(frame(spark, rows), seps.withColumn("seps", F.slice("seps", 1, F.lit(1))), height).filter("box_id LIKE 'tall%'").collect()
+    assert len(parts) == n and max(p["y2"] for p in parts) == lowest
+
+
+def random_case(seed):
     rng = random.Random(seed)
-    strong, weak, y = [], [], 60.0
+    strong, weak, y, img = [], [], 60.0, f"i{seed}"
     for i in range(22):
         y += rng.choice([28, 30, 33, 62, 95, 140])
         if y > 900:
             break
-        h, w, x = rng.uniform(16, 26), rng.uniform(20, 34), 200 + rng.uniform(-8, 8)
-        strong.append(Box(f"s{i}", 0.5 + rng.random() / 2, x - w / 2, y - h / 2, x + w / 2, y + h / 2))
+        strong.append((img, f"s{i}", 0.5 + rng.random() / 2, 200 + rng.uniform(-8, 8), y, rng.uniform(20, 34), rng.uniform(16, 26)))
     for i in range(25):
-        y, h, w, x = rng.uniform(20, 960), rng.uniform(14, 26), rng.uniform(20, 30), 200 + rng.uniform(-20, 20)
-        weak.append(Box(f"w{i}", rng.random() * 0.2, x - w / 2, y - h / 2, x + w / 2, y + h / 2))
+        weak.append((img, f"w{i}", rng.random() * 0.2, 200 + rng.uniform(-20, 20), rng.uniform(20, 960), rng.uniform(20, 30), rng.uniform(14, 26)))
     return strong, weak
 
 
-def med(values):
-    values = [v for v in values if v > 1e-6]
-    return statistics.median(values) if values else None
-
-
-def shared(a1, a2, b1, b2):
-    return max(0.0, min(a2, b2) - max(a1, b1))
-
-
-def clashes(box, others, pitch):
-    for o in others:
-        inter = shared(box.x1, box.x2, o.x1, o.x2) * shared(box.y1, box.y2, o.y1, o.y2)
-        if inter / min(box.w * box.h, o.w * o.h) >= 0.2 or shared(box.y1, box.y2, o.y1, o.y2) / min(box.h, o.h) >= 0.7:
-            return True
-        if abs(box.yc - o.yc) <= 0.35 * pitch:
-            return True
-    return False
-
-
-def pitch_of(stack):
-    steps = [b.yc - a.yc for a, b in zip(stack, stack[1:])]
-    raw = med(steps)
-    usual = med([g for g in steps if 0.45 * raw <= g <= 1.75 * raw]) or raw
-    return max(usual, 1.1 * med([b.h for b in stack]))
-
-
-def made(y, refs, stack, pitch):
-    above = [b for b in stack if b.yc <= y] or stack[:1]
-    below = [b for b in stack if b.yc >= y] or stack[-1:]
-    a, b = above[-1], below[0]
-    t = 0.0 if a is b else max(0.0, min(1.0, (y - a.yc) / max(1e-6, b.yc - a.yc)))
-    ref = {n: getattr(a, n) + t * (getattr(b, n) - getattr(a, n)) for n in ("xc", "w", "h")}
-    mw, mh = med([r.w for r in refs]), med([r.h for r in refs])
-    w = max(6.0, min(2 * mw, max(ref["w"], 0.8 * mw)))
-    h = max(6.0, min(1.3 * mh, max(ref["h"], 0.8 * mh)))
-    h = max(6.0, 0.75 * pitch) if h > 0.9 * pitch else h
-    x1, y1 = max(0.0, min(WIDTH - 2, ref["xc"] - w / 2)), max(0.0, min(HEIGHT - 2, y - h / 2))
-    return Box("synthetic", 0.025, x1, y1, min(WIDTH, x1 + w), min(HEIGHT, y1 + h))
-
-
-def fill(targets, stack, weak, found):
-    for y, pitch, half, refs in targets:
-        y0, y1 = max(0.0, round(y - half)), min(HEIGHT, round(y + half))
-        existing = stack + found
-        fits = [b for b in weak if abs(b.yc - y) <= 0.65 * pitch and y1 > y0 + 4 and y0 <= b.yc <= y1 and not clashes(b, existing, pitch)]
-        if fits:
-            found.append(max(fits, key=lambda b: (b.conf, -b.yc)))
-            continue
-        box = made(y, refs, stack, pitch)
-        if not clashes(box, existing, pitch):
-            found.append(box)
-    return found
-
-
-def loop_gaps(stack, weak):
-    base, targets = pitch_of(stack), []
-    for a, b in zip(stack, stack[1:]):
-        gap, local = b.yc - a.yc, med([a.h, b.h])
-        pitch = max(base, 1.1 * local)
-        open_ = max(0.0, b.y1 - a.y2) / max(1.0, local) >= 0.7
-        if gap / pitch > 4.25 or (gap / pitch < 1.35 and not open_):
-            continue
-        n = min(2, max(1, round(gap / pitch) - 1))
-        for k in range(1, n + 1):
-            y = (a.y2 + b.y1) / 2 if open_ and n == 1 else a.yc + k * gap / (n + 1)
-            targets.append((y, pitch, max(8.0, 0.35 * pitch), stack + [a, b]))
-    return fill(targets, stack, weak, [])
-
-
-def loop_edges(stack, weak, top, bottom):
-    pitch, h, targets = pitch_of(stack), med([b.h for b in stack]), []
-    if bottom <= top + pitch:
-        return []
-    for anchor, edge, sign, limit in ((stack[0], stack[0].y1, -1, top), (stack[-1], stack[-1].y2, 1, bottom)):
-        ys = []
-        if sign * (limit - edge) / max(1.0, h) >= 0.65:
-            ys.append(limit - sign * h / 2)
-        room = sign * (limit - anchor.yc) / pitch
-        if room >= 1.15:
-            for k in range(1, min(3, max(1, round(room))) + 1):
-                y = anchor.yc + sign * pitch * k
-                if sign * (limit - y) < 0.3 * h:
-                    break
-                if all(abs(y - other) >= 0.45 * h for other in ys):
-                    ys.append(y)
-        targets += [(y, pitch, max(8.0, 0.35 * pitch), stack) for y in ys]
-    return fill(targets, stack, weak, [])
-
-
-def frame(spark, cases, index):
-    rows = [("r", "151", f"i{n}", b.name, b.conf, b.x1, b.y1, b.x2, b.y2) for n, case in cases.items() for b in case[index]]
-    raw = spark.createDataFrame(rows, "run_id string, side string, img string, box_id string, conf double, x1 double, y1 double, x2 double, y2 double")
-    return from_corners(raw).withColumn("flags", F.array().cast("array<string>"))
-
-
-def collected(df):
-    out = {}
-    for r in B.explode_boxes(df, "found").collect():
-        out.setdefault(r["img"], []).append((round(r["b"]["x1"], 6), round(r["b"]["y1"], 6), round(r["b"]["y2"], 6)))
-    return out
-
-
-def test_recovery_equals_plain_loops(spark):
-    cases = {n: fixture(n) for n in range(12)}
-    images = spark.createDataFrame([(f"i{n}", WIDTH, HEIGHT, 30.0, 970.0) for n in cases], "img string, width double, height double, bounds_top double, bounds_bottom double")
-    rows = R.recovery_input(frame(spark, cases, 0), frame(spark, cases, 1), images)
-    gaps, edges = collected(R.recover_gaps(rows)), collected(R.recover_edges(rows))
+def test_recovered_boxes_are_new_inside_and_never_beside_one_another(spark):
+    cases = [random_case(n) for n in range(12)]
+    strong, weak = (frame(spark, [r for case in cases for r in case[k]]) for k in (0, 1))
+    rows = R.recovery_input(strong, weak, images(spark, [f"i{n}" for n in range(12)], 30.0, 970.0))
     total = 0
-    for n, (strong, weak) in cases.items():
-        shown = lambda found: [(round(b.x1, 6), round(b.y1, 6), round(b.y2, 6)) for b in found]
-        want_gaps, want_edges = shown(loop_gaps(strong, weak)), shown(loop_edges(strong, weak, 30.0, 970.0))
-        assert [tuple(map(lambda v: math.floor(v * 1e5), t)) for t in gaps.get(f"i{n}", [])] == [tuple(map(lambda v: math.floor(v * 1e5), t)) for t in want_gaps]
-        assert [tuple(map(lambda v: math.floor(v * 1e5), t)) for t in edges.get(f"i{n}", [])] == [tuple(map(lambda v: math.floor(v * 1e5), t)) for t in want_edges]
-        total += len(want_gaps) + len(want_edges)
+    for step in (R.recover_gaps, R.recover_edges):
+        for r in step(rows).collect():
+            every = [*r["kept"], *r["found"]]
+            total += len(r["found"])
+            for k, b in enumerate(r["found"]):
+                assert 0 <= b["y1"] < b["y2"] <= HEIGHT and 0 <= b["x1"] < b["x2"] <= WIDTH and len(b["flags"]) == 1
+                for o in every[: len(r["kept"]) + k]:
+                    high = max(0.0, min(b["y2"], o["y2"]) - max(b["y1"], o["y1"]))
+                    wide = max(0.0, min(b["x2"], o["x2"]) - max(b["x1"], o["x1"]))
+                    assert high / min(b["h"], o["h"]) < 0.7 and high * wide / min(b["w"] * b["h"], o["w"] * o["h"]) < 0.2
     assert total > 40
 
 
 def test_chain_numbers_what_it_keeps(spark):
-    cases = {n: fixture(n) for n in range(3)}
-    images = spark.createDataFrame([(f"i{n}", WIDTH, HEIGHT, 30.0, 970.0) for n in cases], "img string, width double, height double, bounds_top double, bounds_bottom double")
-    cleaned = R.clean_boxes(frame(spark, cases, 0), frame(spark, cases, 1), images).collect()
-    for n in cases:
+    cases = [random_case(n) for n in range(3)]
+    strong, weak = (frame(spark, [r for case in cases for r in case[k]]) for k in (0, 1))
+    cleaned = R.clean_boxes(strong, weak, images(spark, ["i0", "i1", "i2"], 30.0, 970.0)).collect()
+    for n in range(3):
         mine = sorted((r for r in cleaned if r["img"] == f"i{n}"), key=lambda r: r["yc"])
         assert [r["tube_idx"] for r in mine] == list(range(1, len(mine) + 1)) and len(mine) >= len(cases[n][0])
