@@ -1,8 +1,9 @@
 """Exact medians of groups that may hold most of the data.
 
 The built-in percentile gathers the distinct values of a group in one task.  Here the
-values are counted first (partial aggregation), then narrowed to the one or two value
-buckets around the middle, so no task ever holds more than one bucket of one group.
+values are counted first (partial aggregation).  Bucket limits come from the ranks of the
+distinct values (a mergeable sketch), so that far values cannot fill a bucket; the counts
+per bucket tell which one or two hold the middle, and only those are sorted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 2048
+from gaugeline.session import broadcast_if_small
+
+BUCKETS = 1024
 
 
 def value_counts(df: DataFrame, keys: list[str], value) -> DataFrame:
@@ -26,12 +29,17 @@ def value_counts(df: DataFrame, keys: list[str], value) -> DataFrame:
 
 def exact_median(counts: DataFrame, keys: list[str], name: str = "median", buckets: int = BUCKETS) -> DataFrame:
     """Median per group of a value-count table: rows (keys, name, total)."""
-    span = counts.groupBy(*keys).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")
+    stride = max(1, round(buckets**0.5))
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    groups = broadcast_if_small(
+        counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.percentile_approx("v", shares, 10 * buckets).alias("limits"))
     )
-    width = F.col("hi") - F.col("lo")
-    place = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / F.when(width > 0, width) * buckets)).otherwise(0)
-    placed = counts.join(span, keys).withColumn("bucket", F.least(F.lit(buckets - 1), place.cast("int")))
+    # how many limits lie below a value, found in two steps of about the square root of their number
+    below = lambda limits: F.size(F.filter(limits, lambda x: x < F.col("v")))
+    every = F.filter("limits", lambda x, i: (i + 1) % stride == 0)
+    placed = counts.join(groups, keys).withColumn("_coarse", below(every) * stride).withColumn(
+        "bucket", F.col("_coarse") + below(F.slice("limits", F.col("_coarse") + 1, F.lit(stride)))
+    ).drop("limits", "_coarse")
     in_order = Window.partitionBy(*keys).orderBy("bucket")
     histogram = (
         placed.groupBy(*keys, "bucket")
@@ -41,8 +49,8 @@ def exact_median(counts: DataFrame, keys: list[str], name: str = "median", bucke
     )
     low_rank = F.floor((F.col("total") + 1) / F.lit(2.0))
     high_rank = F.floor((F.col("total") + 2) / F.lit(2.0))
-    middle = histogram.filter((F.col("upto") >= low_rank) & (F.col("before") < high_rank)).select(
-        *keys, "bucket", "before"
+    middle = broadcast_if_small(
+        histogram.filter((F.col("upto") >= low_rank) & (F.col("before") < high_rank)).select(*keys, "bucket", "before")
     )
     inside = Window.partitionBy(*keys, "bucket").orderBy("v")
     ranked = placed.join(middle, [*keys, "bucket"]).withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions.quantiles import exact_median, value_counts
 from gaugeline.functions.scalars import positive
 from gaugeline.operators.boxes import IMAGE
-from gaugeline.session import cut_lineage
+from gaugeline.session import broadcast_if_small, cut_lineage
 
 
 def length_percent(rows: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def spacing_stats(labels: DataFrame, min_gaps: int = 10) -> DataFrame:
     )
     key = ["camera"]
     totals = counts.groupBy("camera").agg(F.sum("n").alias("raw_spacing_count"), F.sum("images").alias("sample_image_count"))
-    raw = exact_median(counts.filter(F.col("v") > 1e-6), key, "raw").drop("total")
+    raw = broadcast_if_small(exact_median(counts.filter(F.col("v") > 1e-6), key, "raw").drop("total"))
     central = cut_lineage(
         counts.join(raw, key).filter(F.col("v").between(0.35 * F.col("raw"), 2.50 * F.col("raw"))).select("camera", "v", "n", "raw")
     )
@@ -112,7 +112,8 @@ def height_bins(boxes: DataFrame, bins: int) -> DataFrame:
 
 def height_outliers(boxes: DataFrame, z: float = 2.5) -> DataFrame:
     """Boxes whose height is far from the fitted line of their camera, with a robust z."""
-    fit = height_fit(boxes).select("camera", "slope", "intercept")
+    # one row per camera: the boxes themselves are never shuffled
+    fit = broadcast_if_small(height_fit(boxes).select("camera", "slope", "intercept"))
     rows = (
         boxes.join(fit, "camera")
         .withColumn("expected", F.col("intercept") + F.col("slope") * F.col("y_norm"))
@@ -121,11 +122,11 @@ def height_outliers(boxes: DataFrame, z: float = 2.5) -> DataFrame:
         .drop("slope", "intercept")
     )
     counts = cut_lineage(value_counts(rows.withColumn("v_", F.abs("residual")), ["camera"], "v_"))
-    center = exact_median(counts, ["camera"], "center").drop("total")
+    center = broadcast_if_small(exact_median(counts, ["camera"], "center").drop("total"))
     apart = counts.join(center, "camera").select("camera", F.abs(F.col("v") - F.col("center")).alias("v"), "n")
-    scale = exact_median(apart, ["camera"], "mad").select(
+    scale = broadcast_if_small(exact_median(apart, ["camera"], "mad").select(
         "camera", F.greatest(F.lit(1e-6), 1.4826 * F.col("mad")).alias("scale")
-    )
+    ))
     scored = rows.join(scale, "camera").withColumn("z", F.abs("residual") / F.col("scale")).drop("scale")
     return scored.filter(F.col("z") >= z)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -41,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeline-"))
+    scratch = tempfile.mkdtemp(prefix="gaugeline-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(scratch)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -49,6 +53,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def broadcast_if_small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table of a few rows per group, written once; broadcast only after its rows were counted."""
+    from pyspark.sql import functions as F
+
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive a lost executor and are not computed twice."""
     shared_dir(df.sparkSession)

@@ -199,70 +199,69 @@ def scan_training_results(spark: SparkSession, root: str) -> DataFrame:
 # Calibrations ------------------------------------------------------------------------------------
 
 CALIBRATION = (
-    "stem string, is_toml boolean, image_name string, updated_at string, "
-    "src_points array<struct<x:double,y:double>>, dst_rect array<double>, "
-    "points array<struct<id:string,kind:string,label:string,x:int,y:int,note:string>>, "
-    "lines array<struct<id:string,kind:string,label:string,x1:int,y1:int,x2:int,y2:int,real_distance:double,coordinate_space:string>>, "
-    "rois array<struct<id:string,xyxy:array<int>,note:string>>"
+    "image_name string, image_path string, updated_at string, src_points_override array<string>, dst_rect_override string, "
+    "points array<struct<id:string,kind:string,label:string,x:string,y:string,note:string>>, "
+    "lines array<struct<id:string,kind:string,label:string,x1:string,y1:string,x2:string,y2:string,real_distance:string,coordinate_space:string>>, "
+    "rois array<struct<id:string,xyxy:array<string>,note:string>>"
 )
 
 
-def _read_calibrations(batches: Iterator) -> Iterator:
-    """File bytes to typed rows; the one place that needs Python, for its TOML reader."""
+def _toml_to_json(batches: Iterator) -> Iterator:
+    """TOML bytes to JSON text, null where they cannot be read; the one place that needs Python."""
     import json
     import tomllib
 
-    import pandas as pd
-
-    def number(value):
-        try:
-            return float(value)
-        except (TypeError, ValueError):
-            return None
-
-    def points(value):
-        pairs = [(p.get("x"), p.get("y")) if isinstance(p, dict) else tuple(p)[:2] for p in value or []]
-        good = len(pairs) == 4 and all(number(x) is not None and number(y) is not None for x, y in pairs)
-        return [{"x": float(x), "y": float(y)} for x, y in pairs] if good else None
-
-    def rect(value):
-        raw = [value.get(k) for k in ("x0", "y0", "x1", "y1")] if isinstance(value, dict) else list(value or [])
-        return [float(v) for v in raw] if len(raw) == 4 and all(number(v) is not None for v in raw) else None
-
-    def row(path, content):
-        toml = path.lower().endswith(".toml")
+    def text(content) -> str | None:
         try:
-            data = (tomllib.loads if toml else json.loads)(bytes(content).decode("utf-8"))
+            return json.dumps(tomllib.loads(bytes(content).decode("utf-8")), default=str)
         except ValueError:
             return None
-        named = lambda kind, i, e: e.get("id") or f"{kind}_{i:02d}"
-        ints = lambda e, *names: {n: int(e.get(n, 0)) for n in names}
-        text = lambda e, name, default="": str(e.get(name) or default)
-        listed = lambda name: list(enumerate(data.get(name) or [], start=1))
-        return {
-            "stem": path.rsplit(".", 1)[0], "is_toml": toml,
-            "image_name": data.get("image_name") or data.get("image_path"), "updated_at": data.get("updated_at"),
-            "src_points": points(data.get("src_points_override")), "dst_rect": rect(data.get("dst_rect_override")),
-            "points": [{"id": named("point", i, e), "kind": text(e, "kind", "mark"), "label": text(e, "label"), **ints(e, "x", "y"), "note": text(e, "note")} for i, e in listed("points")],
-            "lines": [
-                {"id": named("line", i, e), "kind": text(e, "kind", "horizontal_ref"), "label": text(e, "label"), **ints(e, "x1", "y1", "x2", "y2"),
-                 "real_distance": number(e.get("real_distance")), "coordinate_space": text(e, "coordinate_space")} for i, e in listed("lines")
-            ],
-            "rois": [{"id": named("roi", i, e), "xyxy": [int(v) for v in e.get("xyxy", [0, 0, 0, 0])], "note": text(e, "note")} for i, e in listed("rois")],
-        }
 
     for batch in batches:
-        rows = [r for r in map(row, batch["path"], batch["content"]) if r is not None]
-        yield pd.DataFrame(rows, columns=["stem", "is_toml", "image_name", "updated_at", "src_points", "dst_rect", "points", "lines", "rois"])
+        yield batch.assign(content=batch["content"].map(text))
 
 
 def load_calibrations(spark: SparkSession, root: str) -> DataFrame:
-    """Calibrations of all TOML files; a JSON twin serves where there is no TOML."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    typed = files.filter(F.lower("path").rlike(r"\.(toml|json)$")).select("path", "content").mapInPandas(_read_calibrations, CALIBRATION)
-    names = [c for c in typed.columns if c != "stem"]
-    best = typed.groupBy("stem").agg(F.max_by(F.struct(*names), "is_toml").alias("c"))
-    return best.select(relative(F.col("stem"), root).alias("cal_id"), "c.*").drop("is_toml")
+    """Calibrations of all TOML files; a JSON twin serves where there is no readable TOML.
+
+    A calibration whose files are all unreadable is one row with ``error`` and nothing else.
+    Corners may be pairs or objects; four readable ones make ``src_points``.  Missing whole
+    numbers are 0, names and kinds have defaults, unreadable numbers are null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    toml = files.filter(kind == "toml").mapInPandas(_toml_to_json, "path string, content string")
+    texts = toml.unionByName(files.filter(kind == "json").withColumn("content", F.try_validate_utf8(F.col("content").cast("string"))))
+    parsed = F.when(F.col("content").rlike(r"^\s*\{"), F.from_json("content", CALIBRATION + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    rows = texts.select(F.regexp_replace("path", r"\.[A-Za-z]+$", "").alias("stem"), kind.alias("kind"), parsed.alias("c"))
+    readable = F.col("c").isNotNull() & F.col("c._corrupt_record").isNull()
+    best = rows.groupBy("stem").agg(F.max_by(F.struct(readable.alias("good"), "c"), F.struct(readable, F.col("kind") == "toml")).alias("b"))
+    c = lambda name: F.when(F.col("b.good"), F.col(f"b.c.{name}"))
+    filled = lambda v, default: F.coalesce(F.nullif(v, F.lit("")), F.lit(default) if isinstance(default, str) else default)
+    whole = lambda v: F.when(v.isNull(), 0).otherwise(v.try_cast("double").cast("int"))
+    named = lambda e, i, kind_: filled(e["id"], F.format_string(kind_ + "_%02d", i + 1))
+    at = lambda v, key, i: F.coalesce(F.get_json_object(v, f"$.{key}"), F.get_json_object(v, f"$[{i}]")).try_cast("double")
+    listed = lambda name, entry: F.when(F.col("b.good"), F.coalesce(F.transform(c(name), entry), F.array()))
+    corners = F.transform(c("src_points_override"), lambda v: F.struct(at(v, "x", 0).alias("x"), at(v, "y", 1).alias("y")))
+    four = F.when((F.size(corners) == 4) & F.forall(corners, lambda q: q["x"].isNotNull() & q["y"].isNotNull()), corners)
+    rect = F.array(*[at(c("dst_rect_override"), key, i) for i, key in enumerate(("x0", "y0", "x1", "y1"))])
+    return best.select(
+        relative(F.col("stem"), root).alias("cal_id"), F.coalesce(c("image_name"), c("image_path")).alias("image_name"), c("updated_at").alias("updated_at"),
+        four.alias("src_points"), F.when(F.forall(rect, lambda v: v.isNotNull()), rect).alias("dst_rect"),
+        listed("points", lambda e, i: F.struct(
+            named(e, i, "point").alias("id"), filled(e["kind"], "mark").alias("kind"), filled(e["label"], "").alias("label"),
+            *[whole(e[k]).alias(k) for k in ("x", "y")], filled(e["note"], "").alias("note"),
+        )).alias("points"),
+        listed("lines", lambda e, i: F.struct(
+            named(e, i, "line").alias("id"), filled(e["kind"], "horizontal_ref").alias("kind"), filled(e["label"], "").alias("label"),
+            *[whole(e[k]).alias(k) for k in ("x1", "y1", "x2", "y2")], e["real_distance"].try_cast("double").alias("real_distance"),
+            filled(e["coordinate_space"], "").alias("coordinate_space"),
+        )).alias("lines"),
+        listed("rois", lambda e, i: F.struct(
+            named(e, i, "roi").alias("id"), F.transform(F.coalesce(e["xyxy"], F.array(*[F.lit("0")] * 4)), whole).alias("xyxy"), filled(e["note"], "").alias("note"),
+        )).alias("rois"),
+        F.when(~F.col("b.good"), "unreadable").alias("error"),
+    )
 
 
 def calibration_rows(calibrations: DataFrame, kind: str) -> DataFrame:

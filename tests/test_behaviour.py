@@ -177,6 +177,34 @@ def test_exact_median_of_a_hot_group(spark, n):
     assert got["cold"] == 6.0 and math.isclose(got["hot"], 0.5 * (hot[(n - 1) // 2] + hot[n // 2]))
 
 
+def test_one_far_value_does_not_fill_a_bucket(spark):
+    values = spark.range(20_000).selectExpr("'hot' AS k", "cast(id AS double) AS x").unionByName(spark.createDataFrame([("hot", 1e12)], "k string, x double"))
+    counts = value_counts(values, ["k"], "x")
+    assert exact_median(counts, ["k"]).first()["median"] == 10_000.0
+    limits = counts.groupBy("k").agg(F.percentile_approx("v", F.array(*[F.lit(i / 1024) for i in range(1, 1024)]), 10_240).alias("l"))
+    bucket = F.size(F.filter("l", lambda x: x < F.col("v")))
+    assert counts.join(limits, "k").groupBy(bucket).count().agg(F.max("count")).first()[0] < 60
+
+
+def test_calibrations_of_readable_and_broken_files(spark, tmp_path):
+    from gaugeline.sources.scans import load_calibrations
+
+    root = tmp_path / "run+1"
+    (root / "x").mkdir(parents=True)
+    for name, text in {
+        "a.toml": 'image_name="a.jpg"\nsrc_points_override=[[1,2],[3.5,2],{x=1,y=9},[4,9]]\n[[points]]\nlabel="t"\nx=5\n[[lines]]\nreal_distance=38.75\n', "a.json": '{"image_name": "twin"}',
+        "b.toml": "= broken", "b.json": '{"image_path": "b.png", "dst_rect_override": {"x0": 1, "y0": 2, "x1": 3, "y1": 4}, "rois": [{"xyxy": [1, 2, 3, 4]}, {}]}',
+        "c.toml": "= broken", "c.json": "[1]",
+    }.items():
+        (root / "x" / name).write_text(text)
+    got = {r["cal_id"]: r for r in load_calibrations(spark, str(root)).collect()}
+    assert sorted(got) == ["x/a", "x/b", "x/c"]
+    assert got["x/a"]["image_name"] == "a.jpg" and [tuple(p) for p in got["x/a"]["src_points"]] == [(1.0, 2.0), (3.5, 2.0), (1.0, 9.0), (4.0, 9.0)]
+    assert tuple(got["x/a"]["points"][0]) == ("point_01", "mark", "t", 5, 0, "") and got["x/a"]["lines"][0]["real_distance"] == 38.75 and got["x/a"]["rois"] == []
+    assert got["x/b"]["image_name"] == "b.png" and got["x/b"]["dst_rect"] == [1.0, 2.0, 3.0, 4.0] and [(r["id"], r["xyxy"]) for r in got["x/b"]["rois"]] == [("roi_01", [1, 2, 3, 4]), ("roi_02", [0, 0, 0, 0])]
+    assert got["x/c"]["error"] == "unreadable" and got["x/c"]["points"] is None
+
+
 def test_images_and_series_follow_from_fixed_widths(spark):
     sf = "/root/testdata/sf0.001"
     runs = views.boxes(spark, sf).select((F.col("l_orderkey") / 16).cast("bigint").cast("string").alias("want"), "run_id")
