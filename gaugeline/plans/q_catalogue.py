@@ -127,24 +127,26 @@ def best_epoch(spark, sf):
     return C.best_epoch(rows.withColumnRenamed(METRIC, "m"), "m")
 
 
-@query("a14_write_match_run", sql("v_order_rows", "SELECT match_status, count(*) AS n, count(DISTINCT run_id) AS runs FROM v_order_rows GROUP BY 1"))
+@query("a14_write_match_run", sql("v_order_rows", "SELECT run_id, tube_number, match_status, id_151, id_152 FROM v_order_rows"))
 def write_match_run(spark, sf):
+    """All runs are written, then the even ones again: they replace themselves."""
     path = fresh_path(spark, "match-runs")
-    rows = P.order_match(P.active_order(P.by_run(views.items(spark, sf))))
-    sinks.write_match_run(rows.select("run_id", "tube_number", "match_status"), path)
-    stored = spark.read.schema("run_id string, tube_number int, match_status string, bucket int").parquet(path)
-    per_run = stored.groupBy("match_status", "run_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_run.groupBy("match_status").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("runs"))
+    rows = P.order_match(P.active_order(P.by_run(views.items(spark, sf)))).select("run_id", "tube_number", "match_status", "id_151", "id_152")
+    sinks.write_match_run(rows, path)
+    sinks.write_match_run(rows.filter(views.run_number() % 2 == 0), path)
+    return spark.read.schema("tube_number int, match_status string, id_151 string, id_152 string, run_id string").parquet(path).select(*rows.columns)
 
 
-@query("a17_export_measurements", sql("v_items", "SELECT side, run_id, count(*) AS items, round(max(distance_in), 6) AS longest FROM v_items GROUP BY 1, 2"))
+@query("a17_export_measurements", sql("v_items", """
+SELECT side, run_id, id, tube_idx, source_order, round(distance_in, 6) AS distance_in, relative_position, active, unmatched, notes FROM v_items"""))
 def export_measurements(spark, sf):
     path = fresh_path(spark, "exports")
     items = views.items(spark, sf).withColumn("generated_at", F.lit("2024-01-01T00:00:00Z"))
     sinks.export_measurements(items, path)
-    stored = spark.read.schema("side string, run_id string, generated_at string, items array<struct<source_order:int,distance_in:double>>").json(path)
-    longest = F.array_max(F.transform("items", lambda i: i["distance_in"]))
-    return stored.select(F.col("side").cast("string"), "run_id", F.size("items").cast("bigint").alias("items"), r6(longest).alias("longest"))
+    sinks.export_measurements(items.filter(views.run_number() % 3 == 0), path)
+    item = "source_order:int,id:string,tube_idx:int,distance_in:double,relative_position:string,active:boolean,unmatched:boolean,notes:string"
+    stored = spark.read.schema(f"generated_at string, items array<struct<{item}>>, side string, run_id string").json(path)
+    return stored.select("side", "run_id", F.inline("items")).withColumn("distance_in", r6("distance_in"))
 
 
 @query("b30_run_state", sql("v_runs_log", """

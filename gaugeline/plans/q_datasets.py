@@ -9,7 +9,7 @@ from gaugeline.operators import datasets as D
 from gaugeline.operators import statistics as T
 from gaugeline.plans import views
 from gaugeline.plans.q_scalars import NEW_RECT, OLD_RECT, label_lines
-from gaugeline.plans.q_statistics import boundaries, heights
+from gaugeline.plans.q_statistics import OUTLIERS, boundaries, heights
 from gaugeline.plans.registry import query, r6
 from gaugeline.plans.views import NEEDS, VIEWS, sql
 from gaugeline.session import fresh_path
@@ -141,15 +141,24 @@ def write_polygon_labels(spark, sf):
     return D.polygon_texts(rows).select("img", "text")
 
 
-@query("a16_write_height_report", sql("v_heights", """
-SELECT camera, count(*) AS boxes, count(DISTINCT img) AS images, round(regr_slope(h, y_norm), 6) AS slope FROM v_heights GROUP BY 1"""))
+@query("a16_write_height_report", sql("v_heights", OUTLIERS + """,
+o AS (SELECT camera, count(*) AS outliers FROM z WHERE z >= 1.8 GROUP BY 1),
+b AS (SELECT camera, CAST(least(floor(y_norm * 12), 11) AS INTEGER) + 1 AS bin, count(*) AS n FROM v_heights WHERE y_norm BETWEEN 0 AND 1 GROUP BY 1, 2),
+l AS (SELECT camera, array_to_string(list(bin || ':' || n ORDER BY bin), ' ') AS bins FROM b GROUP BY 1)
+SELECT camera, count(*) AS boxes, count(DISTINCT img) AS images, round(sum(h), 4) AS height, round(regr_slope(h, y_norm), 6) AS slope, round(corr(y_norm, h), 6) AS pearson,
+       any_value(coalesce(outliers, 0)) AS outliers, any_value(bins) AS bins FROM v_heights LEFT JOIN o USING (camera) JOIN l USING (camera) GROUP BY 1"""))
 def write_height_report(spark, sf):
-    rows = heights(spark, sf)
+    """The boxes are read back from the CSV, the figures from the JSON."""
     path = fresh_path(spark, "height-report")
-    fit = T.height_fit(rows).select("camera", r6("slope").alias("slope"))
-    per_image = rows.groupBy("camera", "img").agg(F.count(F.lit(1)).alias("n")).groupBy("camera").agg(F.sum("n").alias("boxes"), F.count(F.lit(1)).alias("images"))
-    sinks.write_height_report(rows, per_image.join(fit, "camera"), path)
-    return spark.read.schema("camera string, boxes bigint, images bigint, slope double").json(f"{path}/summary")
+    rows = heights(spark, sf)
+    sinks.write_height_report(rows, path, z=1.8)
+    boxes = spark.read.option("header", "true").csv(f"{path}/boxes").groupBy(F.col("camera").cast("string").alias("camera")).agg(
+        F.count(F.lit(1)).alias("boxes"), F.count_distinct("img").alias("images"), F.round(F.sum(F.col("h").cast("double")), 4).alias("height")
+    )
+    told = spark.read.schema("camera string, slope double, pearson double, outliers bigint, bins array<struct<bin:int,n:bigint>>").json(f"{path}/summary")
+    filled = F.filter("bins", lambda b: b["n"] > 0)
+    shown = F.array_join(F.transform(filled, lambda b: F.concat(b["bin"].cast("string"), F.lit(":"), b["n"].cast("string"))), " ")
+    return boxes.join(told, "camera").select("camera", "boxes", "images", "height", r6("slope").alias("slope"), r6("pearson").alias("pearson"), "outliers", shown.alias("bins"))
 
 
 @query("c4_image_tally", sql("v_pool_labels v_flags", """

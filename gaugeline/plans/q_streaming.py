@@ -70,11 +70,14 @@ def stream_match(spark, sf):
     items = views.items(spark, sf)
     fields = [c for c in items.columns if c not in ("run_id", "side")]
     sets = items.groupBy("run_id", "side").agg(F.collect_list(F.struct(*fields)).alias("items")).join(views.datasets(spark, sf), ["run_id", "side"])
-    sets.write.parquet(source)
-    rows = spark.readStream.schema(sets.schema).parquet(source)
+    # the sides arrive one after the other, the even runs' left side twice
+    left, right = sets.filter("side = '151'"), sets.filter("side = '152'")
+    for part in (left, left.filter(views.run_number() % 2 == 0), right):
+        part.coalesce(1).write.mode("append").parquet(source)
+    rows = spark.readStream.schema(sets.schema).option("maxFilesPerTrigger", 1).parquet(source)
     writer = rows.writeStream.foreachBatch(streams.match_batch(pending, out)).option("checkpointLocation", fresh_path(spark, "cp"))
     writer.trigger(availableNow=True).start().awaitTermination()
-    stored = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    stored = streams.latest_matches(spark, out)
     return stored.select(
         "run_id", "tube_number", "match_status", "id_151", "id_152", r6("measurement_151").alias("measurement_151"), r6("measurement_152").alias("measurement_152"), "strategy"
     )

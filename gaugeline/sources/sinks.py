@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,20 +11,40 @@ def write_labels(texts: DataFrame, path: str) -> None:
     texts.write.mode("overwrite").partitionBy("camera").parquet(path)
 
 
+def _replacing(df: DataFrame, *keys: str):
+    """A writer that replaces the partitions it has rows for and leaves the others."""
+    return df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+
+
 def write_match_run(rows: DataFrame, path: str) -> None:
-    """Match rows spread over buckets of runs; the latest run is a pointer, not a copy."""
-    rows.withColumn("bucket", F.pmod(F.xxhash64("run_id"), F.lit(16))).write.mode("append").partitionBy("bucket").parquet(path)
+    """Match rows by run; a run that is written again replaces itself.  The latest run is a pointer, not a copy."""
+    _replacing(rows, "run_id").parquet(path)
 
 
 def export_measurements(items: DataFrame, path: str) -> None:
-    """One JSON object per run and side, with its items in order."""
+    """One JSON object per run and side, with its items in order; a run and side written again replaces itself."""
     fields = [c for c in items.columns if c not in ("run_id", "side", "generated_at")]
     packed = items.groupBy("run_id", "side", "generated_at").agg(
         F.array_sort(F.collect_list(F.struct("source_order", *[f for f in fields if f != "source_order"]))).alias("items")
     )
-    packed.write.mode("append").partitionBy("side").json(path)
+    _replacing(packed, "side", "run_id").json(path)
+
 
+def write_height_report(boxes: DataFrame, path: str, bins: int = 12, z: float = 2.5, top: int = 30) -> None:
+    """Boxes as CSV and, per camera, one JSON object: fit, correlation, bins, outliers and the worst of them."""
+    from gaugeline.operators import statistics as T
 
-def write_height_report(boxes: DataFrame, summary: DataFrame, path: str) -> None:
     boxes.write.mode("overwrite").option("header", "true").partitionBy("camera").csv(f"{path}/boxes")
-    summary.write.mode("overwrite").json(f"{path}/summary")
+    per_image = boxes.groupBy("camera", "img").agg(F.count(F.lit(1)).alias("n"))
+    images = per_image.groupBy("camera").agg(F.sum("n").alias("boxes"), F.count(F.lit(1)).alias("images"))
+    binned = T.height_bins(boxes, bins).groupBy("camera").agg(
+        F.array_sort(F.collect_list(F.struct("bin", "n", "mean_h", "median_h", "min_h", "max_h"))).alias("bins")
+    )
+    far = T.height_outliers(boxes, z)
+    counted = far.groupBy("camera").agg(F.count(F.lit(1)).alias("outliers"))
+    worst = Window.partitionBy("camera").orderBy(F.desc("z"), "box_id")
+    first = far.withColumn("_k", F.row_number().over(worst)).filter(F.col("_k") <= top).groupBy("camera").agg(
+        F.array_sort(F.collect_list(F.struct("_k", "img", "box_id", "h", "z"))).alias("top")
+    )
+    summary = T.height_fit(boxes).join(images, "camera").join(binned, "camera").join(counted, "camera", "left").join(first, "camera", "left")
+    summary.withColumn("outliers", F.coalesce("outliers", F.lit(0))).write.mode("overwrite").json(f"{path}/summary")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scalars as S
@@ -55,27 +55,41 @@ def stream_cadence(events: DataFrame, interval_minutes: int, delay: str = "10 mi
 def match_batch(pending_root: str, result_root: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: match the runs whose two sides are complete, keep the others.
 
-    Rows are whole data sets (run_id, side, header fields, items array).
+    Rows are whole data sets (run_id, side, header fields, items array).  A side that comes
+    again replaces the waiting one.  A matched run is matched again when both of its sides
+    come again; ``latest_matches`` takes the newest result of a run.  A batch is read once.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
+        rows = batch.withColumn("_age", F.lit(0))
         if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{pending_root}/batch={batch_id - 1}"))
-        sides = rows.groupBy("run_id").agg(F.count_distinct("side").alias("sides"))
-        sorted_rows = rows.join(sides, "run_id")
-        waiting = sorted_rows.filter(F.col("sides") < 2).drop("sides")
-        waiting.write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}")
-        ready = sorted_rows.filter(F.col("sides") == 2).drop("sides")
-        headers = ready.drop("items")
-        items = ready.select("run_id", "side", F.explode("items").alias("i")).select("run_id", "side", "i.*")
-        matched, _ = matching.match_runs(items, headers)
-        matched.write.mode("overwrite").parquet(f"{result_root}/batch={batch_id}")
+            before = spark.read.schema(batch.schema).parquet(f"{pending_root}/batch={batch_id - 1}")
+            rows = rows.unionByName(before.withColumn("_age", F.lit(1)))
+        newest = Window.partitionBy("run_id", "side").orderBy("_age")
+        both = Window.partitionBy("run_id")
+        known = rows.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") == 1)
+        known = known.withColumn("_sides", F.count(F.lit(1)).over(both)).persist()
+        try:
+            fields = batch.columns
+            known.filter(F.col("_sides") < 2).select(*fields).write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}")
+            ready = known.filter(F.col("_sides") == 2).select(*fields)
+            items = ready.select("run_id", "side", F.explode("items").alias("i")).select("run_id", "side", "i.*")
+            matched, _ = matching.match_runs(items, ready.drop("items"))
+            matched.write.mode("overwrite").parquet(f"{result_root}/batch={batch_id}")
+        finally:
+            known.unpersist()
 
     return run
 
 
+def latest_matches(spark: SparkSession, result_root: str) -> DataFrame:
+    """Match rows of the newest batch that matched each run."""
+    rows = spark.read.parquet(result_root)
+    newest = rows.groupBy("run_id").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["run_id", "batch"]).drop("batch")
+
+
 def append_files(df: DataFrame, path: str, checkpoint: str) -> None:
     """Runs a stream over what is there now, in append mode, into parquet files."""
     df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
