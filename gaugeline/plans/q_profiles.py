@@ -136,12 +136,37 @@ def fill_missing(spark, sf):
     return R.fill_missing(peak_rows(spark, sf).filter(F.size("peaks") > 0)).select("series", joined())
 
 
-@query("d14_best_periodic_run")
+SEPARATE = "greatest(10, CAST(round_even(0.55 * per, 0) AS INTEGER))"
+# every series with its peaks, period and profile; a run that has ended carries -1 at its end
+VIEWS["v_stack"] = """
+  SELECT s.series, u, n, coalesce(peaks, []::BIGINT[]) AS peaks, gap, coalesce(gap, 22.0::DOUBLE) AS per
+  FROM (SELECT series, count(*) AS n, list((x - lo) / ((hi - lo) + 1e-6) ORDER BY idx) AS u
+        FROM (SELECT *, min(x) OVER (PARTITION BY series) AS lo, max(x) OVER (PARTITION BY series) AS hi FROM v_line) GROUP BY 1) s LEFT JOIN v_period p ON p.series = s.series"""
+VIEWS["v_run"] = f"""
+  SELECT k.*, coalesce(b.run, k.peaks) AS run, CASE WHEN b.run IS NULL THEN k.gap ELSE {mid('b.steps')} END AS run_period
+  FROM v_stack k LEFT JOIN (
+    SELECT *, list_sort(list_transform(range(1, len(run)), lambda i: CAST(run[i + 1] - run[i] AS DOUBLE))) AS steps,
+           row_number() OVER (PARTITION BY series ORDER BY len(run) DESC, run[1]) AS o
+    FROM (SELECT series, list_filter(list_reduce(list_transform(peaks[i:len(peaks)], lambda v: [v]), lambda acc, b:
+            CASE WHEN acc[len(acc)] < 0 THEN acc WHEN b[1] - acc[len(acc)] > 34 THEN list_concat(acc, [CAST(-1 AS BIGINT)])
+                 WHEN b[1] - acc[len(acc)] >= 14 THEN list_concat(acc, b) ELSE acc END), lambda v: v >= 0) AS run
+          FROM (SELECT series, peaks, unnest(range(1, len(peaks) + 1)) AS i FROM v_stack WHERE len(peaks) >= 3))
+    WHERE len(run) >= 3) b ON b.series = k.series AND b.o = 1"""
+NEEDS.update({"v_stack": ["v_period"], "v_run": ["v_stack"]})
+
+
+@query("d14_best_periodic_run", sql("v_run", "SELECT series, array_to_string(run, ',') AS run, run_period FROM v_run"))
 def best_periodic_run(spark, sf):
     return R.best_periodic_run(peak_rows(spark, sf), 14, 34, 3).select("series", joined("run", "run"), "run_period")
 
 
-@query("d14_bottom_cluster")
+@query("d14_bottom_cluster", sql("v_stack", """
+WITH p AS (SELECT series, peaks, unnest(peaks) AS y, unnest(range(1, len(peaks) + 1)) AS i, greatest(12, CAST(floor(0.75 * per) AS INTEGER)) AS lo, per FROM v_stack WHERE len(peaks) >= 3),
+s AS (SELECT *, CASE WHEN y - lag(y) OVER w BETWEEN lo AND greatest(lo + 1, CAST(ceil(1.15 * per) AS INTEGER)) THEN 0 ELSE 1 END AS o FROM p WINDOW w AS (PARTITION BY series ORDER BY i)),
+g AS (SELECT *, sum(o) OVER (PARTITION BY series ORDER BY i) AS k FROM s),
+c AS (SELECT series, k, count(*) AS n, min(y) AS y, min(i) AS i FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND min(y) >= 270),
+b AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY n DESC, y DESC) AS r FROM c)
+SELECT v.series, array_to_string(CASE WHEN b.i IS NULL THEN peaks ELSE peaks[b.i:len(peaks)] END, ',') AS cluster FROM v_stack v LEFT JOIN b ON b.series = v.series AND r = 1"""))
 def bottom_cluster(spark, sf):
     return R.bottom_cluster(peak_rows(spark, sf), 600, 3).select("series", joined("cluster", "cluster"))
 
@@ -152,12 +177,37 @@ def stretched(spark, sf):
     return runs.withColumn("x", F.expr("flatten(transform(x, v -> array_repeat(v, 8)))"))
 
 
-@query("d15_extend_periodic")
+SUPPORT = "greatest(0.16, s[CAST(floor(pos) AS INTEGER) // 8 + 1] + (pos - floor(pos)) * (s[CAST(ceil(pos) AS INTEGER) // 8 + 1] - s[CAST(floor(pos) AS INTEGER) // 8 + 1]))"
+NEAR = "list_sort(list_transform(list_filter(peaks, lambda q: abs(q - g) <= snap), lambda q: {'d': abs(q - g), 'q': q}))[1].q"
+
+
+def stepped(limit: str, place: str, more: str) -> str:
+    """DuckDB text: a walk from both ends of the runs in ``r``, one row per step taken."""
+    return f"""walk AS (
+  SELECT series, d, CASE WHEN d < 0 THEN run[1] ELSE run[len(run)] END AS pt, 0 AS k FROM r, (SELECT unnest([-1, 1]) AS d) WHERE len(run) > 0
+  UNION ALL
+  SELECT series, d, t AS pt, k FROM (SELECT *, {place} AS t FROM (
+    SELECT r.*, w.d, w.pt AS old, w.k + 1 AS k, CAST(round_even(w.pt + w.d * r.per, 0) AS BIGINT) AS g FROM walk w JOIN r ON r.series = w.series) q WHERE {limit}) z
+  WHERE t IS NOT NULL AND {more})"""
+
+
+@query("d15_extend_periodic", sql("v_run", f"""
+WITH p AS (SELECT series, run, peaks, per, u, 8 * n AS size, list_sort(u) AS s, 0.55 * (8 * n - 1) AS pos, {SEPARATE} AS sep, greatest(5, CAST(round_even(0.4 * per, 0) AS INTEGER)) AS snap FROM v_run),
+r AS (SELECT *, {SUPPORT} AS support FROM p),
+{stepped('g >= 0 AND g <= size - 1', f'coalesce({NEAR}, CASE WHEN u[g // 8 + 1] >= support THEN g END)', 'd * (t - old) >= sep')},
+j AS (SELECT r.series, sep, list_concat(list_concat((SELECT coalesce(list(pt ORDER BY k DESC), []) FROM walk w WHERE w.series = r.series AND d < 0 AND k > 0), run),
+             (SELECT coalesce(list(pt ORDER BY k), []) FROM walk w WHERE w.series = r.series AND d > 0 AND k > 0)) AS a FROM r)
+SELECT series, coalesce(array_to_string(list_reduce(list_transform(a, lambda v: [v]), lambda acc, b: CASE WHEN b[1] - acc[len(acc)] >= sep THEN list_concat(acc, b) ELSE acc END), ','), '') AS extended FROM j WHERE len(a) > 0
+UNION ALL SELECT series, '' FROM j WHERE len(a) = 0""", recursive=True))
 def extend_periodic(spark, sf):
     return R.extend_periodic(stretched(spark, sf)).select("series", joined("extended", "extended"))
 
 
-@query("d15_extend_supported")
+@query("d15_extend_supported", sql("v_run", f"""
+WITH r AS (SELECT series, run, per, u, 8 * n AS size, greatest(4, CAST(round_even(0.22 * per, 0) AS INTEGER)) AS half FROM v_run),
+{stepped('g >= 0 AND g < size', "CASE WHEN list_avg(list_transform(range(greatest(0, g - half), least(size - 1, g + half) + 1), lambda i: u[i // 8 + 1])) >= 0.12 THEN g END", 'k <= CASE WHEN d < 0 THEN 4 ELSE 2 END')}
+SELECT r.series, array_to_string(list_concat(list_concat((SELECT coalesce(list(pt ORDER BY k DESC), []) FROM walk w WHERE w.series = r.series AND d < 0 AND k > 0), run),
+       (SELECT coalesce(list(pt ORDER BY k), []) FROM walk w WHERE w.series = r.series AND d > 0 AND k > 0)), ',') AS extended FROM r""", recursive=True))
 def extend_supported(spark, sf):
     return R.extend_supported(stretched(spark, sf), 0.12).select("series", joined("extended", "extended"))
 
@@ -258,6 +308,14 @@ def separator_pick(spark, sf):
     return R.separator_pick(line(spark, sf), 3, 4.0, 0.2).select("series", joined("seps", "seps"))
 
 
+VIEWS["v_crossing"] = f"""
+  SELECT series, min(idx) FILTER (WHERE idx >= 4 AND idx < n - 6 AND l >= 11.9 AND r <= 8.9 AND g >= 0.06) AS crossing, list(x ORDER BY idx) AS xs,
+         CAST(max(idx) FILTER (WHERE x >= 8) AS DOUBLE) AS candidate
+  FROM (SELECT *, count(*) OVER ({S}) AS n, avg(x) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS l, avg(x) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS r,
+               greatest(coalesce(lag(conf) OVER w, conf), conf, coalesce(lead(conf) OVER w, conf)) AS g FROM v_line {W}) GROUP BY 1"""
+NEEDS["v_crossing"] = ["v_line"]
+
+
 @query("d22_threshold_crossing", sql("v_line", f"""
 WITH g AS (SELECT *, count(*) OVER ({S}) AS n, avg(x) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS l, avg(x) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS r,
                   greatest(coalesce(lag(conf) OVER w, conf), conf, coalesce(lead(conf) OVER w, conf)) AS g FROM v_line {W})
@@ -266,7 +324,15 @@ def threshold_crossing(spark, sf):
     return R.threshold_crossing(line(spark, sf).withColumn("neg", F.col("conf")), 11.0, 5.0)
 
 
-@query("d22_pull_back")
+def stretch(a: int, b: int, default: float) -> str:
+    part = f"list_sort(xs[greatest(0, crossing + {a}) + 1:greatest(0, least(len(xs), crossing + {b}))])"
+    return f"coalesce(CASE WHEN len({part}) > 0 THEN {mid(part)} END, {default})"
+
+
+@query("d22_pull_back", sql("v_crossing", f"""
+WITH m AS (SELECT *, {stretch(-56, -26, 11.0)} AS body, {stretch(-22, -6, 11.0)} AS l, {stretch(4, 18, 5.0)} AS r FROM v_crossing)
+SELECT series, crossing, candidate, round(CASE WHEN crossing IS NULL OR candidate <= crossing + 6 OR greatest(0.0, l - r) < 10 OR greatest(0.0, 1.0 - abs(body - 11.0) / 16.0) < 0.22 THEN candidate
+       WHEN candidate - crossing > 12 THEN crossing ELSE 0.85 * crossing + 0.15 * candidate END, 6) AS pulled FROM m"""))
 def pull_back(spark, sf):
     """Late candidates (the last strong idx) against the first crossing of their series."""
     rows = line(spark, sf).withColumn("neg", F.col("conf"))
