@@ -223,10 +223,14 @@ def match_runs(items: DataFrame, datasets: DataFrame) -> tuple[DataFrame, DataFr
             order_match(ordered).withColumn("variant", F.lit("order"))
         )
     )
-    modelled = datasets.groupBy("run_id").agg(
-        (F.count_if((F.col("detection_source") == K.MODEL_SOURCE) & (F.col("side") == "151")) > 0).alias("m151"),
-        (F.count_if((F.col("detection_source") == K.MODEL_SOURCE) & (F.col("side") == "152")) > 0).alias("m152"),
-    )
+    # a side is modelled by the source of its set, by a model block in its metadata, or by the source of any of its items
+    told = F.coalesce(F.col("detection_source") == K.MODEL_SOURCE, F.lit(False))
+    if "model_block" in datasets.columns:
+        told = told | F.coalesce("model_block", F.lit(False))
+    signs = datasets.select("run_id", "side", told.alias("told"))
+    if "model_source" in items.columns:
+        signs = signs.unionByName(items.groupBy("run_id", "side").agg(F.bool_or("model_source").alias("told")))
+    modelled = signs.groupBy("run_id").agg(*[F.coalesce(F.bool_or(F.when(F.col("side") == s, F.col("told"))), F.lit(False)).alias(f"m{s}") for s in ("151", "152")])
     counts = ordered.groupBy("run_id").agg(
         F.count_if(F.col("side") == "151").alias("n151"), F.count_if(F.col("side") == "152").alias("n152")
     )

@@ -122,14 +122,18 @@ def project_points(spark, sf):
     return projected.select("l_orderkey", "l_linenumber", F.round("px", 5).alias("px"), F.round("py", 5).alias("py"))
 
 
-def sqltext(text: str) -> str:
-    return text.replace("1e-8D", "1e-8").replace("0.5D", "0.5").replace("`", '"')
+ENDS = ("p1", "q1", "p2", "q2"), ("p3", "q3", "p4", "q4")
 
 
-ENDS = ("p1", "q1", "p2", "q2"), ("p3", "q3", "p4", "q4")
+def meet(a: tuple, b: tuple) -> tuple[str, str]:
+    """DuckDB text: where a line meets another, by the share of the first line up to the crossing."""
+    (p1, q1, p2, q2), (p3, q3, p4, q4) = a, b
+    across = f"(({p1} - {p2}) * ({q3} - {q4}) - ({q1} - {q2}) * ({p3} - {p4}))"
+    share = f"(CASE WHEN abs{across} >= 0.00000001 THEN (({p1} - {p3}) * ({q3} - {q4}) - ({q1} - {q3}) * ({p3} - {p4})) / {across} END)"
+    return f"({p1} + {share} * ({p2} - {p1}))", f"({q1} + {share} * ({q2} - {q1}))"
 
 
-@query("b19_intersect_lines", "SELECT s_suppkey, round({0}, 6) AS x, round({1}, 6) AS y FROM (SELECT s_suppkey, (s_suppkey % 7)::DOUBLE AS p1, 10.0::DOUBLE AS q1, 100.0::DOUBLE AS p2, (20 + s_suppkey % 11)::DOUBLE AS q2, 5.0::DOUBLE AS p3, 0.0::DOUBLE AS q3, (5 + s_suppkey % 4 * 30)::DOUBLE AS p4, CASE WHEN s_suppkey % 4 = 0 THEN 0.0 ELSE 90.0 END::DOUBLE AS q4 FROM supplier)".format(*[sqltext(t) for t in A.intersect(*ENDS)]))
+@query("b19_intersect_lines", "SELECT s_suppkey, round({0}, 6) AS x, round({1}, 6) AS y FROM (SELECT s_suppkey, (s_suppkey % 7)::DOUBLE AS p1, 10.0::DOUBLE AS q1, 100.0::DOUBLE AS p2, (20 + s_suppkey % 11)::DOUBLE AS q2, 5.0::DOUBLE AS p3, 0.0::DOUBLE AS q3, (5 + s_suppkey % 4 * 30)::DOUBLE AS p4, CASE WHEN s_suppkey % 4 = 0 THEN 0.0 ELSE 90.0 END::DOUBLE AS q4 FROM supplier)".format(*meet(*ENDS)))
 def intersect_lines(spark, sf):
     ends = views.table(spark, sf, "supplier").selectExpr(
         "s_suppkey", "cast(s_suppkey % 7 AS double) p1", "10D q1", "100D p2", "cast(20 + s_suppkey % 11 AS double) q2", "5D p3", "0D q3", "cast(5 + s_suppkey % 4 * 30 AS double) p4",
@@ -141,8 +145,7 @@ def intersect_lines(spark, sf):
 
 def cross_text(a: str, b: str) -> str:
     ends = lambda n: tuple(f"{n}_{e}" for e in ("x1", "y1", "x2", "y2"))
-    x, y = A.intersect(ends(a), ends(b))
-    return sqltext(x), sqltext(y)
+    return meet(ends(a), ends(b))
 
 
 def quad_text() -> str:

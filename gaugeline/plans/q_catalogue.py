@@ -76,6 +76,36 @@ def scan_datasets(spark, sf):
     return rows.select("run_id", "side", "position", "tube_idx", "distance_in", "relative_position", "reference_in", "active", "unmatched", "notes", "error")
 
 
+@query("a4_match_from_files", sql("v_rows", """
+SELECT run_id, tube_number, match_status, tube_idx_151, tube_idx_152, round(measurement_151, 6) AS measurement_151, round(measurement_152, 6) AS measurement_152, r152_position, strategy FROM v_rows"""))
+def match_from_files(spark, sf):
+    """One JSON file of several lines per run and side, read back and matched."""
+    path = fresh_path(spark, "set-files")
+    n, every = views.run_number(), views.items(spark, sf)
+    source = F.struct(
+        F.col("y_center").alias("y_center_warp"), F.when(F.col("tube_idx") % 2 == 0, F.array(F.lit(0.0), F.lit(0.0), F.lit(9.0), F.col("box_height"))).alias("box_xywh"),
+        F.when(F.col("tube_idx") % 2 == 1, F.array(F.lit(0.0), F.col("box_height"), F.lit(9.0), F.lit(0.0))).alias("box_xyxy"), F.lit("classic").alias("source"),
+    )
+    item = F.struct("source_order", "tube_idx", "distance_in", "offset_px", "relative_position", "active", "unmatched", "notes", source.alias("source_measurement"))
+    sets = every.groupBy("run_id", "side").agg(F.array_sort(F.collect_list(item)).alias("items")).join(views.datasets(spark, sf), ["run_id", "side"])
+    # bounds in one of four places; the model is told by the set's source or by its block
+    pair, even = F.when(F.col("bounds_top").isNotNull(), F.array("bounds_bottom", "bounds_top")), n % 2 == 0
+    named = F.when(F.col("bounds_top").isNotNull(), F.struct(F.col("bounds_top").alias("y_min"), F.col("bounds_bottom").alias("y_max")))
+    block = F.struct(F.when(even & (n % 4 == 2), pair).alias("recovery_bounds_y"), F.struct(F.col("image_h").alias("height"), F.col("image_w").alias("width")).alias("image_size"))
+    meta = F.struct(
+        F.when(~even & (n % 4 == 1), pair).alias("bundle_bounds_y"), F.when(~even & (n % 4 == 3), F.struct(named.alias("sam_bundle_bounds_y"))).alias("sam_boundary"),
+        F.when(even & (n % 4 == 0), named).alias("recovery_bounds_y"), F.when(even, block).alias("pipe_end_yolo"), F.when(even & (n % 4 == 0), "yolo_pipe_end").otherwise("classic").alias("detection_source"),
+    )
+    text = F.to_json(F.struct("run_id", "side", "items", meta.alias("extra_meta")), {"pretty": "true"})
+    sets.select(F.concat_ws("-", "run_id", "side").alias("set"), text.alias("value")).repartition("set").write.partitionBy("set").text(path)
+    items = scans.scan_datasets(spark, path).withColumn("source_order", F.col("position").cast("int")).withColumn("tube_idx", F.col("tube_idx").cast("int"))
+    rows, _ = P.match_runs(items, scans.scan_dataset_headers(spark, path))
+    return rows.select(
+        "run_id", "tube_number", "match_status", "tube_idx_151", "tube_idx_152", r6("measurement_151").alias("measurement_151"), r6("measurement_152").alias("measurement_152"),
+        "r152_position", "strategy",
+    )
+
+
 @query("a5_scan_match_results", sql("v_items", """
 SELECT run_id, 1 AS version, tube_idx AS tube_number, CASE WHEN unmatched THEN 'left_only' ELSE 'matched' END AS match_status, round(distance_in, 6) AS total_length_in
 FROM v_items WHERE side = '151' AND run_id::BIGINT % 6 <> 0"""))

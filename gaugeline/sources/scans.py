@@ -89,8 +89,14 @@ MANIFEST = (
 )
 DATASET = (
     "run_id string, side string, dataset_name string, generated_at string, reference_in double, base_central_in double, "
-    "items array<struct<tube_idx:string,distance_in:string,offset_px:string,relative_position:string,active:boolean,unmatched:boolean,notes:string>>"
+    "items array<struct<tube_idx:string,distance_in:string,offset_px:string,relative_position:string,active:boolean,unmatched:boolean,notes:string,"
+    "source_measurement:string,y_center_warp:string,box_xywh:string,box_xyxy:string,source:string>>, extra_meta string"
 )
+# Where a data set may carry the bounds of its bundle, in this order.
+BOUNDS_KEYS = ["sam_bundle_bounds_y", "sam_boundary_bounds_y", "bundle_bounds_y", "recovery_bounds_y"]
+BOUNDS_PATHS = [
+    *BOUNDS_KEYS, *[f"sam_boundary.{key}" for key in BOUNDS_KEYS], "pipe_end_yolo.recovery_bounds_y", "pipe_end_yolo.postprocess.edge_gap_recovery.bounds_y",
+]
 MATCH = (
     "run_id string, version int, generated_at string, matching_strategy string, "
     "rows array<struct<tube_number:int,match_status:string,total_length_in:double>>"
@@ -115,13 +121,51 @@ def scan_manifests(spark: SparkSession, root: str, whole_files: bool = True) ->
     )
 
 
+def read_sets(spark: SparkSession, root: str, whole_files: bool) -> DataFrame:
+    sets = scan_json(spark, root, DATASET, whole_files).withColumn("side", S.norm_side(F.col("side")))
+    return sets.filter(F.col("side").isNotNull() & F.col("items").isNotNull())
+
+
+def _measured() -> list[Column]:
+    """Vertical centre, box height and model source of the exploded item ``i``."""
+    nested = F.col("i.source_measurement").rlike(r"^\s*\{")
+    value = lambda key: F.when(nested, F.get_json_object("i.source_measurement", f"$.{key}")).otherwise(F.col(f"i.{key}"))
+    part = lambda key, n: S.lenient_double(F.get_json_object(value(key), f"$[{n}]"))
+    size = lambda key: F.coalesce(F.json_array_length(value(key)), F.lit(0))
+    height = F.when(size("box_xywh") >= 4, part("box_xywh", 3)).when(size("box_xyxy") >= 4, F.abs(part("box_xyxy", 3) - part("box_xyxy", 1)))
+    model = F.coalesce(value("source") == K.MODEL_SOURCE, F.lit(False))
+    return [S.lenient_double(value("y_center_warp")).alias("y_center"), height.alias("box_height"), model.alias("model_source")]
+
+
+def scan_dataset_headers(spark: SparkSession, root: str, whole_files: bool = True) -> DataFrame:
+    """One row per run and side: bundle bounds, detection source, image size and region, as matching needs them."""
+    from gaugeline.operators.matching import bundle_bounds
+
+    meta = lambda path: F.get_json_object("extra_meta", f"$.{path}")
+
+    def interval(path: str) -> Column:
+        first = lambda *keys: S.lenient_double(F.coalesce(*[F.get_json_object(meta(path), k) for k in keys]))
+        return F.struct(first("$.top", "$.y_min", "$.min_y", "$[0]").alias("top"), first("$.bottom", "$.y_max", "$.max_y", "$[1]").alias("bottom"))
+
+    bounds = bundle_bounds(F.array(*[interval(path) for path in BOUNDS_PATHS]))
+    size = lambda key: S.lenient_double(meta(f"pipe_end_yolo.image_size.{key}"))
+    roi = lambda n: S.lenient_double(meta(f"detection_roi[{n}]"))
+    return read_sets(spark, root, whole_files).select(
+        "run_id", "side", bounds["low"].alias("bounds_top"), bounds["high"].alias("bounds_bottom"), meta("detection_source").alias("detection_source"),
+        F.coalesce(meta("pipe_end_yolo").rlike(r"^\s*\{"), F.lit(False)).alias("model_block"), size("width").alias("image_w"), size("height").alias("image_h"),
+        *[roi(n).alias(name) for n, name in enumerate(("roi_x", "roi_y", "roi_w", "roi_h"))],
+    )
+
+
 def scan_datasets(spark: SparkSession, root: str, whole_files: bool = True) -> DataFrame:
-    """Measured items of both sides, one row each, with the reference lengths of their set."""
+    """Measured items of both sides, one row each, with the reference lengths of their set.
+
+    Centre, box height and source come from the measurement an item was made from, or from
+    the item itself where it carries none.
+    """
     from gaugeline.operators.measure import normalize_items
 
-    sets = scan_json(spark, root, DATASET, whole_files).withColumn("side", S.norm_side(F.col("side"))).filter(
-        F.col("side").isNotNull() & F.col("items").isNotNull()
-    )
+    sets = read_sets(spark, root, whole_files)
     default = F.when(F.col("side") == "151", K.LEFT_REFERENCE_IN).otherwise(K.RIGHT_REFERENCE_IN)
     rows = sets.select(
         "run_id", "side", F.coalesce(F.nullif("reference_in", F.lit(0.0)), default).alias("reference_in"),
@@ -135,7 +179,7 @@ def scan_datasets(spark: SparkSession, root: str, whole_files: bool = True) -> D
     kept = rows.select(
         "run_id", "side", F.col("position").cast("bigint").alias("position"), "reference_in", "base_central_in",
         F.coalesce("i.active", F.lit(True)).alias("active"), F.coalesce("i.unmatched", F.lit(False)).alias("unmatched"),
-        F.substring(F.trim(F.coalesce("i.notes", F.lit(""))), 1, 200).alias("notes"),
+        F.substring(F.trim(F.coalesce("i.notes", F.lit(""))), 1, 200).alias("notes"), *_measured(),
     )
     return normalize_items(raw).join(kept, ["run_id", "side", "position"])
 
