@@ -204,6 +204,7 @@ def link_sets(sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]
     sizes = np.array([len(s) for s in sets], np.int64)
     forest, links, two = Forest(len(sets)), [], len(set(sides.tolist())) > 1
     order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
     for place, i in enumerate(order):
         i = int(i)
         later = order[place + 1:]
@@ -232,8 +233,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, band: int = BAND, chu
     # one node per set; rows that share an id tie the sets they have
     copies = filled.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     same_set = ["n_shingles", "set_a", "set_b"]
-    tied = filled.join(copies.where("n > 1"), same_set).where("id <> node").select("id", "node")
-    nodes = filled.join(tied.select("id"), "id", "left_anti")
+    tied = filled.join(copies.where("n > 1"), same_set).where("id <> node").select("id", "node", *same_set)
+    nodes = filled.join(tied.select("id", *same_set), ["id", *same_set], "left_anti")
 
     keys = nodes.select("id", F.explode("bands").alias("key"))
     first = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")

@@ -81,6 +81,13 @@ def test_near_duplicates_equal_plain_search(spark, make_docs, chunk_bytes):
     assert all(r["n_shingles"] == len(shingles(dict(rows)[i])) and r["kept"] == (want[i] == i) for i, r in got.items())
 
 
+def test_repeated_ids_with_several_texts(spark, make_docs):
+    # 2 is tied to 1 by a copy and to 3 by a near copy; its blank text is linked with nothing
+    near = "p q r s t u v w x y z a b c d e f g h i j k l m n o"
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, near + " one"), (2, " "), (3, near + " two"), (3, ""), (4, ""), (4, "z")]
+    assert {(r["doc_id"], r["component_id"]) for r in H.near_duplicates(make_docs(rows)).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_many_copies_and_repeated_ids(spark, make_docs):
     rows = [(i, "a b c d e f g") for i in range(300)] + [(5, "p q r s t u v"), (900, "p q r s t u v"), (None, "a b c d e f g"), (None, "z")]
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in H.near_duplicates(make_docs(rows)).collect()]
