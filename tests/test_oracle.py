@@ -1,7 +1,4 @@
-"""Registered queries against their DuckDB text on the smallest tables.
-
-A spread of families by default; ALL_QUERIES=1 runs every query that has a text.
-"""
+"""Every registered query that has a DuckDB text against it, on the smallest tables."""
 
 import os
 
@@ -12,13 +9,8 @@ from gaugeline.plans import load_all
 from gaugeline.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("SF", "/root/testdata/sf0.001")
-SPREAD = [
-    "length_table", "c14_suppression_audit", "e6_collapse_vertical_duplicates", "d3_isolated_clusters", "d6_oversize_boxes", "e10_select_strategy",
-    "c3_spacing_stats", "c7_height_bins", "d9_local_peaks", "d18_trimmed_trend", "h3_limited_negatives", "a2_validate_labels", "a6_load_calibrations",
-    "e11_dataset_as_of", "b18_source_quad", "s2_stream_run_status", "s4_stream_cadence",
-]
 load_all()
-NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else SPREAD
+NAMES = sorted(ORACLES)
 
 
 @pytest.fixture(scope="module")
