@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.functions.ranking import hash_rank
 from gaugeline.operators.measure import fixed6, rebase_line
+from gaugeline.session import broadcast_if_small
 
 
 def stem_of(path: Column) -> Column:
@@ -98,16 +99,28 @@ def positive_split(samples: DataFrame, ratio: float, seed: int, key: str = "stem
 def limited_negatives(negatives: DataFrame, n_train: int, n_val: int, seed: int) -> DataFrame:
     """Round robin over cameras until both quotas are full, val first.
 
-    Only the first n_train + n_val of a camera can be drawn, so both draws are top-k
-    selections over short lists.
+    A row's place in the draw follows from its rank in its camera and the sizes of all
+    cameras, so nothing is sorted or limited as a whole.
     """
-    ranked = hash_rank(negatives, "stem", seed, ["camera"]).drop("total").filter(F.col("rank") <= n_train + n_val)
-    val = ranked.orderBy("rank", "camera").limit(n_val)
-    taken = val.groupBy("camera").agg(F.count(F.lit(1)).alias("taken"))
-    rest = ranked.join(taken, "camera", "left").withColumn("turn", F.col("rank") - F.coalesce("taken", F.lit(0)))
-    train = rest.filter(F.col("turn") > 0).orderBy("turn", "camera").limit(n_train)
-    pick = lambda df, name: df.select("camera", "stem", F.lit(name).alias("split"))
-    return pick(val, "val").unionByName(pick(train, "train"))
+    ranked = hash_rank(negatives, "stem", seed, ["camera"])
+    sizes = ranked.groupBy("camera").agg(F.count(F.lit(1)).alias("n"))
+    every = broadcast_if_small(sizes.agg(F.sort_array(F.collect_list(F.struct("camera", "n"))).alias("cameras")).withColumn("_all", F.lit(1)))
+
+    def place(turn: Column, left) -> Column:
+        """Rows drawn up to this one, when each camera has ``left`` of its size."""
+        own = F.col("camera")
+        return F.aggregate("cameras", F.lit(0).cast("bigint"), lambda a, c: a + F.greatest(F.lit(0), F.least(left(c), turn - 1)) + ((left(c) >= turn) & (c["camera"] <= own)).cast("int"))
+
+    rows = ranked.withColumn("_all", F.lit(1)).join(every, "_all")
+    rows = rows.withColumn("val", place(F.col("rank"), lambda c: c["n"]) <= n_val)
+    taken = broadcast_if_small(rows.groupBy("camera").agg(F.count_if("val").alias("taken")).agg(
+        F.sort_array(F.collect_list(F.struct("camera", "taken"))).alias("taken")).withColumn("_all", F.lit(1)))
+    rest = rows.join(taken, "_all")
+    gone = lambda camera: F.get(F.filter("taken", lambda t: t["camera"] == camera), F.lit(0))["taken"]
+    turn = F.col("rank") - gone(F.col("camera"))
+    train = place(turn, lambda c: c["n"] - gone(c["camera"])) <= n_train
+    split = F.when(F.col("val"), "val").when(train, "train")
+    return rest.select("camera", "stem", split.alias("split")).filter(F.col("split").isNotNull())
 
 
 def split_tally(splits: DataFrame) -> DataFrame:
