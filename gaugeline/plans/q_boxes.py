@@ -95,7 +95,7 @@ def packed(spark, sf):
 
 @query("b4_box_geometry", sql("v_boxes", f"""
 SELECT img, box_id, round({area('a.')}, 6) AS area, round({inter('a.', 'b.')}, 6) AS shared,
-       round({over('a.', 'b.')}, 6) AS overlap, round({vertical('a.', 'b.')}, 6) AS vertical_overlap
+       round({over('a.', 'b.')}, 6) AS overlap, {vertical('a.', 'b.')} AS vertical_overlap
 FROM (SELECT img, box_id, a, lead(a) OVER (PARTITION BY img ORDER BY a.yc, box_id) AS b
       FROM (SELECT img, box_id, {BOX} AS a FROM v_boxes)) WHERE b IS NOT NULL"""))
 def box_geometry(spark, sf):
@@ -105,7 +105,7 @@ def box_geometry(spark, sf):
     return pairs.select(
         "img", "box_id", r6(G.area(a)).alias("area"), r6(G.intersection(a, b)).alias("shared"),
         r6(G.overlap_over_smaller(a, b)).alias("overlap"),
-        r6(G.vertical_overlap_over_smaller(a, b)).alias("vertical_overlap"),
+        G.vertical_overlap_over_smaller(a, b).alias("vertical_overlap"),  # as it is: quotients of few digits are often ties of a rounding
     )
 
 
