@@ -1,8 +1,8 @@
 """Connected components of links between long ids, by alternating star operations.
 
-Each round rewires links to the smallest neighbour, first among all neighbours, then among the smaller ones; a set of links
-that a round leaves as it is consists of stars around the smallest id of each component. Links never outnumber the input.
-Rounds are cut by checkpoints in the shared folder. Nothing but counts reaches the driver.
+Each round rewires links to the smallest neighbour, first among all neighbours, then among the smaller ones, until all links
+are stars: every id has one link to a smaller one, or is where such links end. Links never outnumber the input. Rounds are cut
+by checkpoints in the shared folder. Nothing but a count reaches the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from gaugeline.session import cut_lineage
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -26,19 +26,16 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _mark(links: DataFrame) -> tuple:
-    """Equal for equal sets of links."""
-    return tuple(links.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+def _open_ids(links: DataFrame) -> int:
+    """How many ids have several links to smaller ids, or one while others end at them."""
+    ends = links.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").count()
 
 
 def components(links: DataFrame) -> DataFrame:
     """From links `u`, `v` (longs): `node`, `component` (the smallest id of its component) for every id that has a link to a smaller one."""
-    now = cut_lineage(links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct())
-    mark = _mark(now)
-    while mark[0]:
+    pair = links.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v"))
+    now = cut_lineage(pair.where("u <> v").distinct())
+    while _open_ids(now):
         now = cut_lineage(_small_star(_large_star(now)))
-        new = _mark(now)
-        if new == mark:
-            break
-        mark = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

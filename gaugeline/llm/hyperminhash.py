@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, band: int = BAND, chu
 
     keys = nodes.select("id", F.explode("bands").alias("key"))
     first = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    drawn = keys.join(first, "key").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
+    drawn = keys.join(first, "key").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     grouped = components(drawn)
     members = grouped.union(grouped.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     sized = members.join(nodes.groupBy("id").agg(F.max("n_bytes").alias("n_bytes")), "id")
