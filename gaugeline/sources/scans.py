@@ -40,14 +40,15 @@ def scan_label_lines(spark: SparkSession, root: str) -> DataFrame:
 def parse_labels(lines: DataFrame, mode: str = "five_or_six") -> DataFrame:
     """Numbers of label lines; other lines are skipped.
 
-    Modes: five_or_six, five_or_more (fields); blank lines and classes but 0 are skipped.
+    Modes: five_or_six, five_or_more (fields); blank lines and classes but 0 are skipped, and
+    so are lines with an unreadable number, which ``validate_labels`` reports.
     """
     parts = F.split(F.trim("value"), r"\s+")
     size = F.size("_f")
     fields = size.isin(5, 6) if mode == "five_or_six" else size >= 5
     number = lambda i: F.get("_f", F.lit(i)).try_cast("double")
     rows = lines.withColumn("_f", parts).filter((F.trim("value") != "") & fields)
-    rows = rows.filter(number(0).cast("int") == 0)
+    rows = rows.filter((number(0).cast("int") == 0) & F.concat(*[number(i).cast("string") for i in range(1, 5)]).isNotNull())
     return rows.select(
         *[c for c in lines.columns if c != "value"],
         *[number(i).alias(n) for i, n in enumerate(("xn", "yn", "wn", "hn"), start=1)], F.when(size >= 6, number(5)).alias("conf"),

@@ -343,6 +343,14 @@ def test_band_duplicates_are_counted_apart(spark):
     assert (counts["suppressed_vertical_y_duplicate"], counts["final_count"]) == (1, 2)
 
 
+def test_unreadable_numbers_are_no_boxes(spark):
+    from gaugeline.sources.scans import parse_labels, validate_labels
+
+    lines = spark.createDataFrame([("0 0.5 0.5 0.1 0.2",), ("0 x 0.5 0.1 0.2",), ("0 0.5 0.5 0.1 0.2 0.9",), ("1 0.5 0.5 0.1 0.2",)], "value string")
+    assert sorted((r["xn"], r["conf"] or 0) for r in parse_labels(lines).collect()) == [(0.5, 0), (0.5, 0.9)]
+    assert [r["error"] for r in validate_labels(lines).filter("error = 'number'").collect()] == ["number"]
+
+
 def test_paths_below_a_root_with_signs(spark):
     from gaugeline.sources.scans import relative
 
