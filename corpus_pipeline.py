@@ -19,6 +19,8 @@ from gaugeline.llm.quality import document_statistics, fit, keep_good
 from gaugeline.llm.suffixes import remove_repeats
 from gaugeline.session import fresh_path
 
+NEAR = (80, 100)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose score is 0.7 or more."""
@@ -26,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return keep_first(docs)
+    """Keeps the document with the smallest id of each group of near copies: of five-word shingles four fifths or more are shared."""
+    return keep_first(docs, limit=NEAR)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

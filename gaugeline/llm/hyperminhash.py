@@ -12,8 +12,9 @@ blank texts have an empty set and are linked with nothing. A text with fewer wor
 share an id count as one document, linked with whatever one of them is linked with. A null id sorts first and stays null.
 Extra columns do not matter. An empty table gives no rows.
 
-Two sets of similarity s agree in a band of 6 registers with probability s**6; at 0.85 all 42 bands miss with 2e-9. A pair at
-the limit is left out by its estimate only beyond six standard deviations.
+Two sets of similarity s agree in a band of 6 registers with probability s**6; at 0.85 all 42 bands miss with 2e-9, at 0.8
+with 3e-6. The limit is an argument, a fraction of two whole numbers. A pair at the limit is left out by its estimate only beyond
+six standard deviations.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def band_keys(regs: np.ndarray, band: int = BAND) -> np.ndarray:
     return keys
 
 
-def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, limit: tuple[int, int] = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimates of registers `a` (one row) against rows of `b`, and their standard deviations at the limit.
 
     Of the buckets filled on either side, those that agree count, less what agrees by chance: registers of independent sets
@@ -136,7 +137,7 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
     used = np.maximum(1, filled.sum(1))
     agree = ((a == b) & filled).sum(1) / used
     chance = 0.7213 * 2.0**-MANTISSA * n_a * n_b / (n_a + n_b) ** 2
-    share = LIMIT[0] / LIMIT[1]
+    share = limit[0] / limit[1]
     return np.clip((agree - chance) / (1 - chance), 0, 1), np.sqrt(share * (1 - share) / used)
 
 
@@ -188,17 +189,17 @@ class Forest:
             self.up = up
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, limit: tuple[int, int] = LIMIT) -> bool:
     """Whether two sorted sets reach the limit."""
-    if min(len(a), len(b)) * LIMIT[1] < max(len(a), len(b)) * LIMIT[0]:
+    if min(len(a), len(b)) * limit[1] < max(len(a), len(b)) * limit[0]:
         return False
     both = np.concatenate([a, b])
     both.sort()
     same = int((both[1:] == both[:-1]).sum())
-    return LIMIT[1] * same >= LIMIT[0] * (len(both) - same)
+    return limit[1] * same >= limit[0] * (len(both) - same)
 
 
-def link_sets(sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
+def link_sets(sets: list[np.ndarray], sides: np.ndarray, limit: tuple[int, int] = LIMIT) -> list[tuple[int, int]]:
     """Links that connect what the limit connects. With two sides, pairs of one side are another task's work."""
     regs = np.stack([registers(s) for s in sets])
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -208,7 +209,7 @@ def link_sets(sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]
     for place, i in enumerate(order):
         i = int(i)
         later = order[place + 1:]
-        last = np.searchsorted(sizes[later] * LIMIT[0], sizes[i] * LIMIT[1], side="right")
+        last = np.searchsorted(sizes[later] * limit[0], sizes[i] * limit[1], side="right")
         later = later[:last]
         if two:
             later = later[sides[later] != sides[i]]
@@ -216,17 +217,19 @@ def link_sets(sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]
         later = later[roots[later] != roots[i]]
         if not len(later):
             continue
-        guess, spread = similarity(regs[i], regs[later], sizes[i], sizes[later])
-        near = later[guess >= LIMIT[0] / LIMIT[1] - 6 * spread]
-        for j in near[np.argsort(-guess[guess >= LIMIT[0] / LIMIT[1] - 6 * spread], kind="stable")].tolist():
+        guess, spread = similarity(regs[i], regs[later], sizes[i], sizes[later], limit)
+        near = later[guess >= limit[0] / limit[1] - 6 * spread]
+        for j in near[np.argsort(-guess[guess >= limit[0] / limit[1] - 6 * spread], kind="stable")].tolist():
             a, b = forest.root(i), forest.root(j)
-            if a != b and linked(sets[i], sets[j]):
+            if a != b and linked(sets[i], sets[j], limit):
                 forest.up[max(a, b)] = min(a, b)
                 links.append((i, j))
     return links
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, band: int = BAND, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = SHINGLE, band: int = BAND, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text", limit: tuple[int, int] = LIMIT,
+) -> DataFrame:
     """Per row: `doc_id`, `n_shingles`, `component_id` (smallest id reachable), `kept` (whether that is its own)."""
     signed = cut_lineage(signatures(docs, width, band, doc_id, text))
     filled = signed.where("n_shingles > 0")
@@ -260,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, band: int = BAND, chu
         u, v = [], []
         for _, group in task.groupby("grp"):
             ids = group["id"].to_numpy()
-            links = link_sets([shingle_set(t.encode(), width) for t in group["text"]], group["chunk"].to_numpy())
+            links = link_sets([shingle_set(t.encode(), width) for t in group["text"]], group["chunk"].to_numpy(), limit)
             u += [ids[i] for i, _ in links]
             v += [ids[j] for _, j in links]
         return pd.DataFrame({"u": u, "v": v}, dtype="int64")
