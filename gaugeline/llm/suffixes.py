@@ -13,12 +13,15 @@ but those of the smallest id are repeats. Equal leading bytes never lie in two r
 
 Documents live in chunks of bounded bytes, by a hash of the id; everything between chunks and ranges is packed into binary
 values. Exact copies are found by their SHA-256 first, are repeats as a whole, and send no suffixes. Null texts are empty;
-texts under `length` bytes stay whole. Rows that share an id do not repeat each other. A null id is smaller than any other.
+texts under `length` bytes stay whole. Rows that share an id do not repeat each other, and
+each is judged by its own text: copies and spans belong to an id and the SHA-256 of a text. A null id is smaller than any other.
 An empty table gives no rows. Other columns are kept.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -192,24 +195,31 @@ def remove_repeats(
     chunk_of = lambda column: F.pmod(F.xxhash64(column), F.lit(n_chunks)).cast("int")
     long_ones = marks.where(F.col("n") >= length)
     first = long_ones.groupBy("mark").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = long_ones.join(first, "mark").where("id > first").select(chunk_of("id").alias("chunk"), "id", F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
+    copies = long_ones.join(first, "mark").where("id > first").select(chunk_of("id").alias("chunk"), "id", F.lit(None).cast("binary").alias("a"), F.unhex("mark").alias("b"), F.lit(None).cast("binary").alias("c"))
     copies = cut_lineage(copies)
     own = docs.select(id_key(doc_id).alias("_suffix_id"), chunk_of(id_key(doc_id)).alias("_suffix_chunk"), F.col(text).alias("_suffix_text"), *[F.col(f"`{c}`").alias(f"_column_{i}") for i, c in enumerate(columns) if c != text])
     chunks = own.groupBy("_suffix_chunk")
 
-    def copied(side: pa.Table) -> set[int]:
-        return set(side.filter(pc.is_null(side["a"]))["id"].to_pylist())
+    def copied(side: pa.Table) -> set[tuple[int, bytes]]:
+        found = side.filter(pc.is_null(side["a"]))
+        return set(zip(found["id"].to_pylist(), found["b"].to_pylist()))
+
+    def numbered(docs_of: pa.Table) -> tuple[list[tuple[int, bytes] | None], dict[tuple[int, bytes], int]]:
+        """Per row its id and the mark of its text, nothing for a short one; and the place of each in their order."""
+        marked = zip(docs_of["_suffix_id"].to_pylist(), texts(docs_of["_suffix_text"]))
+        keys = [(name, hashlib.sha256(value).digest()) if len(value) >= length else None for name, value in marked]
+        return keys, {key: n for n, key in enumerate(sorted(set(keys) - {None}))}
 
     def originals(docs_of: pa.Table, side: pa.Table):
-        skip = copied(side)
-        for key, value in zip(docs_of["_suffix_id"].to_pylist(), texts(docs_of["_suffix_text"])):
-            if key not in skip and len(value) >= length:
-                yield key, np.frombuffer(value, np.uint8)
+        skip, (keys, numbers) = copied(side), numbered(docs_of)
+        for key, value in zip(keys, texts(docs_of["_suffix_text"])):
+            if key is not None and key not in skip:
+                yield key[0], numbers[key], np.frombuffer(value, np.uint8)
 
     def gather(key: tuple, docs_of: pa.Table, side: pa.Table) -> pa.Table:
         """Distinct gram hashes of a chunk, dealt to buckets; the lowest bit tells if two of its documents have it."""
         grams, owner = [], []
-        for name, data in originals(docs_of, side):
+        for name, _, data in originals(docs_of, side):
             grams.append(np.unique(anchors(data, length, gram)[1]))
             owner.append(np.full(len(grams[-1]), name))
         out = []
@@ -261,6 +271,8 @@ def remove_repeats(
     n_ranges = int(n_chunks)
     splitters = np.unique(keys[np.linspace(0, len(keys) - 1, n_ranges + 1).astype(int)[1:-1]]) if len(keys) else keys
 
+    head_kind = np.dtype([("id", np.int64), ("place", np.int64), ("right", np.int32), ("row", np.int32)])
+
     def send(key: tuple, docs_of: pa.Table, side: pa.Table) -> pa.Table:
         """Suffixes whose gram is shared, with what stands around them, dealt to ranges by their leading bytes."""
         blobs = [_view(v, np.uint64) for v in side["a"] if v.is_valid]
@@ -268,15 +280,15 @@ def remove_repeats(
             return _pack([], ["part", "chunk", "n", "a", "b"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
         grams = np.sort(np.concatenate(blobs))
         contexts, heads = [], []
-        for name, data in originals(docs_of, side):
+        for name, row, data in originals(docs_of, side):
             at, hashes = anchors(data, length, gram)
             plain = hashes >> np.uint64(1)
             at = at[grams[np.minimum(np.searchsorted(grams, plain), len(grams) - 1)] == plain]
             if len(at):
                 padded = np.concatenate([np.zeros(before, np.uint8), data, np.zeros(length, np.uint8)])
                 contexts.append(padded[at[:, None] + np.arange(before + length)])
-                head = np.zeros(len(at), [("id", np.int64), ("place", np.int64), ("right", np.int32)])
-                head["id"], head["place"], head["right"] = name, at, np.minimum(length, len(data) - at)
+                head = np.zeros(len(at), head_kind)
+                head["id"], head["place"], head["right"], head["row"] = name, at, np.minimum(length, len(data) - at), row
                 heads.append(head)
         if not contexts:
             return _pack([], ["part", "chunk", "n", "a", "b"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
@@ -295,7 +307,6 @@ def remove_repeats(
 
     sides = wanted.unionByName(copies)
     sent = chunks.cogroup(sides.groupBy("chunk")).applyInArrow(send, "part int, chunk int, n int, a binary, b binary")
-    head_kind = np.dtype([("id", np.int64), ("place", np.int64), ("right", np.int32)])
 
     def compare(table: pa.Table) -> pa.Table:
         codec, contexts, heads = pa.Codec("zstd"), [], []
@@ -313,7 +324,7 @@ def remove_repeats(
         for i, name in enumerate(names):
             s, e = at[i], at[i + 1]
             if s < e:
-                out.append((name, None, head["id"][rows_of[s:e]].tobytes(), starts[s:e].astype(np.int64).tobytes(), ends[s:e].astype(np.int64).tobytes()))
+                out.append((name, None, head["row"][rows_of[s:e]].astype(np.int64).tobytes(), starts[s:e].astype(np.int64).tobytes(), ends[s:e].astype(np.int64).tobytes()))
         return _pack(out, ["chunk", "id", "a", "b", "c"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     spans = sent.groupBy("part").applyInArrow(compare, side_schema).unionByName(copies)
@@ -321,20 +332,19 @@ def remove_repeats(
     kept_columns = [(i, c) for i, c in enumerate(columns) if c != text]
     schema = ", ".join([f"_column_{i} {kinds[c]}" for i, c in kept_columns] + [f"_kept {'string' if as_text else 'binary'}, _n_bytes long, _removed array<struct<start:long,end:long>>"])
 
-    def remove(key: tuple, docs_of: pa.Table, side: pa.Table) -> pa.Table:
-        skip = copied(side)
+    def remove(_: tuple, docs_of: pa.Table, side: pa.Table) -> pa.Table:
+        skip, (keys, numbers) = copied(side), numbered(docs_of)
         blobs = [(_view(a, np.int64), _view(b, np.int64), _view(c, np.int64)) for a, b, c in zip(side["a"], side["b"], side["c"]) if a.is_valid]
-        ids, starts, ends = (np.concatenate([b[k] for b in blobs]) if blobs else np.zeros(0, np.int64) for k in range(3))
-        order = np.argsort(ids, kind="stable")
-        ids, starts, ends = ids[order], starts[order], ends[order]
+        rows, starts, ends = (np.concatenate([b[k] for b in blobs]) if blobs else np.zeros(0, np.int64) for k in range(3))
+        order = np.argsort(rows, kind="stable")
+        rows, starts, ends = rows[order], starts[order], ends[order]
         kept, sizes, removed = [], [], []
-        for name, value in zip(docs_of["_suffix_id"].to_pylist(), texts(docs_of["_suffix_text"])):
-            if name in skip:
+        for key, value in zip(keys, texts(docs_of["_suffix_text"])):
+            if key is not None and key in skip:
                 runs = (np.array([0]), np.array([len(value)]))
             else:
-                s, e = np.searchsorted(ids, [name, name + 1]) if name < 2**63 - 1 else (np.searchsorted(ids, name), len(ids))
-                inside = ends[s:e] <= len(value)
-                runs = merge(starts[s:e][inside], ends[s:e][inside])
+                s, e = np.searchsorted(rows, [numbers[key], numbers[key] + 1]) if key is not None else (0, 0)
+                runs = merge(starts[s:e], ends[s:e])
             rest = cut_text(value, *runs, as_text)
             kept.append(rest.decode() if as_text else rest)
             sizes.append(len(value))

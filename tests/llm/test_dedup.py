@@ -181,3 +181,16 @@ def test_cut_texts_stay_texts(spark, make_docs):
     assert cut.columns == [*docs.columns, "n_bytes", "removed"]
     assert got == [(0, "z" * 60), (1, a), (2, "àend"), (2, "àend"), (3, "q")]
     assert X.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_are_cut_by_their_own_texts(spark, make_docs):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    copy, passage = text(120), text(70)
+    rows = [(1, copy), (2, copy), (2, text(130)), (3, text(20) + passage), (4, text(60) + passage + text(30)), (4, text(200)), (4, text(90)), (4, passage + "z")]
+    rows += [(None, text(80) + passage), (None, text(150)), (2, copy), (2, "short")]
+    key = [(-1 if i is None else i, t) for i, t in rows]
+    got = digest(X.remove_repeats(make_docs(key).select("doc_id", "text"), as_text=False))
+    assert got == plain_cut(key)
+    cut = {(r["doc_id"], r["n_bytes"], len(r["removed"])) for r in X.remove_repeats(make_docs(rows)).collect()}
+    assert {(2, 120, 1), (2, 130, 0), (4, 200, 0), (4, 90, 0), (4, 160, 1), (4, 71, 1), (3, 90, 1), (1, 120, 0), (None, 150, 0), (None, 150, 0)} <= cut
