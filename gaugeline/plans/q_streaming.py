@@ -72,11 +72,13 @@ def stream_match(spark, sf):
     sets = items.groupBy("run_id", "side").agg(F.collect_list(F.struct(*fields)).alias("items")).join(views.datasets(spark, sf), ["run_id", "side"])
     # the sides arrive one after the other, the even runs' left side twice
     left, right = sets.filter("side = '151'"), sets.filter("side = '152'")
+    checkpoint = fresh_path(spark, "cp")
     for part in (left, left.filter(views.run_number() % 2 == 0), right):
-        part.coalesce(1).write.mode("append").parquet(source)
-    rows = spark.readStream.schema(sets.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    writer = rows.writeStream.foreachBatch(streams.match_batch(pending, out)).option("checkpointLocation", fresh_path(spark, "cp"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+        part.write.mode("append").parquet(source)
+        # what has come since the last start is one batch, read by as many tasks as it has files
+        rows = spark.readStream.schema(sets.schema).parquet(source)
+        writer = rows.writeStream.foreachBatch(streams.match_batch(pending, out)).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
     stored = streams.latest_matches(spark, out)
     return stored.select(
         "run_id", "tube_number", "match_status", "id_151", "id_152", r6("measurement_151").alias("measurement_151"), r6("measurement_152").alias("measurement_152"), "strategy"
