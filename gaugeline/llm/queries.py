@@ -175,6 +175,78 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+_OP11 = r"""
+with recursive crc as (select crc.*, kind from (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations) crc join (
+      select k, (4294967295 - s) % 20 as kind from (
+        select k, list_reduce(list_prepend(4294967295, list_transform(range(1, len(k) + 1), lambda i: cast(ascii(k[i]) as bigint))), lambda c, b:
+          list_reduce(list_prepend(xor(c, b), [cast(0 as bigint), 0, 0, 0, 0, 0, 0, 0]), lambda v, j: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end)) as s
+        from (select distinct coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations))) u using (k)),
+hurt as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then replace(replace(replace(text, '.', ''), '!', ''), '?', '') else text end as text
+  from crc, (select unnest([1, 2]) as copy) where kind <> 0 and (copy = 1 or kind = 3)),
+e as materialized (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, count(*) over (partition by conv_id) as n, substr(role, 1, 1) as ini,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last from hurt),
+f as materialized (select *, case when last = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+    when last not in ('.', '!', '?') then 'truncated' else '' end as fault, lag(ini) over (partition by conv_id order by i) as prev from e),
+go as (
+  select conv_id, max(n) + 1 as i, {'c': 0, 'a': ''} as c0, {'c': 10, 'a': 'II'} as c1, {'c': 5, 'a': 'I'} as c2, {'c': 0, 'a': ''} as c3 from f group by conv_id
+  union all
+  select conv_id, i, list_sort([b0, {'c': n2.c + 5, 'a': 'I' || n2.a}])[1], list_sort([b1, {'c': n2.c + 5, 'a': 'I' || n2.a}])[1], n2, n3 from (
+    select *, list_sort([b2, {'c': b3.c + 5, 'a': 'I' || b3.a}])[1] as n2, list_sort([b3, {'c': b2.c + 5, 'a': 'I' || b2.a}])[1] as n3 from (
+      select conv_id, i,
+        list_sort([{'c': c0.c + 2, 'a': 'D' || c0.a}, {'c': c2.c + 1 + x, 'a': 'R' || c2.a},
+                   case ini when 's' then {'c': c1.c + x, 'a': 'K' || c1.a} when 'u' then {'c': c2.c + x, 'a': 'K' || c2.a} else {'c': 1000000000, 'a': ''} end])[1] as b0,
+        list_sort([{'c': c1.c + 2, 'a': 'D' || c1.a}, {'c': c2.c + 1 + x, 'a': 'R' || c2.a}, case ini when 'u' then {'c': c2.c + x, 'a': 'K' || c2.a} else {'c': 1000000000, 'a': ''} end])[1] as b1,
+        list_sort([{'c': c2.c + 2, 'a': 'D' || c2.a}, {'c': c3.c + 1 + x, 'a': 'R' || c3.a}, case ini when 'a' then {'c': c3.c + x, 'a': 'K' || c3.a} else {'c': 1000000000, 'a': ''} end])[1] as b2,
+        list_sort([{'c': c3.c + 2, 'a': 'D' || c3.a}, {'c': c2.c + 1 + x, 'a': 'R' || c2.a}, case ini when 'u' then {'c': c2.c + x, 'a': 'K' || c2.a} else {'c': 1000000000, 'a': ''} end])[1] as b3
+      from (select g.conv_id, f.i, f.ini, c0, c1, c2, c3, case fault when '' then 0 when 'truncated' then 5 else 1000000 end as x
+            from go g join f on f.conv_id is not distinct from g.conv_id and f.i = g.i - 1)))),
+best as (select conv_id, c0.c as cost, c0.a as audit from go where i = 1),
+chars as (select conv_id, audit[p] as ch, p, len(replace(audit[1:p], 'I', '')) as i from (select conv_id, audit, unnest(range(1, len(audit) + 1)) as p from best)),
+outs as (select c.*, f.role, f.text, row_number() over (partition by c.conv_id order by p) as k, first_value(ch = 'K' and f.ini = 's') over (partition by c.conv_id order by p) as sys
+         from chars c left join f on f.conv_id is not distinct from c.conv_id and f.i = c.i where ch <> 'D'),
+fixed as (select conv_id, string_agg(case when ch = 'K' then role when (k - case when sys then 1 else 0 end) % 2 = 1 then 'user' else 'assistant' end || ':' || case when ch = 'I' then '' else text end, chr(10) order by p) as body
+          from outs group by conv_id),
+told as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+                count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where prev is not null and prev || ini not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank, cast(coalesce(duplicate, 0) as bigint) as duplicate,
+       cast(coalesce(truncated, 0) as bigint) as truncated, cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(cost, 0) as bigint) as cost,
+       coalesce(audit, '') as audit, sha256(coalesce(body, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join told t on t.conv_id is not distinct from o.conv_id
+  left join best b on b.conv_id is not distinct from o.conv_id left join fixed x on x.conv_id is not distinct from o.conv_id
+"""
+
+
+@query("op11_conversation_repair", _OP11)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.repair import damage, repair_conversations
+
+    repaired = repair_conversations(damage(table(spark, sf_dir, "conversations")), present="present")
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return repaired.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines, 256).alias("repaired_sha256"))
+
+
+_OP12 = f"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER.format('text')}, {_PART}) as w from documents),
+size as (select count(*) filter (where len(w) > 0) as nn, cast(coalesce(sum(len(w)), 0) as bigint) as ll from d),
+t as (select r, doc_id, term, n, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as term from d) group by all),
+w as (select term, cast(floor(1000 * ln((2.0::double * any_value(nn) + 2) / (2.0::double * count(*) + 1))) as bigint) as weight from t, size group by term),
+q as (select row_number() over () as item, item_id, regexp_extract_all({_LOWER.format('text')}, {_PART}) as words from benchmark),
+s as (select item, item_id, r, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) as bigint) as score
+      from (select item, item_id, unnest(words) as term from q) join w using (term) join t using (term), size group by all having score > 0),
+k as (select *, cast(row_number() over (partition by item order by score desc, doc_id nulls first) as integer) as rank from s)
+select item_id, rank, doc_id, score from k where rank <= 20
+"""
+
+
+@query("op12_lexical_search", _OP12)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gaugeline.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
