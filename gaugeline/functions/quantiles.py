@@ -1,68 +1,67 @@
-"""Exact medians of groups that may hold most of the data.
+"""Exact medians of groups that may hold most of the data, by radix selection.
 
-The built-in percentile gathers the distinct values of a group in one task.  Here the
-values are counted first (partial aggregation).  Bucket limits come from the ranks of the
-distinct values (a mergeable sketch), so that far values cannot fill a bucket; the counts
-per bucket tell which one or two hold the middle, and only those are sorted.
+The built-in percentile gathers the distinct values of a group in one task. Here a double becomes a long whose order is that
+of the doubles, and the middle ranks are narrowed from its leading bits to its last: a histogram of 22 bits tells which bucket
+holds them, one of the next 21 bits inside that bucket goes on, and the last 21 bits leave single values. A histogram is a
+partial aggregate with a bounded number of rows per group; values are neither shuffled nor sorted, whatever their spread is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.session import broadcast_if_small
+from gaugeline.session import cut_lineage
 
-BUCKETS = 1024
+#: Bits below the digits of each round.
+SHIFTS = (42, 21, 0)
+#: Groups up to which their one or two buckets are broadcast.
+FEW_GROUPS = 10_000
 
 
-def value_counts(df: DataFrame, keys: list[str], value) -> DataFrame:
-    """Rows (keys, v, n): how often each value of each group occurs."""
-    column = F.col(value) if isinstance(value, str) else value
-    return (
-        df.select(*keys, column.alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy(*keys, "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+def order_bits(value: Column) -> Column:
+    """A long that sorts like the double: the bits of its size, negated for negative values. Both zeros are 0; NaN comes last."""
+    size = F.abs(value)
+    power = lambda e: F.pow(F.lit(2.0), e)
+    near = F.greatest(F.floor(F.log2(F.when((size > 0) & (size < F.lit(float("inf"))), size))).cast("double"), F.lit(-1022.0))
+    # the logarithm may round to the next power
+    e = near + F.when(size / power(near) >= 2, 1.0).when((size / power(near) < 1) & (near > -1022), -1.0).otherwise(0.0)
+    high, unit = F.lit(2.0**52), F.lit(1 << 52)
+    normal = (e.cast("long") + 1023) * unit + ((size / power(e) - 1) * high).cast("long")
+    bits = (
+        F.when(size == 0, F.lit(0).cast("long"))
+        .when(F.isnan(size), F.lit((1 << 63) - 1)).when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < 2.0**-1022, (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")).otherwise(normal)
     )
+    return F.when((value < 0) & ~F.isnan(value), -bits).otherwise(bits)
 
 
-def exact_median(counts: DataFrame, keys: list[str], name: str = "median", buckets: int = BUCKETS) -> DataFrame:
-    """Median per group of a value-count table: rows (keys, name, total)."""
-    stride = max(1, round(buckets**0.5))
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    groups = broadcast_if_small(
-        counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.percentile_approx("v", shares, 10 * buckets).alias("limits"))
-    )
-    # how many limits lie below a value, found in two steps of about the square root of their number
-    below = lambda limits: F.size(F.filter(limits, lambda x: x < F.col("v")))
-    every = F.filter("limits", lambda x, i: (i + 1) % stride == 0)
-    placed = counts.join(groups, keys).withColumn("_coarse", below(every) * stride).withColumn(
-        "bucket", F.col("_coarse") + below(F.slice("limits", F.col("_coarse") + 1, F.lit(stride)))
-    ).drop("limits", "_coarse")
-    in_order = Window.partitionBy(*keys).orderBy("bucket")
-    histogram = (
-        placed.groupBy(*keys, "bucket")
-        .agg(F.sum("n").alias("held"), F.first("total").alias("total"))
-        .withColumn("upto", F.sum("held").over(in_order))
-        .withColumn("before", F.col("upto") - F.col("held"))
-    )
-    low_rank = F.floor((F.col("total") + 1) / F.lit(2.0))
-    high_rank = F.floor((F.col("total") + 2) / F.lit(2.0))
-    middle = broadcast_if_small(
-        histogram.filter((F.col("upto") >= low_rank) & (F.col("before") < high_rank)).select(*keys, "bucket", "before")
-    )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("v")
-    ranked = placed.join(middle, [*keys, "bucket"]).withColumn(
-        "rank", F.col("before") + F.sum("n").over(inside)
-    )
-    return ranked.groupBy(*keys).agg(
-        (
-            0.5
-            * (
-                F.min(F.when(F.col("rank") >= low_rank, F.col("v")))
-                + F.min(F.when(F.col("rank") >= high_rank, F.col("v")))
-            )
-        ).alias(name),
-        F.first("total").alias("total"),
-    )
+def exact_median(df: DataFrame, keys: list[str], name: str = "median", value: str = "v", weight: str | None = None, few: int = FEW_GROUPS) -> DataFrame:
+    """Median per group, null values left out: rows (keys, name, total). With `weight`, a row counts that often."""
+    times = F.col(weight) if weight else F.lit(1)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), times.cast("long").alias("_times"))
+    rows = rows.withColumn("_bits", order_bits(F.col("_v")))
+    held, small, above, kept = None, False, 0, keys
+    for shift in SHIFTS:
+        inside = rows
+        if held is not None:
+            # keys of the right side have names of their own
+            found = held.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "_prefix", "_before", "_total")
+            same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+            inside = rows.join(F.broadcast(found) if small else found, [*same, F.shiftright("_bits", above) == F.col("_prefix")])
+            kept = [*keys, "_prefix", "_before", "_total"]
+        counts = inside.groupBy(*kept, F.shiftright("_bits", shift).alias("_digit")).agg(F.sum("_times").alias("_held"), F.min("_v").alias("_v"))
+        upto = F.sum("_held").over(Window.partitionBy(*kept).orderBy("_digit"))
+        if held is None:
+            placed = counts.withColumn("_upto", upto).withColumn("_total", F.sum("_held").over(Window.partitionBy(*keys)))
+        else:
+            placed = counts.withColumn("_upto", upto + F.col("_before"))
+        low, high = F.floor((F.col("_total") + 1) / F.lit(2)), F.floor((F.col("_total") + 2) / F.lit(2))
+        middle = placed.where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_held") < high))
+        held = middle.select(*keys, F.col("_digit").alias("_prefix"), (F.col("_upto") - F.col("_held")).alias("_before"), "_total", "_upto", "_v")
+        if shift == SHIFTS[0]:
+            held = cut_lineage(held)
+            small = held.count() <= 2 * few
+        above = shift
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.struct("_upto", "_v")))["_v"]
+    return held.groupBy(*keys).agg((0.5 * (at(low) + at(high))).alias(name), F.first("_total").alias("total"))

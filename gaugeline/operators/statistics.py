@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeline.functions.quantiles import exact_median, value_counts
+from gaugeline.functions.quantiles import exact_median
 from gaugeline.functions.scalars import positive
 from gaugeline.operators.boxes import IMAGE
 from gaugeline.session import broadcast_if_small, cut_lineage
@@ -36,43 +36,34 @@ def mean_variance(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def spacing_stats(labels: DataFrame, min_gaps: int = 10) -> DataFrame:
     """Spacing of neighbours per camera from rows (camera, img, y); none below ten gaps.
 
-    A camera may hold any share of the data, so its medians come from value counts, which
-    are written once and then narrowed (see functions.quantiles).
+    A camera may hold any share of the data: its gaps are written once, its medians come from
+    histograms of fixed size (see functions.quantiles), and what is broadcast has a row per camera.
     """
     down = Window.partitionBy("camera", "img").orderBy("y")
-    gaps = labels.select("camera", "img", (F.col("y") - F.lag("y").over(down)).alias("v"), "y")
+    above = labels.select("camera", "img", "y", (F.col("y") - F.lag("y").over(down)).alias("v"))
     seen = F.count_if(F.col("v") > 0).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    counts = cut_lineage(
-        gaps.withColumn("opening", (seen == 1) & (F.col("v") > 0)).filter(F.col("v") > 0)
-        .groupBy("camera", "v").agg(F.count(F.lit(1)).alias("n"), F.count_if("opening").alias("images"))
-    )
+    gaps = cut_lineage(above.withColumn("seen", seen).filter(F.col("v") > 0).select("camera", "v", (F.col("seen") == 1).alias("opening")))
     key = ["camera"]
-    totals = counts.groupBy("camera").agg(F.sum("n").alias("raw_spacing_count"), F.sum("images").alias("sample_image_count"))
-    raw = broadcast_if_small(exact_median(counts.filter(F.col("v") > 1e-6), key, "raw").drop("total"))
-    central = cut_lineage(
-        counts.join(raw, key).filter(F.col("v").between(0.35 * F.col("raw"), 2.50 * F.col("raw"))).select("camera", "v", "n", "raw")
-    )
+    totals = gaps.groupBy("camera").agg(F.count(F.lit(1)).alias("raw_spacing_count"), F.count_if("opening").alias("sample_image_count"))
+    raw = broadcast_if_small(exact_median(gaps.filter(F.col("v") > 1e-6), key, "raw").drop("total"))
+    central = gaps.join(raw, key).filter(F.col("v").between(0.35 * F.col("raw"), 2.50 * F.col("raw"))).select("camera", "v", "raw")
     middle = exact_median(central.filter(F.col("v") > 1e-6), key, "median_gap").drop("total")
     mean = central.groupBy("camera").agg(
-        F.sum("n").alias("spacing_count"), (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("mean_gap_px"),
-        F.first("raw").alias("raw"),
+        F.count(F.lit(1)).alias("spacing_count"), F.avg("v").alias("mean_gap_px"), F.var_pop("v").alias("variance_gap_px"), F.first("raw").alias("raw"),
     )
-    base = cut_lineage(
+    base = broadcast_if_small(
         totals.join(mean, key).join(middle, key, "left")
         .withColumn("median_gap_px", F.coalesce("median_gap", "raw")).drop("median_gap", "raw")
     )
-    around = central.join(base.select("camera", "median_gap_px", "mean_gap_px"), key)
-    spread = around.groupBy("camera").agg(
-        (F.sum(F.col("n") * (F.col("v") - F.col("mean_gap_px")) ** 2) / F.sum("n")).alias("variance_gap_px")
-    )
-    deviations = around.select("camera", F.abs(F.col("v") - F.col("median_gap_px")).alias("v"), "n").filter(F.col("v") > 1e-6)
+    around = central.join(base.select("camera", "median_gap_px"), key)
+    deviations = around.select("camera", F.abs(F.col("v") - F.col("median_gap_px")).alias("v")).filter(F.col("v") > 1e-6)
     mad = exact_median(deviations, key, "mad").drop("total")
     m, sigma = F.col("median_gap_px"), 1.4826 * F.col("mad_gap_px")
     allowed = F.greatest(
         1.65 * m, m + 4.0 * sigma, F.when(F.col("std_gap_px") > 0, F.col("mean_gap_px") + 2.0 * F.col("std_gap_px"))
     )
     return (
-        base.join(spread, key).join(mad, key, "left")
+        base.join(mad, key, "left")
         .withColumn("mad_gap_px", F.coalesce("mad", F.lit(0.0))).drop("mad")
         .withColumn("std_gap_px", F.sqrt("variance_gap_px"))
         .withColumn("allowed_gap_px", F.least(allowed, 3.0 * m))
@@ -100,11 +91,11 @@ def height_bins(boxes: DataFrame, bins: int) -> DataFrame:
     """Count, median, mean, min and max height per camera and equal-width y bin."""
     inside = boxes.filter(F.col("y_norm").between(0.0, 1.0))
     place = F.least(F.floor(F.col("y_norm") * bins), F.lit(bins - 1)).cast("int") + 1
-    counts = cut_lineage(value_counts(inside.withColumn("bin", place), ["camera", "bin"], "h"))
-    stats = counts.groupBy("camera", "bin").agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("mean_h"), F.min("v").alias("min_h"), F.max("v").alias("max_h")
+    binned = inside.select("camera", place.alias("bin"), "h")
+    stats = binned.groupBy("camera", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("h").alias("mean_h"), F.min("h").alias("min_h"), F.max("h").alias("max_h")
     )
-    median = exact_median(counts, ["camera", "bin"], "median_h").drop("total")
+    median = exact_median(binned, ["camera", "bin"], "median_h", "h").drop("total")
     every = boxes.select("camera").distinct().withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     filled = every.join(stats, ["camera", "bin"], "left").join(median, ["camera", "bin"], "left")
     return filled.withColumn("n", F.coalesce("n", F.lit(0)))
@@ -121,9 +112,9 @@ def height_outliers(boxes: DataFrame, z: float = 2.5) -> DataFrame:
         .withColumn("ratio", F.when(F.col("expected") > 1e-6, F.col("h") / F.when(F.col("expected") > 1e-6, F.col("expected"))))
         .drop("slope", "intercept")
     )
-    counts = cut_lineage(value_counts(rows.withColumn("v_", F.abs("residual")), ["camera"], "v_"))
-    center = broadcast_if_small(exact_median(counts, ["camera"], "center").drop("total"))
-    apart = counts.join(center, "camera").select("camera", F.abs(F.col("v") - F.col("center")).alias("v"), "n")
+    sizes = rows.select("camera", F.abs("residual").alias("v"))
+    center = broadcast_if_small(exact_median(sizes, ["camera"], "center").drop("total"))
+    apart = sizes.join(center, "camera").select("camera", F.abs(F.col("v") - F.col("center")).alias("v"))
     scale = broadcast_if_small(exact_median(apart, ["camera"], "mad").select(
         "camera", F.greatest(F.lit(1e-6), 1.4826 * F.col("mad")).alias("scale")
     ))

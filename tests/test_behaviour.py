@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.functions import scalars as S
-from gaugeline.functions.quantiles import exact_median, value_counts
 from gaugeline.functions.ranking import hash_rank
 from gaugeline.operators import boxes as B
 from gaugeline.operators import datasets as D
@@ -167,25 +166,6 @@ def test_rank_is_whole_and_repeatable(spark):
     assert sorted(v for k, v in a.items() if k % 3 > 0) == list(range(1, 334))
 
 
-@pytest.mark.parametrize("n", [1, 2, 99, 1000])
-def test_exact_median_of_a_hot_group(spark, n):
-    rng = random.Random(n)
-    values = [("hot", rng.choice([rng.gauss(5, 2), 1.0])) for _ in range(n)] + [("cold", 4.0), ("cold", 8.0)]
-    counts = value_counts(spark.createDataFrame(values, "k string, x double"), ["k"], "x")
-    got = {r["k"]: r["median"] for r in exact_median(counts, ["k"], buckets=16).collect()}
-    hot = sorted(v for k, v in values if k == "hot")
-    assert got["cold"] == 6.0 and math.isclose(got["hot"], 0.5 * (hot[(n - 1) // 2] + hot[n // 2]))
-
-
-def test_one_far_value_does_not_fill_a_bucket(spark):
-    values = spark.range(20_000).selectExpr("'hot' AS k", "cast(id AS double) AS x").unionByName(spark.createDataFrame([("hot", 1e12)], "k string, x double"))
-    counts = value_counts(values, ["k"], "x")
-    assert exact_median(counts, ["k"]).first()["median"] == 10_000.0
-    limits = counts.groupBy("k").agg(F.percentile_approx("v", F.array(*[F.lit(i / 1024) for i in range(1, 1024)]), 10_240).alias("l"))
-    bucket = F.size(F.filter("l", lambda x: x < F.col("v")))
-    assert counts.join(limits, "k").groupBy(bucket).count().agg(F.max("count")).first()[0] < 60
-
-
 def test_calibrations_of_readable_and_broken_files(spark, tmp_path):
     from gaugeline.sources.scans import load_calibrations
 
