@@ -116,7 +116,7 @@ def test_the_allocation_reaches_its_weight_and_misses_no_pair(size):
     rng = np.random.default_rng(size)
     bands = J.Bands((80, 100))
     for trial in range(60):
-        excess = rng.integers(1, 2000 if trial % 2 else 2, 1 << J.COUNT_BITS).astype(np.int64)
+        excess = J.Costs(rng.integers(1, 2000 if trial % 2 else 2, 1 << J.COST_BITS).astype(np.int32))
         x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
         gone = rng.integers(0, bands.differ(size, size) + 1)
         y = x[gone:] if trial % 3 else np.unique(np.concatenate([x[gone:], rng.integers(0, 2**63, int(gone)).astype(np.uint64)]))
