@@ -38,6 +38,19 @@ def order_bits(value: Column) -> Column:
 
 def exact_median(df: DataFrame, keys: list[str], name: str = "median", value: str = "v", weight: str | None = None, few: int = FEW_GROUPS) -> DataFrame:
     """Median per group, null values left out: rows (keys, name, total). With `weight`, a row counts that often."""
+    found = ranked_values(df, keys, 0.5, value, weight, few)
+    return found.select(*keys, (0.5 * (F.col("low") + F.col("high"))).alias(name), "total")
+
+
+def exact_quantile(df: DataFrame, keys: list[str], share: float, name: str, value: str = "v", few: int = FEW_GROUPS) -> DataFrame:
+    """The value at the given share of the order, between two values in proportion: rows (keys, name, total)."""
+    found = ranked_values(df, keys, share, value, None, few)
+    part = F.lit(share) * (F.col("total") - 1) - F.floor(F.lit(share) * (F.col("total") - 1))
+    return found.select(*keys, (F.col("low") + part * (F.col("high") - F.col("low"))).alias(name), "total")
+
+
+def ranked_values(df: DataFrame, keys: list[str], share: float, value: str = "v", weight: str | None = None, few: int = FEW_GROUPS) -> DataFrame:
+    """The values on both sides of a share of the order: rows (keys, low, high, total)."""
     times = F.col(weight) if weight else F.lit(1)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), times.cast("long").alias("_times"))
     rows = rows.withColumn("_bits", order_bits(F.col("_v")))
@@ -56,7 +69,8 @@ def exact_median(df: DataFrame, keys: list[str], name: str = "median", value: st
             placed = counts.withColumn("_upto", upto).withColumn("_total", F.sum("_held").over(Window.partitionBy(*keys)))
         else:
             placed = counts.withColumn("_upto", upto + F.col("_before"))
-        low, high = F.floor((F.col("_total") + 1) / F.lit(2)), F.floor((F.col("_total") + 2) / F.lit(2))
+        place = F.lit(share) * (F.col("_total") - 1)
+        low, high = F.floor(place) + 1, F.ceil(place) + 1
         middle = placed.where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_held") < high))
         held = middle.select(*keys, F.col("_digit").alias("_prefix"), (F.col("_upto") - F.col("_held")).alias("_before"), "_total", "_upto", "_v")
         if shift == SHIFTS[0]:
@@ -64,4 +78,4 @@ def exact_median(df: DataFrame, keys: list[str], name: str = "median", value: st
             small = held.count() <= 2 * few
         above = shift
     at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.struct("_upto", "_v")))["_v"]
-    return held.groupBy(*keys).agg((0.5 * (at(low) + at(high))).alias(name), F.first("_total").alias("total"))
+    return held.groupBy(*keys).agg(at(low).alias("low"), at(high).alias("high"), F.first("_total").alias("total"))

@@ -1,7 +1,8 @@
 """One-dimensional profiles: smoothing, peaks, periods, trends, edges.
 
-Rows are (series, idx, x).  A series is one line of an image, so it is short; windows and
-per-series arrays share the partitioning by series.
+Rows are (series, idx, x), idx from 0 without holes.  Sliding windows run per block of a series whose
+borders are copied from its neighbours, so a series may have any length.  Forms that fold or sort a whole
+series are for short ones; `operators.series` takes series of any length and hands the short ones to them.
 """
 
 from __future__ import annotations
@@ -9,21 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.operators.long_series import BLOCK, inner, spread
+
 SERIES = "PARTITION BY series"
 ORDER = "PARTITION BY series ORDER BY idx"
+BLOCKED = "PARTITION BY series, _block ORDER BY idx"
 
 
-def around(before: int, after: int) -> str:
+def around(before: int, after: int, order: str = ORDER) -> str:
     start = f"{before} PRECEDING" if before > 0 else (f"{-before} FOLLOWING" if before < 0 else "CURRENT ROW")
     end = f"{after} FOLLOWING" if after > 0 else (f"{-after} PRECEDING" if after < 0 else "CURRENT ROW")
-    return f"({ORDER} ROWS BETWEEN {start} AND {end})"
+    return f"({order} ROWS BETWEEN {start} AND {end})"
 
 
-def moving_average(df: DataFrame, window: int, name: str = "smooth") -> DataFrame:
+def moving_average(df: DataFrame, window: int, name: str = "smooth", block: int = BLOCK) -> DataFrame:
     """Box filter with zeros beyond the ends; the divisor stays k."""
     k = max(3, int(window))
     k += 1 - k % 2
-    return df.withColumn(name, F.expr(f"sum(x) OVER {around(k // 2, k // 2)} / {k}D"))
+    rows = spread(df, k // 2, k // 2, block)
+    return inner(rows.withColumn(name, F.expr(f"sum(x) OVER {around(k // 2, k // 2, BLOCKED)} / {k}D")), block)
 
 
 def minmax01(df: DataFrame, value: str = "x", name: str = "unit") -> DataFrame:
@@ -52,20 +57,30 @@ def local_peaks(df: DataFrame, threshold: float, min_distance: int) -> DataFrame
     return found.select("series", F.expr(f"array_sort({spaced('c', str(max(1, min_distance)))})").alias("peaks"))
 
 
-def rolling_median(df: DataFrame, radius: int, name: str = "median", value: str = "x") -> DataFrame:
+def rolling_median(df: DataFrame, radius: int, name: str = "median", value: str = "x", block: int = BLOCK) -> DataFrame:
     """Median of the neighbourhood, cut at the ends."""
     r = max(1, radius)
-    return df.withColumn(name, F.expr(f"percentile({value}, 0.5) OVER {around(r, r)}"))
+    return inner(spread(df, r, r, block).withColumn(name, near_median(r, value, BLOCKED)), block)
+
+
+def near_median(radius: int, value: str = "x", order: str = ORDER) -> Column:
+    return F.expr(f"percentile({value}, 0.5) OVER {around(radius, radius, order)}")
 
 
-def edge_median(df: DataFrame, window: int, name: str = "median", value: str = "x") -> DataFrame:
+def edge_median(df: DataFrame, window: int, name: str = "median", value: str = "x", block: int = BLOCK) -> DataFrame:
     """Median of an odd window with the end values repeated."""
+    pad = (max(1, int(window)) + 1 - max(1, int(window)) % 2) // 2
+    return inner(smoothed(spread(df, pad, pad, block), window, name, value, BLOCKED), block)
+
+
+def smoothed(df: DataFrame, window: int, name: str, value: str, order: str = ORDER) -> DataFrame:
+    """The edge median in windows of `order`; a block's borders must hold half a window."""
     k = max(1, int(window))
     k += 1 - k % 2
     pad = k // 2
     reach = ", ".join(
-        f"coalesce({'lag' if d < 0 else 'lead'}({value}, {abs(d)}) OVER ({ORDER}), "
-        f"{'first' if d < 0 else 'last'}({value}) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+        f"coalesce({'lag' if d < 0 else 'lead'}({value}, {abs(d)}) OVER ({order}), "
+        f"{'first' if d < 0 else 'last'}({value}) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
         if d else value
         for d in range(-pad, pad + 1)
     )
@@ -102,7 +117,7 @@ def full_range(ranges: DataFrame) -> DataFrame:
 
 def as_arrays(df: DataFrame, *values: str) -> DataFrame:
     """One row per series with its values in order."""
-    fields = ", ".join(["idx", *values])
+    fields = ", ".join(["idx", *[v for v in values if v != "idx"]])
     packed = df.groupBy("series").agg(F.expr(f"array_sort(collect_list(struct({fields})))").alias("_p"))
     return packed.select("series", *[F.expr(f"transform(_p, p -> p.{v})").alias(v) for v in values])
 
@@ -279,60 +294,61 @@ def trimmed_trend(df: DataFrame, value: str = "x", rounds: int = 4) -> DataFrame
     return rows.withColumn("trend", last).drop("_n", "_sel", "_done", "_c", "_b", "_a", "_run", "_mad", "_new", "_k")
 
 
+#: Fixed values of the three corrections: what counts as far, and how far values are pulled.
+PULL_TO_GUIDE = "CASE WHEN abs(x - _g) > 24 OR (_top AND x - _g > 16) THEN 0.25D * x + 0.75D * _g ELSE x END"
+PULL_TO_LINE = "CASE WHEN abs(_c - _t) > 26 OR (_top AND _c - _t > 18) THEN 0.20D * _c + 0.80D * _t ELSE _c END"
+PULL_TO_TREND = (
+    "CASE WHEN x - _p > 26 OR abs(x - _g) > 34 OR (_top AND x - _p > 16) THEN 0.18D * x + 0.82D * _p "
+    "WHEN _p - x > 34 THEN 0.28D * x + 0.72D * _p ELSE x END"
+)
+PULL_WEAK = (
+    "CASE WHEN _q < 0.18D THEN _p WHEN _q < 0.35D AND abs(x - _p) > 8 THEN 0.10D * x + 0.90D * _p "
+    "WHEN _q < 0.52D AND _top AND x - _p > 6 THEN 0.18D * x + 0.82D * _p "
+    "WHEN _q < 0.52D AND abs(x - _p) > 11 THEN 0.24D * x + 0.76D * _p ELSE x END"
+)
+#: Which points are near the upper end, the radius of the wide guide, and the guide, for both guided corrections.
+TOP = "idx < greatest(6, cast(rint({0}D * _n) AS int))"
+GUIDES = {"stabilise": (4, "0.45D * _m + 0.55D * _w", 0.35), "curve": (5, "0.65D * _m + 0.35D * _w", 0.40)}
+ENOUGH_GOOD, TRUSTED = "_k >= greatest(8, cast(rint(0.45D * _n) AS int))", "CASE WHEN _h >= 6 THEN _q >= 0.55D WHEN _l >= 4 THEN _q >= 0.40D ELSE true END"
+WEAK_GUIDE, WEAK_TOP = "0.58D * (_a + _b * y) + 0.42D * _m", 0.45
+
+
+def guided(df: DataFrame, kind: str, order: str) -> DataFrame:
+    radius, blend, _ = GUIDES[kind]
+    return df.withColumns({"_m": near_median(2, "x", order), "_w": near_median(radius, "x", order)}).withColumn("_g", F.expr(blend)).drop("_m", "_w")
+
+
 def stabilise(df: DataFrame) -> DataFrame:
     """Blend outliers with a wide guide, then with the trend of the good points."""
-    rows = rolling_median(rolling_median(df, 2, "_m"), 4, "_w").withColumns(
-        {"_g": F.expr("0.45D * _m + 0.55D * _w"), "_n": F.expr(f"count(1) OVER ({SERIES})"), "_i": F.expr(f"row_number() OVER ({ORDER}) - 1")}
-    )
-    rows = rows.withColumn("_top", F.expr("_i < greatest(6, cast(rint(0.35D * _n) AS int))"))
-    rows = rows.withColumn("_c", F.expr("CASE WHEN abs(x - _g) > 24 OR (_top AND x - _g > 16) THEN 0.25D * x + 0.75D * _g ELSE x END"))
-    rows = rows.withColumn("_ok", F.expr("abs(_c - _g) <= 18"))
+    rows = guided(df, "stabilise", ORDER).withColumn("_n", F.expr(f"count(1) OVER ({SERIES})"))
+    rows = rows.withColumn("_top", F.expr(TOP.format(GUIDES["stabilise"][2]))).withColumn("_c", F.expr(PULL_TO_GUIDE)).withColumn("_ok", F.expr("abs(_c - _g) <= 18"))
     slope, start = line_fit("_c", "_ok")
     rows = rows.withColumns({"_k": F.expr(f"count_if(_ok) OVER ({SERIES})"), "_b": F.expr(slope), "_a": F.expr(start)})
-    rows = rows.withColumn("_t", F.expr("CASE WHEN _k >= greatest(8, cast(rint(0.45D * _n) AS int)) THEN _a + _b * y END"))
-    rows = rows.withColumn("_c", F.expr("CASE WHEN abs(_c - _t) > 26 OR (_top AND _c - _t > 18) THEN 0.20D * _c + 0.80D * _t ELSE _c END"))
-    rows = edge_median(rows, 3, "_s", "_c")
-    return rows.withColumn("stable", F.expr("CASE WHEN _n < 5 THEN x ELSE _s END")).drop("_m", "_w", "_g", "_n", "_i", "_top", "_c", "_ok", "_k", "_b", "_a", "_t", "_s")
+    rows = rows.withColumn("_t", F.expr(f"CASE WHEN {ENOUGH_GOOD} THEN _a + _b * y END")).withColumn("_c", F.expr(PULL_TO_LINE))
+    rows = smoothed(rows, 3, "_s", "_c")
+    return rows.withColumn("stable", F.expr("CASE WHEN _n < 5 THEN x ELSE _s END")).drop("_g", "_n", "_top", "_c", "_ok", "_k", "_b", "_a", "_t", "_s")
 
 
 def consistent_curve(df: DataFrame) -> DataFrame:
     """Pull points that leave the curve back to the trimmed trend of the guide."""
-    rows = rolling_median(rolling_median(df, 2, "_m"), 5, "_w").withColumns(
-        {"_g": F.expr("0.65D * _m + 0.35D * _w"), "_n": F.expr(f"count(1) OVER ({SERIES})"), "_i": F.expr(f"row_number() OVER ({ORDER}) - 1")}
-    )
-    rows = trimmed_trend(rows.withColumn("_keep", F.col("_n")), "_g").withColumn("_p", F.coalesce("trend", "_g"))
-    rows = rows.withColumn("_top", F.expr("_i < greatest(6, cast(rint(0.40D * _keep) AS int))"))
-    rows = rows.withColumn(
-        "_c",
-        F.expr(
-            "CASE WHEN x - _p > 26 OR abs(x - _g) > 34 OR (_top AND x - _p > 16) THEN 0.18D * x + 0.82D * _p "
-            "WHEN _p - x > 34 THEN 0.28D * x + 0.72D * _p ELSE x END"
-        ),
-    )
-    rows = edge_median(rows, 3, "_s", "_c")
-    return rows.withColumn("curve", F.expr("CASE WHEN _keep < 6 THEN x ELSE _s END")).drop("_m", "_w", "_g", "_i", "_keep", "trend", "_p", "_top", "_c", "_s")
+    rows = guided(df, "curve", ORDER).withColumn("_keep", F.expr(f"count(1) OVER ({SERIES})"))
+    rows = trimmed_trend(rows, "_g").withColumn("_p", F.coalesce("trend", "_g")).withColumnRenamed("_keep", "_n")
+    rows = rows.withColumn("_top", F.expr(TOP.format(GUIDES["curve"][2]))).withColumn("_c", F.expr(PULL_TO_TREND))
+    rows = smoothed(rows, 3, "_s", "_c")
+    return rows.withColumn("curve", F.expr("CASE WHEN _n < 6 THEN x ELSE _s END")).drop("_g", "_n", "trend", "_p", "_top", "_c", "_s")
 
 
 def repair_low_confidence(df: DataFrame) -> DataFrame:
     """Blend weak points with the trend of the confident ones and their neighbours."""
-    rows = rolling_median(df.withColumn("_q", F.expr("greatest(0D, least(1D, conf))")), 2, "_m").withColumns(
-        {"_n": F.expr(f"count(1) OVER ({SERIES})"), "_i": F.expr(f"row_number() OVER ({ORDER}) - 1"),
-         "_h": F.expr(f"count_if(_q >= 0.55D) OVER ({SERIES})"), "_l": F.expr(f"count_if(_q >= 0.40D) OVER ({SERIES})")}
+    rows = df.withColumn("_q", F.expr("greatest(0D, least(1D, conf))")).withColumn("_m", near_median(2)).withColumns(
+        {"_n": F.expr(f"count(1) OVER ({SERIES})"), "_h": F.expr(f"count_if(_q >= 0.55D) OVER ({SERIES})"), "_l": F.expr(f"count_if(_q >= 0.40D) OVER ({SERIES})")}
     )
-    rows = rows.withColumn("_use", F.expr("CASE WHEN _h >= 6 THEN _q >= 0.55D WHEN _l >= 4 THEN _q >= 0.40D ELSE true END"))
+    rows = rows.withColumn("_use", F.expr(TRUSTED))
     slope, start = line_fit("x", "_use")
-    rows = rows.withColumns({"_b": F.expr(slope), "_a": F.expr(start)}).withColumn("_p", F.expr("0.58D * (_a + _b * y) + 0.42D * _m"))
-    rows = rows.withColumn("_top", F.expr("_i < greatest(6, cast(rint(0.45D * _n) AS int))"))
-    rows = rows.withColumn(
-        "_c",
-        F.expr(
-            "CASE WHEN _q < 0.18D THEN _p WHEN _q < 0.35D AND abs(x - _p) > 8 THEN 0.10D * x + 0.90D * _p "
-            "WHEN _q < 0.52D AND _top AND x - _p > 6 THEN 0.18D * x + 0.82D * _p "
-            "WHEN _q < 0.52D AND abs(x - _p) > 11 THEN 0.24D * x + 0.76D * _p ELSE x END"
-        ),
-    )
-    rows = edge_median(rows, 3, "_s", "_c")
-    return rows.withColumn("repaired", F.expr("CASE WHEN _n < 6 THEN x ELSE _s END")).drop("_q", "_m", "_n", "_i", "_h", "_l", "_use", "_b", "_a", "_p", "_top", "_c", "_s")
+    rows = rows.withColumns({"_b": F.expr(slope), "_a": F.expr(start)}).withColumn("_p", F.expr(WEAK_GUIDE))
+    rows = rows.withColumn("_top", F.expr(TOP.format(WEAK_TOP))).withColumn("_c", F.expr(PULL_WEAK))
+    rows = smoothed(rows, 3, "_s", "_c")
+    return rows.withColumn("repaired", F.expr("CASE WHEN _n < 6 THEN x ELSE _s END")).drop("_q", "_m", "_n", "_h", "_l", "_use", "_b", "_a", "_p", "_top", "_c", "_s")
 
 
 # Edges ------------------------------------------------------------------------------------------
@@ -367,15 +383,15 @@ def separator_pick(df: DataFrame, wanted: int, separation: float, ratio: float =
     return chosen.select("series", F.expr(f"CASE WHEN size(s) = {wanted} THEN array_sort(s) ELSE cast(array() AS array<bigint>) END").alias("seps"))
 
 
-def threshold_crossing(df: DataFrame, body: float, dark: float) -> DataFrame:
+def threshold_crossing(df: DataFrame, body: float, dark: float, block: int = BLOCK) -> DataFrame:
     """First idx where the profile falls below the level with a supporting gradient ``neg``."""
     level = body - 0.35 * max(6.0, body - dark)
-    rows = df.withColumns(
-        {"n": F.expr(f"count(1) OVER ({SERIES})"), "l": F.expr(f"avg(x) OVER {around(6, -1)}"), "r": F.expr(f"avg(x) OVER {around(0, 4)}"),
-         "g": F.expr(f"max(neg) OVER {around(1, 1)}")}
-    )
-    test = f"idx >= 4 AND idx < n - 6 AND l >= {level + 3.0}D AND r <= {level}D AND g >= 0.06D"
-    return rows.groupBy("series").agg(F.expr(f"min(CASE WHEN {test} THEN idx END)").alias("crossing"))
+    ends = df.groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    rows = inner(spread(df, 6, 4, block).withColumns(
+        {"l": F.expr(f"avg(x) OVER {around(6, -1, BLOCKED)}"), "r": F.expr(f"avg(x) OVER {around(0, 4, BLOCKED)}"), "g": F.expr(f"max(neg) OVER {around(1, 1, BLOCKED)}")}
+    ), block)
+    hits = rows.filter(F.expr(f"idx >= 4 AND l >= {level + 3.0}D AND r <= {level}D AND g >= 0.06D")).groupBy("series").agg(F.min("idx").alias("crossing"))
+    return ends.join(hits, "series", "left").select("series", F.expr("CASE WHEN crossing < n - 6 THEN crossing END").alias("crossing"))
 
 
 def pull_back(df: DataFrame, body: float, dark: float) -> DataFrame:
@@ -390,6 +406,11 @@ def pull_back(df: DataFrame, body: float, dark: float) -> DataFrame:
     rows = df.withColumn("c", F.col("crossing").cast("int")).withColumns(
         {"_body": F.expr(part(-56, -26, body)), "_left": F.expr(part(-22, -6, body)), "_right": F.expr(part(4, 18, dark)), "_at": F.expr("rint(candidate)")}
     )
+    return pulled(rows, body)
+
+
+def pulled(rows: DataFrame, body: float) -> DataFrame:
+    """The rule itself, from medians left and right of the crossing c (`_body`, `_left`, `_right`)."""
     drop_, match = "greatest(0D, _left - _right)", f"greatest(0D, 1D - abs(_body - {body}D) / {max(16.0, 0.25 * body)}D)"
     return rows.withColumn(
         "pulled",

@@ -245,7 +245,7 @@ def detection_roi(spark, sf):
 
 
 @query("l4_calibration_profiles", """
-SELECT s_nationkey % 2 = 0 AS left_side, 'cal_' || s_suppkey AS profile_id, s_suppkey = max(s_suppkey) FILTER (WHERE s_acctbal > 5000) OVER (PARTITION BY s_nationkey % 2) AS is_current FROM supplier""")
+SELECT s_nationkey % 2 = 0 AS left_side, 'cal_' || s_suppkey AS profile_id, coalesce(s_suppkey = max(s_suppkey) FILTER (WHERE s_acctbal > 5000) OVER (PARTITION BY s_nationkey % 2), false) AS is_current FROM supplier""")
 def calibration_profiles(spark, sf):
     side = F.when(F.col("s_nationkey") % 2 == 0, "151").otherwise("152")
     rows = views.table(spark, sf, "supplier").select(side.alias("side"), F.concat(F.lit("cal_"), F.col("s_suppkey").cast("string")).alias("profile_id"), F.col("s_suppkey").alias("updated_at"), "s_acctbal")

@@ -164,7 +164,7 @@ def write_match_run(spark, sf):
     rows = P.order_match(P.active_order(P.by_run(views.items(spark, sf)))).select("run_id", "tube_number", "match_status", "id_151", "id_152")
     sinks.write_match_run(rows, path)
     sinks.write_match_run(rows.filter(views.run_number() % 2 == 0), path)
-    return spark.read.schema("tube_number int, match_status string, id_151 string, id_152 string, run_id string").parquet(path).select(*rows.columns)
+    return sinks.read_runs(spark, path, "tube_number int, match_status string, id_151 string, id_152 string, run_id string").select(*rows.columns)
 
 
 @query("a17_export_measurements", sql("v_items", """
@@ -175,7 +175,7 @@ def export_measurements(spark, sf):
     sinks.export_measurements(items, path)
     sinks.export_measurements(items.filter(views.run_number() % 3 == 0), path)
     item = "source_order:int,id:string,tube_idx:int,distance_in:double,relative_position:string,active:boolean,unmatched:boolean,notes:string"
-    stored = spark.read.schema(f"generated_at string, items array<struct<{item}>>, side string, run_id string").json(path)
+    stored = sinks.read_runs(spark, path, f"generated_at string, items array<struct<{item}>>, side string, run_id string", "json")
     return stored.select("side", "run_id", F.inline("items")).withColumn("distance_in", r6("distance_in"))
 
 
@@ -251,7 +251,7 @@ def capture_history(spark, sf):
 
 @query("e19_selection_history", sql("v_runs_log", """
 WITH r AS (SELECT *, 'raw/' || event_id AS image_path, event_id % 4 <> 1 AS present FROM v_runs_log)
-SELECT run_id AS selection_id, captured_at, image_path, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS source_rank FROM r WHERE present AND (event_id % 2 = 0 OR event_id % 3 = 0)
+SELECT run_id AS selection_id, captured_at, image_path, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS source_rank FROM r WHERE present
 UNION ALL SELECT 'artifact:' || run_id, captured_at, image_path, 2 FROM r WHERE present AND status = 'processed'"""))
 def selection_history(spark, sf):
     e = F.col("event_id")
@@ -259,7 +259,7 @@ def selection_history(spark, sf):
     captures = rows.withColumn("selection_id", F.col("run_id"))
     artifacts = rows.filter(F.col("status") == "processed").withColumn("selection_id", F.concat(F.lit("artifact:"), "run_id"))
     images = rows.filter(e % 4 != 1).select("image_path")
-    return C.selection_history([captures.filter(e % 2 == 0), captures.filter((e % 3 == 0) | (e % 10 == 0))], artifacts, images)
+    return C.selection_history([captures.filter(e % 2 == 0), captures], artifacts, images)
 
 
 @query("e23_timeline", sql("v_runs_log", """

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeline.operators import profiles as R
+from gaugeline.operators import series as S_
 from gaugeline.plans import views
 from gaugeline.plans.registry import mid, query, r6
 from gaugeline.plans.views import NEEDS, VIEWS, sql
+from gaugeline.session import cut_lineage
 
 VIEWS["v_line"] = "SELECT series, idx, value AS x, idx * 8.0::DOUBLE AS y, (idx * 37 % 100) / 100.0::DOUBLE AS conf FROM v_profile"
 NEEDS["v_line"] = ["v_profile"]
@@ -48,15 +50,10 @@ def spaced(test, distance):
      FROM (SELECT series, list(idx ORDER BY x DESC, idx) AS c FROM (SELECT *, {test} AS p FROM v_line {W}) WHERE p GROUP BY 1))"""
 
 
-def joined(column="peaks", name="peaks"):
-    return F.array_join(F.transform(column, lambda v: v.cast("string")), ",").alias(name)
-
-
 @query("d9_local_peaks", sql("v_line", f"""
-SELECT s.series, coalesce(array_to_string(list_sort(kept), ','), '') AS peaks FROM (SELECT DISTINCT series FROM v_line) s
-LEFT JOIN {spaced(PEAK.format('5.0'), 3)} p ON p.series = s.series"""))
+SELECT series, unnest(kept) AS peak FROM {spaced(PEAK.format('5.0'), 3)}"""))
 def local_peaks(spark, sf):
-    return R.local_peaks(line(spark, sf), 5.0, 3).select("series", joined())
+    return S_.local_peaks(line(spark, sf), 5.0, 3).select("series", F.col("p").alias("peak"))
 
 
 @query("d10_rolling_median", sql("v_line", f"""
@@ -98,15 +95,18 @@ t AS (SELECT a.series, k, r / (pw + 1e-9) AS r FROM a JOIN h ON h.series = a.ser
 SELECT c.series, CAST(k AS DOUBLE) AS period, round(r, 6) AS strength FROM c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY series ORDER BY r DESC, k) AS o FROM t) t
 ON t.series = c.series AND o = 1"""))
 def dominant_period(spark, sf):
-    return R.dominant_period(line(spark, sf), 0.05, 0.5).select("series", "period", r6("strength").alias("strength"))
+    return S_.dominant_period(line(spark, sf), 0.05, 0.5).select("series", "period", r6("strength").alias("strength"))
 
 
-def peak_rows(spark, sf):
-    """Peaks in pixels (eight per step) with a period, and the normalised profile."""
-    rows = line(spark, sf)
-    unit = R.as_arrays(R.minmax01(rows).select("series", "idx", F.col("unit").alias("x")), "x")
-    peaks = R.local_peaks(rows, 5.0, 2).withColumn("peaks", F.expr("transform(peaks, p -> p * 8)"))
-    return peaks.join(unit, "series").withColumn("period", F.coalesce(R.bounded_median_gap(), F.lit(22.0)))
+def peak_points(spark, sf):
+    """Peaks in pixels (eight per step)."""
+    return S_.local_peaks(line(spark, sf), 5.0, 2).select("series", (F.col("p") * 8).alias("p"))
+
+
+def periods(spark, sf, points):
+    """A period for every series, 22 where its peaks tell none."""
+    gaps = S_.bounded_median_gap(points)
+    return line(spark, sf).select("series").distinct().join(gaps, "series", "left").select("series", F.coalesce("gap", F.lit(22.0)).alias("period"))
 
 
 VIEWS["v_peaks"] = f"""
@@ -119,8 +119,7 @@ NEEDS["v_period"] = ["v_peaks"]
 
 @query("d16_bounded_median_gap", sql("v_period", "SELECT series, gap FROM v_period"))
 def bounded_median_gap(spark, sf):
-    rows = peak_rows(spark, sf).filter(F.size("peaks") > 0)
-    return rows.select("series", R.bounded_median_gap().alias("gap"))
+    return S_.bounded_median_gap(peak_points(spark, sf))
 
 
 MISSING = "(CAST(round_even((b[1] - acc[len(acc)]) / per, 0) AS BIGINT) - 1)"
@@ -131,9 +130,10 @@ f AS (SELECT *, list_reduce(list_transform(peaks, lambda v: [v]), lambda acc, b:
              CAST(round_even(acc[len(acc)] + (b[1] - acc[len(acc)]) / ({MISSING} + 1.0::DOUBLE) * j, 0) AS BIGINT)) ELSE [] END, b)) AS filled FROM p),
 d AS (SELECT series, peaks, list_reduce(list_transform(filled, lambda v: [v]), lambda acc, b:
         CASE WHEN b[1] - acc[len(acc)] >= greatest(10, CAST(round_even(0.55 * per, 0) AS INTEGER)) THEN list_concat(acc, b) ELSE acc END) AS kept FROM f)
-SELECT series, array_to_string(CASE WHEN len(peaks) >= 2 THEN kept ELSE peaks END, ',') AS peaks FROM d"""))
+SELECT series, unnest(CASE WHEN len(peaks) >= 2 THEN kept ELSE peaks END) AS peak FROM d"""))
 def fill_missing(spark, sf):
-    return R.fill_missing(peak_rows(spark, sf).filter(F.size("peaks") > 0)).select("series", joined())
+    points = cut_lineage(peak_points(spark, sf))
+    return S_.fill_missing(points, periods(spark, sf, points)).select("series", F.col("p").alias("peak"))
 
 
 SEPARATE = "greatest(10, CAST(round_even(0.55 * per, 0) AS INTEGER))"
@@ -155,9 +155,10 @@ VIEWS["v_run"] = f"""
 NEEDS.update({"v_stack": ["v_period"], "v_run": ["v_stack"]})
 
 
-@query("d14_best_periodic_run", sql("v_run", "SELECT series, array_to_string(run, ',') AS run, run_period FROM v_run"))
+@query("d14_best_periodic_run", sql("v_run", "SELECT series, unnest(run) AS p, run_period FROM v_run"))
 def best_periodic_run(spark, sf):
-    return R.best_periodic_run(peak_rows(spark, sf), 14, 34, 3).select("series", joined("run", "run"), "run_period")
+    runs, gaps = S_.best_periodic_run(peak_points(spark, sf), 14, 34, 3)
+    return runs.join(gaps, "series")
 
 
 @query("d14_bottom_cluster", sql("v_stack", """
@@ -166,15 +167,18 @@ s AS (SELECT *, CASE WHEN y - lag(y) OVER w BETWEEN lo AND greatest(lo + 1, CAST
 g AS (SELECT *, sum(o) OVER (PARTITION BY series ORDER BY i) AS k FROM s),
 c AS (SELECT series, k, count(*) AS n, min(y) AS y, min(i) AS i FROM g GROUP BY 1, 2 HAVING count(*) >= 3 AND min(y) >= 270),
 b AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY n DESC, y DESC) AS r FROM c)
-SELECT v.series, array_to_string(CASE WHEN b.i IS NULL THEN peaks ELSE peaks[b.i:len(peaks)] END, ',') AS cluster FROM v_stack v LEFT JOIN b ON b.series = v.series AND r = 1"""))
+SELECT v.series, unnest(CASE WHEN b.i IS NULL THEN peaks ELSE peaks[b.i:len(peaks)] END) AS p FROM v_stack v LEFT JOIN b ON b.series = v.series AND r = 1"""))
 def bottom_cluster(spark, sf):
-    return R.bottom_cluster(peak_rows(spark, sf), 600, 3).select("series", joined("cluster", "cluster"))
+    points = cut_lineage(peak_points(spark, sf))
+    return S_.bottom_cluster(points, periods(spark, sf, points), 600, 3)
 
 
 def stretched(spark, sf):
-    """Runs with the profile repeated per pixel, so that positions and profile agree."""
-    runs = R.best_periodic_run(peak_rows(spark, sf), 14, 34, 3)
-    return runs.withColumn("x", F.expr("flatten(transform(x, v -> array_repeat(v, 8)))"))
+    """Run, peaks, periods, and the normalised profile repeated per pixel, so that positions and profile agree."""
+    points = cut_lineage(peak_points(spark, sf))
+    unit = R.minmax01(line(spark, sf)).select("series", F.explode(F.sequence(F.col("idx") * 8, F.col("idx") * 8 + 7)).alias("idx"), F.col("unit").alias("x"))
+    runs, _ = S_.best_periodic_run(points, 14, 34, 3)
+    return runs, points, periods(spark, sf, points), unit
 
 
 SUPPORT = "greatest(0.16, s[CAST(floor(pos) AS INTEGER) // 8 + 1] + (pos - floor(pos)) * (s[CAST(ceil(pos) AS INTEGER) // 8 + 1] - s[CAST(floor(pos) AS INTEGER) // 8 + 1]))"
@@ -197,19 +201,20 @@ r AS (SELECT *, {SUPPORT} AS support FROM p),
 {stepped('g >= 0 AND g <= size - 1', f'coalesce({NEAR}, CASE WHEN u[g // 8 + 1] >= support THEN g END)', 'd * (t - old) >= sep')},
 j AS (SELECT r.series, sep, list_concat(list_concat((SELECT coalesce(list(pt ORDER BY k DESC), []) FROM walk w WHERE w.series = r.series AND d < 0 AND k > 0), run),
              (SELECT coalesce(list(pt ORDER BY k), []) FROM walk w WHERE w.series = r.series AND d > 0 AND k > 0)) AS a FROM r)
-SELECT series, coalesce(array_to_string(list_reduce(list_transform(a, lambda v: [v]), lambda acc, b: CASE WHEN b[1] - acc[len(acc)] >= sep THEN list_concat(acc, b) ELSE acc END), ','), '') AS extended FROM j WHERE len(a) > 0
-UNION ALL SELECT series, '' FROM j WHERE len(a) = 0""", recursive=True))
+SELECT series, unnest(list_reduce(list_transform(a, lambda v: [v]), lambda acc, b: CASE WHEN b[1] - acc[len(acc)] >= sep THEN list_concat(acc, b) ELSE acc END)) AS p FROM j WHERE len(a) > 0""", recursive=True))
 def extend_periodic(spark, sf):
-    return R.extend_periodic(stretched(spark, sf)).select("series", joined("extended", "extended"))
+    runs, points, gaps, unit = stretched(spark, sf)
+    return S_.extend_periodic(runs, points, gaps, unit)
 
 
 @query("d15_extend_supported", sql("v_run", f"""
 WITH r AS (SELECT series, run, per, u, 8 * n AS size, greatest(4, CAST(round_even(0.22 * per, 0) AS INTEGER)) AS half FROM v_run),
 {stepped('g >= 0 AND g < size', "CASE WHEN list_avg(list_transform(range(greatest(0, g - half), least(size - 1, g + half) + 1), lambda i: u[i // 8 + 1])) >= 0.12 THEN g END", 'k <= CASE WHEN d < 0 THEN 4 ELSE 2 END')}
-SELECT r.series, array_to_string(list_concat(list_concat((SELECT coalesce(list(pt ORDER BY k DESC), []) FROM walk w WHERE w.series = r.series AND d < 0 AND k > 0), run),
-       (SELECT coalesce(list(pt ORDER BY k), []) FROM walk w WHERE w.series = r.series AND d > 0 AND k > 0)), ',') AS extended FROM r""", recursive=True))
+SELECT r.series, unnest(list_concat(list_concat((SELECT coalesce(list(pt ORDER BY k DESC), []) FROM walk w WHERE w.series = r.series AND d < 0 AND k > 0), run),
+       (SELECT coalesce(list(pt ORDER BY k), []) FROM walk w WHERE w.series = r.series AND d > 0 AND k > 0))) AS p FROM r""", recursive=True))
 def extend_supported(spark, sf):
-    return R.extend_supported(stretched(spark, sf), 0.12).select("series", joined("extended", "extended"))
+    runs, _, gaps, unit = stretched(spark, sf)
+    return S_.extend_supported(runs, gaps, unit, 0.12)
 
 
 @query("d17_pair_bands", sql("v_peaks", """
@@ -217,7 +222,7 @@ WITH y AS (SELECT series, unnest(peaks) AS y FROM v_peaks), n AS (SELECT *, lead
 SELECT series, y, to_y, to_y - y AS distance, CASE WHEN to_y - y BETWEEN 16 AND 30 OR (y >= 200 AND to_y <= 320) THEN NULL
        WHEN to_y - y > 30 THEN 'alto' ELSE 'bajo' END AS reason FROM n WHERE to_y IS NOT NULL"""))
 def pair_bands(spark, sf):
-    seams = peak_rows(spark, sf).select("series", F.explode("peaks").alias("y"))
+    seams = peak_points(spark, sf).withColumnRenamed("p", "y")
     return R.pair_bands(seams, 16.0, 30.0, "y >= 200 AND to_y <= 320")
 
 
@@ -239,7 +244,7 @@ def trend_text(source: str, value: str) -> str:
 
 @query("d18_trimmed_trend", sql("v_line", f"WITH {trend_text('v_line', 'x')} SELECT series, idx, round(trend, 6) AS trend FROM trended"))
 def trimmed_trend(spark, sf):
-    return shown(R.trimmed_trend(line(spark, sf)), "trend")
+    return shown(S_.trimmed_trend(line(spark, sf)), "trend")
 
 
 def near(value: str, r: int) -> str:
@@ -261,7 +266,7 @@ t AS (SELECT *, CASE WHEN k >= greatest(8, CAST(round_even(0.45 * n, 0) AS INTEG
 d AS (SELECT series, idx, n, x, CASE WHEN abs(c - t) > 26 OR (top AND c - t > 18) THEN 0.2 * c + 0.8 * t ELSE c END AS v FROM t)
 SELECT series, idx, round(CASE WHEN n < 5 THEN x ELSE {smooth3('v')} END, 6) AS stable FROM d {W}"""))
 def stabilise(spark, sf):
-    return shown(R.stabilise(line(spark, sf)), "stable")
+    return shown(S_.stabilise(line(spark, sf)), "stable")
 
 
 @query("d19_consistent_curve", sql("v_line", f"""
@@ -272,7 +277,7 @@ p AS (SELECT *, coalesce(trend, g) AS p, idx < greatest(6, CAST(round_even(0.4 *
 d AS (SELECT series, idx, n, x, CASE WHEN x - p > 26 OR abs(x - g) > 34 OR (top AND x - p > 16) THEN 0.18 * x + 0.82 * p WHEN p - x > 34 THEN 0.28 * x + 0.72 * p ELSE x END AS v FROM p)
 SELECT series, idx, round(CASE WHEN n < 6 THEN x ELSE {smooth3('v')} END, 6) AS curve FROM d {W}"""))
 def consistent_curve(spark, sf):
-    return shown(R.consistent_curve(line(spark, sf)), "curve")
+    return shown(S_.consistent_curve(line(spark, sf)), "curve")
 
 
 @query("d19_repair_low_confidence", sql("v_line", f"""
@@ -284,7 +289,7 @@ d AS (SELECT series, idx, n, x, CASE WHEN conf < 0.18 THEN p WHEN conf < 0.35 AN
              WHEN conf < 0.52 AND abs(x - p) > 11 THEN 0.24 * x + 0.76 * p ELSE x END AS v FROM p)
 SELECT series, idx, round(CASE WHEN n < 6 THEN x ELSE {smooth3('v')} END, 6) AS repaired FROM d {W}"""))
 def repair_low_confidence(spark, sf):
-    return shown(R.repair_low_confidence(line(spark, sf)), "repaired")
+    return shown(S_.repair_low_confidence(line(spark, sf)), "repaired")
 
 
 @query("d20_edge_pick", sql("v_line", f"""
@@ -303,9 +308,9 @@ c AS (SELECT series, greatest(0.2 * max(x), quantile_cont(x, 0.7)) AS cut FROM v
 k AS (SELECT q.series, list(idx ORDER BY x DESC, idx DESC) AS c FROM q JOIN c USING (series) WHERE x >= cut AND x >= l AND x >= r
         AND idx >= greatest(2, CAST(round_even(0.18 * n, 0) AS INTEGER)) AND idx < n - greatest(2, CAST(round_even(0.18 * n, 0) AS INTEGER)) GROUP BY 1),
 f AS (SELECT series, list_reduce(list_transform(c, lambda v: [v]), lambda acc, b: CASE WHEN len(list_filter(acc, lambda k: abs(k - b[1]) < 4.0)) > 0 THEN acc ELSE list_concat(acc, b) END)[1:3] AS s FROM k)
-SELECT a.series, CASE WHEN len(s) = 3 THEN array_to_string(list_sort(s), ',') ELSE '' END AS seps FROM (SELECT DISTINCT series FROM v_line) a LEFT JOIN f ON f.series = a.series"""))
+SELECT series, unnest(s) AS p FROM f WHERE len(s) = 3"""))
 def separator_pick(spark, sf):
-    return R.separator_pick(line(spark, sf), 3, 4.0, 0.2).select("series", joined("seps", "seps"))
+    return S_.separator_pick(line(spark, sf), 3, 4.0, 0.2)
 
 
 VIEWS["v_crossing"] = f"""
@@ -338,8 +343,7 @@ def pull_back(spark, sf):
     rows = line(spark, sf).withColumn("neg", F.col("conf"))
     crossing = R.threshold_crossing(rows, 11.0, 5.0)
     candidate = rows.groupBy("series").agg(F.expr("cast(max(CASE WHEN x >= 8 THEN idx END) AS double)").alias("candidate"))
-    joined_rows = R.as_arrays(rows, "x").join(crossing, "series").join(candidate, "series")
-    return R.pull_back(joined_rows, 11.0, 5.0).select("series", "crossing", "candidate", r6("pulled").alias("pulled"))
+    return S_.pull_back(rows, crossing, candidate, 11.0, 5.0).select("series", "crossing", "candidate", r6("pulled").alias("pulled"))
 
 
 NEED = "greatest(1, CAST(round_even((1.0 - b[1].idx / greatest(1.0, e::DOUBLE)) * 2 + b[1].idx / greatest(1.0, e::DOUBLE) * 6, 0) AS INTEGER))"
@@ -350,18 +354,18 @@ WITH c AS (SELECT series, list({{'idx': idx, 'x': x}} ORDER BY idx) AS c FROM (S
 n AS (SELECT series, max(idx) AS e FROM v_line GROUP BY 1),
 f AS (SELECT series, list_reduce(list_transform(c, lambda v: [v]), lambda acc, b: CASE WHEN b[1].idx - acc[len(acc)].idx >= {NEED} THEN list_concat(acc, b)
         WHEN b[1].x > acc[len(acc)].x THEN list_concat(acc[1:len(acc) - 1], b) ELSE acc END) AS k FROM c JOIN n USING (series))
-SELECT series, coalesce(array_to_string(list_transform(k, lambda v: v.idx), ','), '') AS peaks FROM n LEFT JOIN f USING (series)"""))
+SELECT series, unnest(list_transform(k, lambda v: v.idx)) AS p FROM f"""))
 def progressive_peaks(spark, sf):
-    return R.progressive_peaks(line(spark, sf), 4.0, 2, 6).select("series", joined())
+    return S_.progressive_peaks(line(spark, sf), 4.0, 2, 6)
 
 
 @query("c17_combine_profiles", sql("v_profile", f"""
-WITH u AS (SELECT CAST(split_part(series, '.', 1) AS BIGINT) // 4 || '.' || split_part(series, '.', 2) AS series, idx,
+WITH u AS (SELECT (CAST(series AS BIGINT) // 4)::VARCHAR AS series, idx,
              greatest(1e-4, least(1.0, (value - min(value) OVER s) / ((max(value) OVER s - min(value) OVER s) + 1e-6))) AS x FROM v_profile WINDOW s AS (PARTITION BY series)),
 c AS (SELECT series, idx, 0.45 * {mid('list_sort(list(x))')} + 0.55 * exp(avg(ln(x))) AS x FROM u GROUP BY 1, 2)
 SELECT series, idx, round((x - min(x) OVER s) / ((max(x) OVER s - min(x) OVER s) + 1e-6), 6) AS x FROM c WINDOW s AS (PARTITION BY series)"""))
 def combine_profiles(spark, sf):
     strips = R.minmax01(line(spark, sf)).select(
-        F.expr("concat(cast(cast(split(series, '[.]')[0] AS bigint) div 4 AS string), '.', split(series, '[.]')[1])").alias("group"), "series", "idx", "unit"
+        F.expr("cast(cast(series AS bigint) div 4 AS string)").alias("group"), "series", "idx", "unit"
     )
     return shown(R.combine_profiles(strips.select(F.col("group").alias("series"), F.col("series").alias("strip"), "idx", F.col("unit").alias("x"))), "x")

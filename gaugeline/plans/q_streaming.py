@@ -50,34 +50,40 @@ def stream_hourly(spark, sf):
 
 
 @query("s4_stream_cadence", """
-WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 9 HOUR THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
-SELECT user_id::VARCHAR AS source, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS captures FROM s GROUP BY user_id, k
-HAVING max(ts) + INTERVAL 9 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+WITH w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events),
+g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 9 HOUR THEN 0 ELSE 1 END AS o, lead(ts) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, after, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+b AS (SELECT user_id, min(ts) AS first, max(ts) AS last, max(coalesce(after, TIMESTAMP '9999-01-01')) AS after, count(*) AS captures FROM s GROUP BY user_id, k),
+r AS (SELECT user_id, 'session' AS kind, first AS started, last AS ended, captures FROM b, w WHERE last + INTERVAL 9 HOUR <= mark
+  UNION ALL SELECT user_id, 'outage', last, NULL, NULL FROM b, w WHERE last + INTERVAL 9 HOUR <= mark UNION ALL SELECT user_id, 'outage', last, after, NULL FROM b, w WHERE after <= mark)
+SELECT user_id::VARCHAR AS source, kind, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended, captures FROM r""")
 def stream_cadence(spark, sf):
+    """Sessions and outages of every user, with six hours as the expected interval."""
     out = fresh_path(spark, "cadence")
     rows = status_stream(spark, sf).withColumnRenamed("run_id", "source")
-    streams.append_files(streams.stream_cadence(rows, 360), out, fresh_path(spark, "cp"))
-    stored = spark.read.schema("source string, started timestamp, ends timestamp, captures bigint").parquet(out)
-    return stored.select("source", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "captures")
+    streams.append_files(streams.stream_outages(rows, 360), out, fresh_path(spark, "cp"))
+    stored = spark.read.schema(streams.CADENCE).parquet(out)
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return stored.select("source", "kind", shown("started"), shown("ended"), "captures")
 
 
 @query("s5_stream_match", sql("v_rows", """
 SELECT run_id, tube_number, match_status, id_151, id_152, round(measurement_151, 6) AS measurement_151, round(measurement_152, 6) AS measurement_152, strategy FROM v_rows
 WHERE run_id IN (SELECT run_id FROM v_items GROUP BY 1 HAVING count(DISTINCT side) = 2)"""))
 def stream_match(spark, sf):
-    source, pending, out = (fresh_path(spark, n) for n in ("sets-in", "pending", "matches"))
+    source, out = (fresh_path(spark, n) for n in ("sets-in", "matches"))
     items = views.items(spark, sf)
     fields = [c for c in items.columns if c not in ("run_id", "side")]
     sets = items.groupBy("run_id", "side").agg(F.collect_list(F.struct(*fields)).alias("items")).join(views.datasets(spark, sf), ["run_id", "side"])
     # the sides arrive one after the other, the even runs' left side twice
     left, right = sets.filter("side = '151'"), sets.filter("side = '152'")
     checkpoint = fresh_path(spark, "cp")
-    for part in (left, left.filter(views.run_number() % 2 == 0), right):
-        part.write.mode("append").parquet(source)
+    body = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema.fields if f.name != "run_id")
+    for hour, part in enumerate((left, left.filter(views.run_number() % 2 == 0), right)):
+        part.withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour))).write.mode("append").parquet(source)
         # what has come since the last start is one batch, read by as many tasks as it has files
-        rows = spark.readStream.schema(sets.schema).parquet(source)
-        writer = rows.writeStream.foreachBatch(streams.match_batch(pending, out)).option("checkpointLocation", checkpoint)
+        rows = spark.readStream.schema(f"run_id string, arrived timestamp, {body}").parquet(source)
+        writer = streams.stream_pairs(rows).writeStream.foreachBatch(streams.match_pairs(out, body)).option("checkpointLocation", checkpoint)
         writer.trigger(availableNow=True).start().awaitTermination()
     stored = streams.latest_matches(spark, out)
     return stored.select(

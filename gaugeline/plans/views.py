@@ -2,7 +2,7 @@
 
 Sixteen neighbouring orders are one run, their line items its boxes, and the parity of the part tells the camera. An order
 has a handful of lines, so an image has a few dozen boxes at every size of the tables. A series is what one user did, as long
-as it is. The DuckDB text of `v_profile` still cuts it every 65,536 event numbers: the two agree on tables with fewer events.
+as it is.
 """
 
 from __future__ import annotations
@@ -93,11 +93,11 @@ def datasets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Value series: one per user. Names end in .0, as the DuckDB text has them where it cuts nothing."""
+    """Value series: one per user."""
     from pyspark.sql import Window
 
     events = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    named = events.withColumn("series", F.concat(F.col("user_id").cast("string"), F.lit(".0")))
+    named = events.withColumn("series", F.col("user_id").cast("string"))
     order = Window.partitionBy("series").orderBy("ts", "event_id")
     return named.select(
         "series", (F.row_number().over(order) - 1).cast("bigint").alias("idx"), F.col("value")
@@ -137,7 +137,7 @@ VIEWS: dict[str, str] = {
   FROM (SELECT run_id, side, CAST(run_id AS BIGINT) AS n, min(yc) AS lo, max(yc) AS hi FROM v_boxes GROUP BY ALL)""",
     "v_profile": """
   SELECT series, row_number() OVER (PARTITION BY series ORDER BY ts, event_id) - 1 AS idx, value
-  FROM (SELECT *, user_id::VARCHAR || '.' || (event_id // 65536)::VARCHAR AS series FROM events)""",
+  FROM (SELECT *, user_id::VARCHAR AS series FROM events)""",
     "v_gaps": """
   SELECT *, lead(yc) OVER (PARTITION BY img ORDER BY yc, box_id) - yc AS gap FROM v_boxes""",
 }

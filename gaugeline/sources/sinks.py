@@ -2,23 +2,78 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeline.session import cut_lineage
+
 
 def write_labels(texts: DataFrame, path: str) -> None:
     """Label texts of images, partitioned by camera."""
     texts.write.mode("overwrite").partitionBy("camera").parquet(path)
 
 
-def _replacing(df: DataFrame, *keys: str):
-    """A writer that replaces the partitions it has rows for and leaves the others."""
-    return df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+#: Folders of a table of runs; a table keeps the number it was first written with.
+BUCKETS = 64
+
+
+def bucket_of(run: str = "run_id", buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(run), F.lit(buckets)).cast("int")
+
+
+def _stored(like: DataFrame, path: str, form: str) -> DataFrame | None:
+    """What the table holds now, None before it is first written."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields)
+    try:
+        return like.sparkSession.read.schema(fields).format(form).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def replace_rows(rows: DataFrame, path: str, keys: list[str], form: str = "parquet", buckets: int = BUCKETS) -> None:
+    """Puts rows into a table of hashed buckets: what it held for their keys goes, all else stays.
+
+    The number of folders does not depend on the number of runs. Only touched buckets are read and written, and a bucket's rows
+    are sorted by key, so that one run is found by its bucket and the file's statistics.
+    """
+    new = cut_lineage(rows.withColumn("bucket", bucket_of("run_id", buckets)))
+    _rewrite(new, new.select("bucket", *keys).distinct(), path, keys, form)
+
+
+def remove_runs(runs: DataFrame, like: DataFrame, path: str, form: str = "parquet", buckets: int = BUCKETS) -> None:
+    """Takes runs (`run_id`) out of a table whose rows look like `like`."""
+    gone = runs.select("run_id").distinct().withColumn("bucket", bucket_of("run_id", buckets))
+    _rewrite(like.withColumn("bucket", F.lit(0)).limit(0), cut_lineage(gone), path, ["run_id"], form)
+
+
+def _rewrite(new: DataFrame, replaced: DataFrame, path: str, keys: list[str], form: str) -> None:
+    touched = [r["bucket"] for r in replaced.select("bucket").distinct().collect()]  # as many as there are buckets at most
+    before = _stored(new, path, form)
+    if before is None or not touched:
+        merged = new
+    else:
+        kept = before.where(F.col("bucket").isin(touched)).join(replaced, ["bucket", *keys], "left_anti").select(*new.columns)
+        # read to the end before its files are replaced; a bucket that is empty now keeps a file without rows
+        merged = cut_lineage(kept.unionByName(new))
+        emptied = set(touched) - {r["bucket"] for r in merged.select("bucket").distinct().collect()}
+        if emptied:
+            none = merged.sparkSession.createDataFrame([(b,) for b in sorted(emptied)], "bucket int")
+            merged = none.join(merged, "bucket", "left").select(*new.columns).unionByName(merged)
+    dealt = merged.repartition("bucket").sortWithinPartitions("bucket", *keys)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").format(form).save(path)
+
+
+def read_runs(spark, path: str, schema: str, form: str = "parquet") -> DataFrame:
+    """The rows of a table of runs."""
+    return spark.read.schema(f"{schema}, bucket int").format(form).load(path).where(F.col("run_id").isNotNull()).drop("bucket")
 
 
 def write_match_run(rows: DataFrame, path: str) -> None:
     """Match rows by run; a run that is written again replaces itself.  The latest run is a pointer, not a copy."""
-    _replacing(rows, "run_id").parquet(path)
+    replace_rows(rows, path, ["run_id"])
 
 
 def export_measurements(items: DataFrame, path: str) -> None:
@@ -27,7 +82,7 @@ def export_measurements(items: DataFrame, path: str) -> None:
     packed = items.groupBy("run_id", "side", "generated_at").agg(
         F.array_sort(F.collect_list(F.struct("source_order", *[f for f in fields if f != "source_order"]))).alias("items")
     )
-    _replacing(packed, "side", "run_id").json(path)
+    replace_rows(packed, path, ["run_id", "side"], "json")
 
 
 def write_height_report(boxes: DataFrame, path: str, bins: int = 12, z: float = 2.5, top: int = 30) -> None:

@@ -6,10 +6,12 @@ it.  Sinks are files keyed by the batch, so a batch that is replayed replaces it
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeline.functions import scalars as S
 from gaugeline.operators import matching
@@ -52,33 +54,103 @@ def stream_cadence(events: DataFrame, interval_minutes: int, delay: str = "10 mi
     return sessions.select("source", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("ends"), "captures")
 
 
-def match_batch(pending_root: str, result_root: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: match the runs whose two sides are complete, keep the others.
+CADENCE = "source string, kind string, started timestamp, ended timestamp, captures long"
 
-    Rows are whole data sets (run_id, side, header fields, items array).  A side that comes
-    again replaces the waiting one.  A matched run is matched again when both of its sides
-    come again; ``latest_matches`` takes the newest result of a run.  A batch is read once.
+
+def stream_outages(events: DataFrame, interval_minutes: int, delay: str = "10 minutes") -> DataFrame:
+    """Sessions and outages per source, by timers on event time.
+
+    Captures wait until the watermark has passed them, and are taken in order. When none has come for 1.5 intervals, the session
+    is emitted and an outage begins (`ended` null); the capture that ends it emits the outage once more, with its end. The state of
+    a source is its open session and the captures that still wait.
+    """
+    gap = int(interval_minutes * 90_000)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, captures, waiting = state.get if state.exists else (None, None, 0, [])
+        waiting = sorted([*waiting, *(int(t.value // 1_000_000) for rows in batches for t in rows["ts"])])
+        now, out = state.getCurrentWatermarkMs(), []
+        # a session without captures means that an outage is on since `last`
+        while waiting and waiting[0] <= now:
+            at = waiting.pop(0)
+            if last is not None and captures and at - last >= gap:
+                out += [("session", first, last, captures), ("outage", last, None, None)]
+                captures = 0
+            if last is not None and not captures:
+                out.append(("outage", last, at, None))
+            first, last, captures = (at if not captures else first), at, captures + 1
+        if captures and last + gap <= now:
+            out += [("session", first, last, captures), ("outage", last, None, None)]
+            captures = 0
+        state.update((first, last, captures, waiting))
+        due = [t for t in (waiting[0] if waiting else None, last + gap if captures else None) if t is not None]
+        if due:
+            state.setTimeoutTimestamp(max(min(due), now + 1))
+        time = lambda ms: None if ms is None else pd.Timestamp(ms, unit="ms")
+        yield pd.DataFrame(
+            [(key[0], kind, time(a), time(b), n) for kind, a, b, n in out], columns=["source", "kind", "started", "ended", "captures"]
+        ).astype({"started": "datetime64[ns]", "ended": "datetime64[ns]", "captures": "Int64"})
+
+    watched = events.withWatermark("ts", delay).select("source", "ts").groupBy("source")
+    return watched.applyInPandasWithState(follow, CADENCE, "first long, last long, captures long, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+PAIRED = "run_id string, left string, right string, expired boolean"
+
+
+def stream_pairs(sets: DataFrame, wait: str = "30 days", delay: str = "10 minutes") -> DataFrame:
+    """Both sides of a run once they have come, from data sets (run_id, side, arrived, ...) as JSON texts `left` and `right`.
+
+    A side waits in the state of its run; one that comes again replaces the waiting one. A complete pair is emitted once and its
+    state goes. A side that has waited for `wait` without the other is emitted alone, marked `expired`. The work of a batch
+    follows the batch: waiting sides are neither read nor written.
+    """
+    longest = int(pd.Timedelta(wait).total_seconds() * 1000)
+    whole = sets.select("run_id", "side", "arrived", F.to_json(F.struct(*[c for c in sets.columns if c not in ("run_id", "arrived")])).alias("body"))
+
+    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        left, right, since = state.get if state.exists else (None, None, 0)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], left, right, True))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("arrived", kind="stable")
+            for side, body, arrived in zip(rows["side"], rows["body"], rows["arrived"]):
+                left, right = (body, right) if side == "151" else (left, body)
+                since = max(since, int(arrived.value // 1_000_000))
+                if left is not None and right is not None:
+                    out.append((key[0], left, right, False))
+                    left = right = None
+                    since = 0
+            if left is None and right is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((left, right, since))
+                state.setTimeoutTimestamp(max(since + longest, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["run_id", "left", "right", "expired"])
+
+    return whole.withWatermark("arrived", delay).groupBy("run_id").applyInPandasWithState(
+        pair, PAIRED, "left string, right string, since long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def match_pairs(result_root: str, schema: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over `stream_pairs`: matches the pairs of a batch. `schema` is that of a side's JSON text.
+
+    Result files belong to a batch, so one that is replayed replaces itself. ``latest_matches`` takes the newest result of a run.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_age", F.lit(0))
-        if batch_id > 0:
-            before = spark.read.schema(batch.schema).parquet(f"{pending_root}/batch={batch_id - 1}")
-            rows = rows.unionByName(before.withColumn("_age", F.lit(1)))
-        newest = Window.partitionBy("run_id", "side").orderBy("_age")
-        both = Window.partitionBy("run_id")
-        known = rows.withColumn("_k", F.row_number().over(newest)).filter(F.col("_k") == 1)
-        known = known.withColumn("_sides", F.count(F.lit(1)).over(both)).persist()
+        sides = batch.where("NOT expired").select("run_id", F.explode(F.array("left", "right")).alias("body"))
+        sets = sides.select("run_id", F.from_json("body", schema).alias("s")).select("run_id", "s.*").persist()
         try:
-            fields = batch.columns
-            known.filter(F.col("_sides") < 2).select(*fields).write.mode("overwrite").parquet(f"{pending_root}/batch={batch_id}")
-            ready = known.filter(F.col("_sides") == 2).select(*fields)
-            items = ready.select("run_id", "side", F.explode("items").alias("i")).select("run_id", "side", "i.*")
-            matched, _ = matching.match_runs(items, ready.drop("items"))
+            items = sets.select("run_id", "side", F.explode("items").alias("i")).select("run_id", "side", "i.*")
+            matched, _ = matching.match_runs(items, sets.drop("items"))
             matched.write.mode("overwrite").parquet(f"{result_root}/batch={batch_id}")
         finally:
-            known.unpersist()
+            sets.unpersist()
 
     return run
 
