@@ -41,3 +41,11 @@ def id_back(column: str) -> Column:
 def held_out(doc_id: str = "doc_id") -> Column:
     """Documents whose labels no model learns from."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """The name, or a longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

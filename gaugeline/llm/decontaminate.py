@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm.common import id_back, id_key, letter_words
+from gaugeline.llm.common import free_name, id_back, id_key, letter_words
 
 WINDOW = 10
 BROADCAST_ROWS = 2_000_000
@@ -106,13 +106,14 @@ def remove_leaks(docs: DataFrame, items: DataFrame, how: str = "documents", doc_
     Texts without a hit stay as they are. A cut text is the rest of its words, as they were written, between single spaces.
     """
     leaks = find_leaks(docs, items, doc_id=doc_id, text=text, **options).where(F.size("spans") > 0)
-    mine, leaks = docs.alias("doc"), leaks.select(id_key("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key"), F.col("spans").alias("leak_spans"))
-    same = (id_key(f"doc.{doc_id}") == F.col("leak_id")) & (F.xxhash64(F.col(f"doc.{text}")) == F.col("leak_key"))
+    leak_id, leak_key, leak_spans = (free_name(docs.columns, n) for n in ("leak_id", "leak_key", "leak_spans"))
+    mine, leaks = docs.alias("doc"), leaks.select(id_key("doc_id").alias(leak_id), F.col("text_key").alias(leak_key), F.col("spans").alias(leak_spans))
+    same = (id_key(f"doc.{doc_id}") == F.col(leak_id)) & (F.xxhash64(F.col(f"doc.{text}")) == F.col(leak_key))
     if how == "documents":
         return mine.join(leaks, same, "left_anti")
     if how != "spans":
         raise ValueError("how is documents or spans")
     words = F.array_remove(F.split(F.col(f"doc.{text}"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
-    rest = F.filter(words, lambda _, i: ~F.exists("leak_spans", lambda s: (i >= s["start"]) & (i < s["end"])))
-    cut = F.when(F.col("leak_spans").isNull(), F.col(f"doc.{text}")).otherwise(F.array_join(rest, " ")).alias(text)
+    rest = F.filter(words, lambda _, i: ~F.exists(leak_spans, lambda s: (i >= s["start"]) & (i < s["end"])))
+    cut = F.when(F.col(leak_spans).isNull(), F.col(f"doc.{text}")).otherwise(F.array_join(rest, " ")).alias(text)
     return mine.join(leaks, same, "left").select(*[cut if c == text else F.col(f"doc.`{c}`") for c in docs.columns])

@@ -118,14 +118,20 @@ class Graph:
         return [i for _, i in self.search(q, found, width, 0)]
 
 
+#: Partitions per shard, so that hashed shards seldom share a task.
+SPREAD = 2
+
+
+def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """Rows `vec_id`, `vector` array<double> of the vectors that take part."""
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", fine) & F.exists("vector", lambda x: x != 0))
+
+
 def nodes(vectors: DataFrame, keep: int, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Distinct usable vectors as `vector` array<double>, each with its `keep` smallest ids."""
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = (
-        vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
-        .where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", fine) & F.exists("vector", lambda x: x != 0))
-        .dropDuplicates(["vector", "vec_id"])
-    )
+    rows = usable(vectors, vec_id, embedding).dropDuplicates(["vector", "vec_id"])
     place = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
     return rows.withColumn("place", place).where(F.col("place") <= keep).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
@@ -150,7 +156,9 @@ def build_index(vectors: DataFrame, keep: int, shard_size: int = SHARD_SIZE, lin
         }])
 
     schema = "dims int, shard int, entry int, ids binary, n_ids binary, exact binary, near binary, above binary, shards int"
-    return dealt.groupBy("dims", "shard").applyInPandas(build, schema)
+    # graphs are small in bytes and long in work: a counted number of partitions is not merged at run time
+    n_shards = counts.agg(F.coalesce(F.sum("shards"), F.lit(1))).first()[0]
+    return dealt.repartition(SPREAD * n_shards, "dims", "shard").groupBy("dims", "shard").applyInPandas(build, schema)
 
 
 def load(row: pd.Series, links: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +197,9 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, links: int = LINK
                 out += [(own, i, -s) for s, i in sorted(hits)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = spread.groupBy("dims", "shard", "block").cogroup(graphs.groupBy("dims", "shard", "block"))
+    tasks = SPREAD * n_blocks * max(1, index.count())
+    keyed = lambda rows: rows.repartition(tasks, "dims", "shard", "block").groupBy("dims", "shard", "block")
+    found = keyed(spread).cogroup(keyed(graphs))
     hits = found.applyInPandas(look_up, "query_id long, vec_id long, score double")
     best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

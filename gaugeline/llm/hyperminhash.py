@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.llm.arrowtext import LOWER, texts
-from gaugeline.llm.common import id_back, id_key
+from gaugeline.llm.common import free_name, id_back, id_key
 from gaugeline.llm.components import components
 from gaugeline.session import cut_lineage
 
@@ -279,5 +279,6 @@ def near_duplicates(
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` without those whose component holds a smaller id. Rows that share an id stay or go together."""
-    gone = near_duplicates(docs, doc_id=doc_id, **options).where(~F.col("kept")).select(id_key("doc_id").alias("gone_id")).distinct()
-    return docs.alias("doc").join(gone, id_key(f"doc.`{doc_id}`") == F.col("gone_id"), "left_anti")
+    gone_id = free_name(docs.columns, "gone_id")
+    gone = near_duplicates(docs, doc_id=doc_id, **options).where(~F.col("kept")).select(id_key("doc_id").alias(gone_id)).distinct()
+    return docs.alias("doc").join(gone, id_key(f"doc.`{doc_id}`") == F.col(gone_id), "left_anti")

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaugeline.session import cut_lineage
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLICE = 1024
 
@@ -54,7 +56,8 @@ def length_counts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABUL
 
 def length_table(counts: DataFrame) -> DataFrame:
     """Per length, taken as context limit: documents and tokens at or above it, and the total when texts are cut there."""
-    rows = counts.withColumn("slice", F.expr(f"n_tokens div {SLICE}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    # two branches read the histogram; the texts are encoded once
+    rows = cut_lineage(counts).withColumn("slice", F.expr(f"n_tokens div {SLICE}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     totals = rows.groupBy("slice").agg(F.sum("n_docs").alias("slice_docs"), F.sum("tokens").alias("slice_tokens"))
     later = W.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(1, W.unboundedFollowing)
     every = W.partitionBy(F.lit(0))

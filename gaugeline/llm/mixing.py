@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugeline.llm.common import PLAIN_WORD
-from gaugeline.session import cut_lineage
+from gaugeline.session import broadcast_if_small, cut_lineage
 
 WEIGHTS = (1.0, 2.0, 3.0)
 SLOPES = (0.5, 0.0, -0.5)
@@ -72,7 +72,7 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, slopes=SLOPES, most: float = MOS
     """Each row with its source's figures, `before` (words of its source in front of it) and `copies` it is placed."""
     goal = targets(sized, weights, slopes, most).withColumn("slices", F.greatest(F.lit(1), F.expr(f"cast(ceil(n_rows / {float(ROWS_PER_SLICE)}) as bigint)")))
     keyed = (
-        sized.withColumn("ord", order_key(seed)).alias("a").join(F.broadcast(goal).alias("b"), _same_source("a", "b"))
+        sized.withColumn("ord", order_key(seed)).alias("a").join(broadcast_if_small(goal).alias("b"), _same_source("a", "b"))
         .select("a.doc_id", "a.source", "a.size", "a.ord", "b.source_size", "b.slope", "b.target", "b.slices")
         # the first 15 hex digits as a fraction give slices in the order of the hash
         .withColumn("slice", F.least(F.floor(F.conv(F.substring("ord", 1, 13), 16, 10).cast("double") / F.lit(float(16**13)) * F.col("slices")), F.col("slices") - 1).cast("long"))

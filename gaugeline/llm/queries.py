@@ -150,12 +150,12 @@ NEAREST = 5
 
 @query("op8_nearest_neighbours")
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gaugeline.llm.hnsw import build_index, nodes, search_index
+    from gaugeline.llm.hnsw import build_index, search_index, usable
     from gaugeline.session import cut_lineage
 
     vectors = table(spark, sf_dir, "embeddings")
     index = cut_lineage(build_index(vectors, keep=NEAREST + 1))
-    asked = nodes(vectors.where(F.col("vec_id") % 50 == 0), keep=1 << 30).select(F.explode("ids").alias("query_id"), "vector")
+    asked = usable(vectors.where(F.col("vec_id") % 50 == 0)).dropDuplicates(["vec_id", "vector"]).withColumnRenamed("vec_id", "query_id")
     return search_index(index, cut_lineage(asked), NEAREST)
 
 
