@@ -6,10 +6,11 @@ may be long and are joined to facts by key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline import constants as K
+from gaugeline.session import cut_lineage
 
 CORNERS = ["tlx", "tly", "trx", "try", "blx", "bly", "brx", "bry"]
 MATRIX = ["h11", "h12", "h13", "h21", "h22", "h23", "h31", "h32", "h33"]
@@ -316,12 +317,72 @@ def detection_roi(rois: DataFrame) -> DataFrame:
     return rois.groupBy("cal_id").agg(F.max_by("id", rank).alias("roi_id"))
 
 
-def calibration_profiles(versions: DataFrame, pointers: DataFrame) -> DataFrame:
-    """Profiles of each side, newest first, with a marker on the current one."""
-    rows = versions.join(pointers.select("side", F.col("profile_id").alias("current")), "side", "left")
-    return rows.withColumn("is_current", F.coalesce(F.col("profile_id") == F.col("current"), F.lit(False))).drop("current").orderBy(
-        "side", F.col("updated_at").desc(), F.col("profile_id").desc()
+CURRENT = "current_default"
+
+
+def profile_versions(saves: DataFrame) -> DataFrame:
+    """Saves (side, profile_id, saved_at, content...) as versions: `valid_from`, and `valid_to` when the next save of the profile closed it."""
+    again = Window.partitionBy("side", "profile_id").orderBy("saved_at")
+    return saves.withColumn("valid_to", F.lead("saved_at").over(again)).withColumnRenamed("saved_at", "valid_from")
+
+
+def as_of(versions: DataFrame, at) -> DataFrame:
+    """The versions that hold at a time."""
+    return versions.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+
+
+def default_as_of(defaults: DataFrame, at) -> DataFrame:
+    """Per side the pointer set last up to a time: its `profile_id` and the content it was set to, which later saves leave alone."""
+    fields = [c for c in defaults.columns if c != "side"]
+    return defaults.where(F.col("set_at") <= at).groupBy("side").agg(F.max_by(F.struct(*fields), "set_at").alias("d")).select("side", "d.*")
+
+
+def resolve_profiles(versions: DataFrame, defaults: DataFrame, wanted: DataFrame, at) -> DataFrame:
+    """Rows (side, profile_id, ...) with the content they name at a time; null, blank and `current_default` name the side's default."""
+    content = [c for c in versions.columns if c not in ("side", "profile_id", "valid_from", "valid_to")]
+    named = wanted.withColumn("_id", F.nullif(F.trim(F.coalesce("profile_id", F.lit(""))), F.lit(""))).withColumn("_id", F.nullif("_id", F.lit(CURRENT)))
+    held = as_of(versions, at).select("side", F.col("profile_id").alias("_id"), F.struct(*content, F.col("valid_from").alias("updated_at")).alias("_v"))
+    pointed = default_as_of(defaults, at).select("side", F.struct(*content, "updated_at").alias("_d"))
+    found = named.join(held, ["side", "_id"], "left").join(pointed, "side", "left")
+    return found.withColumn("content", F.when(F.col("_id").isNull(), F.col("_d")).otherwise(F.col("_v"))).drop("_id", "_v", "_d").where(F.col("content").isNotNull())
+
+
+def set_defaults(versions: DataFrame, defaults: DataFrame, wanted: DataFrame, at) -> DataFrame:
+    """The pointers, with a new one per side of `wanted` (side, profile_id): a dated copy of what the profile is now."""
+    content = [c for c in defaults.columns if c not in ("side", "profile_id", "set_at")]
+    new = resolve_profiles(versions, defaults, wanted, at).select("side", F.coalesce(F.nullif(F.trim("profile_id"), F.lit("")), F.lit(CURRENT)).alias("profile_id"), F.lit(at).alias("set_at"), *[F.col(f"content.{c}").alias(c) for c in content])
+    return defaults.unionByName(new.select(*defaults.columns))
+
+
+def save_profiles(versions: DataFrame, defaults: DataFrame, requests: DataFrame, at) -> tuple[DataFrame, DataFrame]:
+    """Saves profiles derived from others at a time: the versions and pointers after it.
+
+    A request (side, seq, name, base_id, image_name, src_points, set_as_default) takes over its base's content but for image and
+    source points. The new id is made of side, time and cleaned name. A version of that id that was open is closed; of requests
+    with one id, and of those that set a side's default, the one with the largest seq counts. Requests whose base is unknown give nothing.
+    """
+    clean = F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), r"[^\p{L}\p{N}_-]", "_"), F.lit("_"))
+    stamp = F.date_format(F.lit(at), "yyyyMMdd_HHmmss")
+    made = F.concat(F.lit("cam"), F.col("side"), F.lit("_homography_"), stamp, F.when(clean != "", F.concat(F.lit("_"), clean)).otherwise(""))
+    based = resolve_profiles(versions, defaults, requests.withColumn("new_id", made).withColumnRenamed("base_id", "profile_id"), at)
+    kept = [c for c in versions.columns if c not in ("side", "profile_id", "valid_from", "valid_to", "image_name", "src_points")]
+    fields = F.struct("image_name", "src_points", *[F.col(f"content.{c}").alias(c) for c in kept])
+    new = cut_lineage(based.groupBy("side", "new_id").agg(F.max_by(fields, "seq").alias("v"), F.max("seq").alias("seq"), F.max(F.when(F.col("set_as_default"), F.col("seq"))).alias("default_seq")))
+    rows = new.select("side", F.col("new_id").alias("profile_id"), F.lit(at).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), "v.*")
+    closed = versions.join(new.select("side", F.col("new_id").alias("profile_id"), F.lit(True).alias("_again")), ["side", "profile_id"], "left")
+    ended = F.when(F.col("_again") & F.col("valid_to").isNull(), F.lit(at)).otherwise(F.col("valid_to"))
+    after = closed.withColumn("valid_to", ended).select(*versions.columns).unionByName(rows.select(*versions.columns))
+    chosen = new.where("default_seq IS NOT NULL").groupBy("side").agg(F.max_by("new_id", "default_seq").alias("profile_id"))
+    return after, set_defaults(after, defaults, chosen, at)
+
+
+def list_profiles(versions: DataFrame, defaults: DataFrame, at) -> DataFrame:
+    """Profiles of each side at a time with `updated_at`, `image_name` and `is_current`; the default itself is the row `current_default`."""
+    pointed = default_as_of(defaults, at)
+    rows = as_of(versions, at).join(pointed.select("side", F.col("profile_id").alias("_current")), "side", "left").select(
+        "side", "profile_id", F.col("valid_from").alias("updated_at"), "image_name", F.coalesce(F.col("profile_id") == F.col("_current"), F.lit(False)).alias("is_current")
     )
+    return rows.unionByName(pointed.select("side", F.lit(CURRENT).alias("profile_id"), "updated_at", "image_name", F.lit(True).alias("is_current")))
 
 
 def marker_positions(rows: DataFrame, items: DataFrame, homographies: DataFrame, width: int, height: int) -> DataFrame:

@@ -28,9 +28,10 @@ BLOCK = 1 << 14
 
 def split_by_length(df: DataFrame, most: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
     """Rows of the series with at most `most` rows, and of the longer ones (None if there are none)."""
-    long = cut_lineage(df.groupBy("series").count().where(F.col("count") > most).select("series"))
-    if long.isEmpty():
+    counts = df.groupBy("series").count()
+    if (counts.agg(F.max("count")).first()[0] or 0) <= most:
         return df, None
+    long = cut_lineage(counts.where(F.col("count") > most).select("series"))
     return df.join(long, "series", "left_anti"), df.join(long, "series", "left_semi")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from gaugeline.operators import calibration as A
@@ -244,13 +246,50 @@ def detection_roi(spark, sf):
     return A.detection_roi(rois(spark, sf))
 
 
-@query("l4_calibration_profiles", """
-SELECT s_nationkey % 2 = 0 AS left_side, 'cal_' || s_suppkey AS profile_id, coalesce(s_suppkey = max(s_suppkey) FILTER (WHERE s_acctbal > 5000) OVER (PARTITION BY s_nationkey % 2), false) AS is_current FROM supplier""")
+SAVED, SET, DERIVED = "2024-09-22 00:00:00", "2024-11-01 00:00:00", "2024-12-01 00:00:00"
+
+
+@query("l4_calibration_profiles", f"""
+WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_nationkey % 2 = 0 THEN '151' ELSE '152' END AS side, s_name, s_acctbal, TIMESTAMP '2024-01-01' + s_suppkey * INTERVAL 1 MINUTE AS t0, TIMESTAMP '{SAVED}' + s_suppkey * INTERVAL 1 MINUTE AS t1 FROM supplier),
+v AS (SELECT side, 'cal_' || k AS profile_id, t0 AS f, CASE WHEN k % 2 = 0 THEN t1 END AS t, 'img_' || k AS image_name, 'p' || k AS src_points, k AS rois FROM s
+  UNION ALL SELECT side, 'cal_' || k, t1, NULL, 'img_' || k || '_b', 'p' || k, k + 1 FROM s WHERE k % 2 = 0),
+d AS (SELECT v.*, TIMESTAMP '{SET}' AS set_at FROM v JOIN (SELECT side, 'cal_' || max(k) AS profile_id FROM s WHERE s_acctbal > 5000 GROUP BY 1) c USING (side, profile_id) WHERE f <= TIMESTAMP '{SET}' AND (t IS NULL OR t > TIMESTAMP '{SET}')),
+q AS (SELECT s.*, 'cam' || side || '_homography_20241201_000000_' || replace(s_name, '#', '_') AS id FROM s WHERE s_acctbal < 0),
+n AS (SELECT q.side, id AS profile_id, TIMESTAMP '{DERIVED}' AS f, NULL::TIMESTAMP AS t, 'new_' || k AS image_name, 'q' || k AS src_points, b.rois, k FROM q
+  JOIN (SELECT side, profile_id, rois FROM v WHERE t IS NULL UNION ALL SELECT side, NULL, rois FROM d) b ON b.side = q.side AND b.profile_id IS NOT DISTINCT FROM CASE WHEN k % 2 = 0 THEN 'cal_' || k END),
+d2 AS (SELECT n.side, n.profile_id, n.f, n.image_name FROM n JOIN (SELECT side, max(k) AS k FROM n WHERE k % 3 = 0 GROUP BY 1) c USING (side, k)),
+cur AS (SELECT 'before' AS as_of, side, profile_id, f, image_name FROM d
+  UNION ALL SELECT 'after', side, profile_id, f, image_name FROM d2 UNION ALL SELECT 'after', side, profile_id, f, image_name FROM d WHERE side NOT IN (SELECT side FROM d2)),
+listing AS (SELECT 'before' AS as_of, * FROM v WHERE f <= TIMESTAMP '{SET}' AND (t IS NULL OR t > TIMESTAMP '{SET}')
+  UNION ALL SELECT 'after', * FROM v WHERE t IS NULL UNION ALL SELECT 'after', * EXCLUDE (k) FROM n)
+SELECT r.as_of, r.side, r.profile_id, strftime(r.f, '%Y-%m-%d %H:%M:%S') AS updated_at, r.image_name, coalesce(r.profile_id = c.profile_id, false) AS is_current, r.rois
+FROM listing r LEFT JOIN cur c ON c.as_of = r.as_of AND c.side = r.side
+UNION ALL SELECT as_of, side, 'current_default', strftime(f, '%Y-%m-%d %H:%M:%S'), image_name, true, NULL FROM cur""")
 def calibration_profiles(spark, sf):
-    side = F.when(F.col("s_nationkey") % 2 == 0, "151").otherwise("152")
-    rows = views.table(spark, sf, "supplier").select(side.alias("side"), F.concat(F.lit("cal_"), F.col("s_suppkey").cast("string")).alias("profile_id"), F.col("s_suppkey").alias("updated_at"), "s_acctbal")
-    pointers = rows.filter(F.col("s_acctbal") > 5000).groupBy("side").agg(F.max_by("profile_id", "updated_at").alias("profile_id"))
-    return A.calibration_profiles(rows, pointers).select((F.col("side") == "151").alias("left_side"), "profile_id", "is_current")
+    """Every supplier saves a profile, the even ones again; a default is set; profiles are derived from others and from the default."""
+    k = F.col("s_suppkey")
+    side = F.when(F.col("s_nationkey") % 2 == 0, "151").otherwise("152").alias("side")
+    rows = views.table(spark, sf, "supplier")
+    text = lambda form: F.concat(F.lit(form), k.cast("string"))
+    at = lambda start: F.expr(f"timestamp_ntz'{start}' + make_dt_interval(0, 0, s_suppkey, 0)").alias("saved_at")
+    first = rows.select(side, text("cal_").alias("profile_id"), at("2024-01-01 00:00:00"), text("img_").alias("image_name"), text("p").alias("src_points"), k.cast("bigint").alias("rois"))
+    second = rows.filter(k % 2 == 0).select(side, text("cal_").alias("profile_id"), at(SAVED), F.concat(text("img_"), F.lit("_b")).alias("image_name"), text("p").alias("src_points"), (k + 1).cast("bigint").alias("rois"))
+    versions = A.profile_versions(first.unionByName(second))
+    when = lambda t: datetime.datetime.fromisoformat(t)
+    ntz = lambda t: F.lit(t).cast("timestamp_ntz")
+    none = versions.limit(0).select("side", "profile_id", F.col("valid_from").alias("set_at"), "image_name", "src_points", "rois", F.col("valid_from").alias("updated_at"))
+    chosen = rows.filter(F.col("s_acctbal") > 5000).groupBy(side).agg(F.max_by(text("cal_"), k).alias("profile_id"))
+    defaults = A.set_defaults(versions, none, chosen, ntz(when(SET)))
+    requests = rows.filter(F.col("s_acctbal") < 0).select(
+        side, k.alias("seq"), F.col("s_name").alias("name"), F.when(k % 2 == 0, text("cal_")).alias("base_id"), text("new_").alias("image_name"), text("q").alias("src_points"), (k % 3 == 0).alias("set_as_default")
+    )
+    after, pointers = A.save_profiles(versions, defaults, requests, ntz(when(DERIVED)))
+    content = after.select("side", "profile_id", F.col("valid_from").alias("updated_at"), "rois")
+
+    def listed(name, table, marks, t):
+        return A.list_profiles(table, marks, ntz(when(t))).join(content, ["side", "profile_id", "updated_at"], "left").select(F.lit(name).alias("as_of"), "side", "profile_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "image_name", "is_current", "rois")
+
+    return listed("before", versions, defaults, SET).unionByName(listed("after", after, pointers, DERIVED))
 
 
 @query("a6_load_calibrations", """
