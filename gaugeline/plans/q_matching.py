@@ -334,11 +334,12 @@ def viewer_positions(spark, sf):
 
 @query("e22_reconcile_edits", sql("v_items", """
 WITH i AS (SELECT * FROM v_items WHERE tube_idx % 9 <> 0), e AS (SELECT * FROM v_items WHERE tube_idx % 7 <> 0)
-SELECT run_id, side, id, CASE WHEN e.id IS NULL THEN i.active ELSE NOT e.active END AS active, coalesce(e.unmatched, i.unmatched) AS unmatched,
-       CASE WHEN e.tube_idx % 2 = 0 THEN 'moved' ELSE coalesce(i.notes, '') END AS notes,
-       CASE WHEN side = '152' THEN CASE WHEN e.tube_idx % 3 = 0 THEN 'after' ELSE coalesce(i.relative_position, 'after') END END AS relative_position,
-       CASE WHEN i.id IS NULL THEN 'unknown' WHEN e.id IS NULL THEN 'missing' WHEN e.tube_idx % 5 = 0 THEN 'repeated' END AS error
-FROM i FULL JOIN e USING (run_id, side, id)"""))
+SELECT i.run_id, i.side, i.id, CASE WHEN e.id IS NULL THEN i.active ELSE NOT e.active END AS active, coalesce(e.unmatched, i.unmatched) AS unmatched,
+       CASE WHEN e.tube_idx % 2 = 0 THEN 'moved' ELSE i.notes END AS notes,
+       CASE WHEN i.side = '152' THEN CASE WHEN e.tube_idx % 3 = 0 THEN 'after' ELSE coalesce(i.relative_position, 'after') END END AS relative_position,
+       CASE WHEN e.id IS NULL THEN 'missing' WHEN e.tube_idx % 5 = 0 THEN 'repeated' END AS error
+FROM i LEFT JOIN e ON e.id = i.id AND e.run_id = i.run_id AND e.side = i.side
+UNION ALL SELECT run_id, side, id, NOT active, unmatched, CASE WHEN tube_idx % 2 = 0 THEN 'moved' ELSE '' END, CASE WHEN side = '152' THEN 'after' END, 'unknown' FROM e WHERE tube_idx % 9 = 0"""))
 def reconcile_edits(spark, sf):
     every = views.items(spark, sf)
     t = F.col("tube_idx")
