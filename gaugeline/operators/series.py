@@ -297,7 +297,9 @@ def extend_supported(run: DataFrame, periods: DataFrame, profile: DataFrame, sup
     for first, steps in ((True, 4), (False, 2)):
         edge = held.groupBy("series").agg((F.min("p") if first else F.max("p")).alias("edge")).join(periods.where("period > 0D"), "series")
         width = F.ceil((steps + 1) * F.col("period")) + 4
-        seen = with_series(only(profile, many), edge.withColumn("width", width)).where(F.abs(F.col("idx") - F.col("edge")) <= F.col("width"))
+        seen = with_series(only(profile, many), edge.withColumn("width", width))
+        # the packed values begin at an even place, so that halves round as they do in the whole series
+        seen = seen.where((F.col("idx") >= 2 * F.floor((F.col("edge") - F.col("width")) / 2)) & (F.col("idx") <= F.col("edge") + F.col("width")))
         part = P.as_arrays(seen.select("series", "idx", "x"), "x", "idx").join(edge, "series").withColumn("off", F.get("idx", F.lit(0))).withColumn("run", F.array(F.col("edge") - F.col("off")))
         more = P.extend_supported(part, support).select("series", "edge", "off", F.explode("extended").alias("q")).select("series", "edge", (F.col("q") + F.col("off")).alias("p"))
         out = out.unionByName(more.where(F.col("p") < F.col("edge") if first else F.col("p") > F.col("edge")).select("series", "p"))
