@@ -8,7 +8,7 @@ partial aggregate with a bounded number of rows per group; values are neither sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeline.session import cut_lineage
@@ -19,21 +19,22 @@ SHIFTS = (42, 21, 0)
 FEW_GROUPS = 10_000
 
 
-def order_bits(value: Column) -> Column:
-    """A long that sorts like the double: the bits of its size, negated for negative values. Both zeros are 0; NaN comes last."""
-    size = F.abs(value)
-    power = lambda e: F.pow(F.lit(2.0), e)
-    near = F.greatest(F.floor(F.log2(F.when((size > 0) & (size < F.lit(float("inf"))), size))).cast("double"), F.lit(-1022.0))
-    # the logarithm may round to the next power
-    e = near + F.when(size / power(near) >= 2, 1.0).when((size / power(near) < 1) & (near > -1022), -1.0).otherwise(0.0)
-    high, unit = F.lit(2.0**52), F.lit(1 << 52)
-    normal = (e.cast("long") + 1023) * unit + ((size / power(e) - 1) * high).cast("long")
-    bits = (
-        F.when(size == 0, F.lit(0).cast("long"))
-        .when(F.isnan(size), F.lit((1 << 63) - 1)).when(size == float("inf"), F.lit(2047 << 52))
-        .when(size < 2.0**-1022, (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")).otherwise(normal)
-    )
-    return F.when((value < 0) & ~F.isnan(value), -bits).otherwise(bits)
+def with_order_bits(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds a long that sorts like the double: the bits of its size, negated for negative values. Both zeros are 0; NaN comes last.
+
+    The steps are columns of their own, so that each is computed once: a logarithm gives the exponent or a neighbour of it, and
+    the quotient by that power of two, which is exact, tells which and holds the mantissa.
+    """
+    v, size, ratio = F.col(value), F.col("_size"), F.col("_ratio")
+    proper = (size > 0) & (size < float("inf"))
+    near = F.least(F.greatest(F.floor(F.log2(F.when(proper, size))).cast("double"), F.lit(-1022.0)), F.lit(1023.0))
+    rows = df.withColumn("_size", F.abs(v)).withColumn("_near", near).withColumn("_ratio", F.when(proper, size / F.pow(F.lit(2.0), F.col("_near"))))
+    shift = F.when(ratio >= 2, 1).when((ratio < 1) & (F.col("_near") > -1022), -1).otherwise(0)
+    part = (F.when(shift == 1, ratio / 2).when(shift == -1, ratio * 2).otherwise(ratio) * F.lit(2.0**52)).cast("long")
+    # a mantissa of one and more counts an exponent itself; below the smallest normal double there is none
+    normal = (F.col("_near").cast("long") + shift + 1022) * F.lit(1 << 52) + part
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(F.isnan(size), F.lit((1 << 63) - 1)).when(size == float("inf"), F.lit(2047 << 52)).otherwise(normal)
+    return rows.withColumn("_bits_", bits).withColumn(name, F.when((v < 0) & ~F.isnan(v), -F.col("_bits_")).otherwise(F.col("_bits_"))).drop("_size", "_near", "_ratio", "_bits_")
 
 
 def exact_median(df: DataFrame, keys: list[str], name: str = "median", value: str = "v", weight: str | None = None, few: int = FEW_GROUPS) -> DataFrame:
@@ -53,7 +54,7 @@ def ranked_values(df: DataFrame, keys: list[str], share: float, value: str = "v"
     """The values on both sides of a share of the order: rows (keys, low, high, total)."""
     times = F.col(weight) if weight else F.lit(1)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), times.cast("long").alias("_times"))
-    rows = rows.withColumn("_bits", order_bits(F.col("_v")))
+    rows = with_order_bits(rows, "_v", "_bits")
     held, small, above, kept = None, False, 0, keys
     for shift in SHIFTS:
         inside = rows

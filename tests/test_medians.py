@@ -6,7 +6,7 @@ import statistics
 
 import pytest
 
-from gaugeline.functions.quantiles import exact_median, order_bits
+from gaugeline.functions.quantiles import exact_median, with_order_bits
 from pyspark.sql import functions as F
 
 
@@ -22,10 +22,10 @@ def wide(n, seed):
 
 def test_bits_keep_the_order(spark):
     values = sorted(set(wide(3000, 1) + [2.0**k for k in range(-1074, 1024, 3)] + [math.nextafter(2.0**k, 0) for k in range(-1020, 1024, 7)] + [-math.inf, math.inf]))
-    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", order_bits(F.col("v")).alias("b")).collect()
+    rows = spark.createDataFrame([(v,) for v in values], "v double").transform(with_order_bits, "v", "b").collect()
     bits = {r["v"]: r["b"] for r in rows}
     assert all(bits[a] < bits[b] for a, b in zip(values, values[1:]))
-    assert spark.createDataFrame([(0.0,), (-0.0,)], "v double").select(order_bits(F.col("v")).alias("b")).distinct().count() == 1
+    assert spark.createDataFrame([(0.0,), (-0.0,)], "v double").transform(with_order_bits, "v", "b").select("b").distinct().count() == 1
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 40, 999, 4000])
