@@ -54,7 +54,8 @@ def ranked_values(df: DataFrame, keys: list[str], share: float, value: str = "v"
     """The values on both sides of a share of the order: rows (keys, low, high, total)."""
     times = F.col(weight) if weight else F.lit(1)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), times.cast("long").alias("_times"))
-    rows = with_order_bits(rows, "_v", "_bits")
+    # written once: else the optimiser spells the bits out anew wherever a round compares them
+    rows = cut_lineage(with_order_bits(rows, "_v", "_bits"))
     held, small, above, kept = None, False, 0, keys
     for shift in SHIFTS:
         inside = rows
