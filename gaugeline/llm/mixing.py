@@ -2,13 +2,15 @@
 
 Each source has a weight schedule over training time t in [0, 1]: w(t) = w * (1 + slope * (2t - 1)), whose integral is w.
 Target tokens share the total by w, none above `most` times its source's size; the excess is shared again by weight.
-A source is read pass after pass in the order of a seeded hash, whole passes first, then as many documents as come nearest
-to the target. The cumulative demand of the schedule, D(t) = target * (t + slope * (t*t - t)), is inverted for the middle
-token of each placed copy and gives its training position. Documents are range-sorted by position.
+A source is read pass after pass in the order of a seeded hash. The integrated schedule is its cumulative demand,
+D(t) = target * (t + slope * (t*t - t)), and D(1) = target. The demand is inverted for the middle token of each copy: the time
+it gives is the copy's training position, and a copy whose middle the demand never reaches is not taken. Documents are
+range-sorted by position.
 
 Prefix sums run per (source, hash slice): slices are summed first, so that a source with a third of all rows is spread
 over many tasks. Null texts have size 0 and are never placed. A null source is a source, last in order. Rows that share an
-id are placed each for itself. An empty table gives an empty mix.
+id are placed each for itself, equal rows at positions of their own. An empty table gives an empty mix. Of the documents only
+id, text and source are read, so that extra columns of any name do no harm; a text of any length is one count of its words.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def _same_source(a: str, b: str) -> Column:
 
 
 def plan_mix(sized: DataFrame, weights=WEIGHTS, slopes=SLOPES, most: float = MOST, seed: int = 0) -> DataFrame:
-    """Each row with its source's figures, `before` (words of its source in front of it) and `copies` it is placed."""
+    """Each row with its source's figures and `before`, the words of its source in front of it in one pass."""
     goal = targets(sized, weights, slopes, most).withColumn("slices", F.greatest(F.lit(1), F.expr(f"cast(ceil(n_rows / {float(ROWS_PER_SLICE)}) as bigint)")))
     keyed = (
         sized.withColumn("ord", order_key(seed)).alias("a").join(broadcast_if_small(goal).alias("b"), _same_source("a", "b"))
@@ -81,15 +83,9 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, slopes=SLOPES, most: float = MOS
     starts = sums.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = W.partitionBy("source", "slice").orderBy("ord", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     laid = keyed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rest = F.col("target") - F.col("passes") * F.col("source_size")
     return (
         laid.alias("a").join(starts.alias("b"), _same_source("a", "b") & (F.col("a.slice") == F.col("b.slice")))
-        .select("a.*", (F.col("b.slice_start") + F.col("a.inner")).alias("before"))
-        .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
-        # a document joins the last pass if its middle lies before the end
-        .withColumn("copies", F.col("passes") + F.when((F.col("size") > 0) & (F.col("before") + F.col("size") / F.lit(2.0) <= rest), 1).otherwise(0))
-        .withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0))
-        .select("doc_id", "source", "size", "source_size", "target", "slope", "before", "copies")
+        .select(*[f"a.{c}" for c in ("doc_id", "source", "size", "source_size", "target", "slope")], (F.col("b.slice_start") + F.col("a.inner")).alias("before"))
     )
 
 
@@ -99,17 +95,23 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise(F.least(F.greatest(rising, F.lit(0.0)), F.lit(1.0)))
 
 
+def demand_times(target: Column, source_size: Column, slope: Column, before: Column, size: Column) -> Column:
+    """When the demand of a source reaches the middle of each copy of a document, one entry a pass; passes that it never reaches are left out."""
+    passes = F.ceil(target / source_size).cast("int")
+    share = lambda n: (n * source_size + (before + size / F.lit(2.0))) / target
+    times = F.transform(F.sequence(F.lit(0), passes - 1), lambda n: F.when(share(n) <= 1, position(share(n), slope)))
+    return F.when((size > 0) & (target > 0), F.filter(times, lambda t: t.isNotNull())).otherwise(F.array().cast("array<double>"))
+
+
 def schedule(planned: DataFrame, partitions: int | None = None) -> DataFrame:
     """Per document: `doc_id`, `source`, `size`, `source_size`, `target`, `taken`, and the `positions` of its copies.
 
     Rows are range-sorted by the first position; documents without a place come last.
     """
-    middle = F.col("before") + F.col("size") / F.lit(2.0)
-    numbers = F.when(F.col("copies") > 0, F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    at = F.transform(numbers, lambda n: position(F.least((n * F.col("source_size") + middle) / F.col("target"), F.lit(1.0)), F.col("slope")))
-    rows = planned.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), at.alias("positions"),
-        F.coalesce(F.get(at, F.lit(0)), F.lit(2.0)).alias("first"),
+    timed = planned.withColumn("positions", demand_times(*[F.col(c) for c in ("target", "source_size", "slope", "before", "size")]))
+    rows = timed.select(
+        "doc_id", "source", "size", "source_size", "target", (F.size("positions") * F.col("size")).cast("long").alias("taken"), "positions",
+        F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0)).alias("first"),
     )
     keys = ["first", "source", "doc_id"]
     return (rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys).drop("first")

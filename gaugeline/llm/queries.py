@@ -95,13 +95,16 @@ w as (select *, cast((place - 1) % 3 + 1 as double) as weight, source_size * 3.0
 r as (select *, lim / weight as ratio, sum(source_size) over () as total from w),
 l as (select *, (total - (sum(lim) over (order by ratio, source nulls last) - lim)) / sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as level from r),
 f as (select *, (select level from l where ratio >= level order by ratio, level limit 1) as found from l),
-t as (select source, source_size, case when found is null or ratio < found then lim else weight * found end as target from f),
-o as (select s.*, t.source_size, t.target,
+t as (select source, source_size, case place % 3 when 1 then 0.5::double when 2 then 0.0::double else -0.5::double end as slope,
+             case when found is null or ratio < found then lim else weight * found end as target from f),
+o as (select s.*, t.source_size, t.target, t.slope,
              coalesce(sum(size) over (partition by s.source order by md5('0:' || coalesce(cast(doc_id as varchar), '') || ':' || cast(size as varchar)), doc_id, size rows between unbounded preceding and 1 preceding), 0) as before
       from s join t on s.source is not distinct from t.source),
 p as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as passes from o)
 select doc_id, size, source_size, target,
-       cast(case when size = 0 then 0 else size * (passes + case when before + size / 2.0::double <= target - passes * source_size then 1 else 0 end) end as bigint) as taken
+       cast(case when size = 0 then 0 else size * (passes + case when before + size / 2.0::double <= target - passes * source_size then 1 else 0 end) end as bigint) as taken,
+       case when taken > 0 then round(case when slope = 0 then (before + size / 2.0::double) / target
+                 else (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * ((before + size / 2.0::double) / target))) / (2 * slope) end, 6) end as first_position
 from p
 """
 
@@ -110,7 +113,8 @@ from p
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gaugeline.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    first = F.round(F.get("positions", F.lit(0)), 6).alias("first_position")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", first)
 
 
 @query("op1_language_id")
