@@ -12,6 +12,7 @@ from gaugeline.plans.registry import query, r6
 from gaugeline.plans.views import NEEDS, VIEWS, sql
 from gaugeline.session import fresh_path
 from gaugeline.sources import scans, sinks
+from gaugeline.sources.annotation_files import write_files
 
 STATUS = {"error": "capture_failed", "click": "processed", "view": "ready_for_annotation", "purchase": "processed_with_warning", "signup": "processing_failed"}
 VIEWS["v_runs_log"] = f"""
@@ -125,11 +126,10 @@ def scan_boundaries(spark, sf):
     path = fresh_path(spark, "boundaries")
     points = F.transform(F.array_sort(F.collect_list(F.struct("yc", "x1"))), lambda p: F.array(p["x1"], p["yc"]))
     polygons = views.boxes(spark, sf).groupBy("img", "side").agg(points.alias("boundary"))
-    polygons.select(
-        F.when(F.col("side") == "152", "sam_full_image").otherwise("pipe_end_span").alias("source"), F.concat(F.lit("cam"), "side").alias("camera"),
-        F.lit(1280).alias("width"), F.lit(1536).alias("height"), "boundary",
-    ).write.partitionBy("source", "camera").json(path)
-    return scans.scan_boundaries(spark, path, whole_files=False).select("source", "camera", "width", "height", r6("top").alias("top"), r6("bottom").alias("bottom"))
+    source = F.when(F.col("side") == "152", "sam_full_image").otherwise("pipe_end_span")
+    text = F.to_json(F.struct(F.lit(1280).alias("width"), F.lit(1536).alias("height"), "boundary"), {"pretty": "true"})
+    write_files(spark, polygons.select(F.concat(source, F.lit("/cam"), "side", F.lit("/"), "img", F.lit(".json")).alias("rel_path"), text.alias("value")), path)
+    return scans.scan_boundaries(spark, path).select("source", "camera", "width", "height", r6("top").alias("top"), r6("bottom").alias("bottom"))
 
 
 METRIC = "metrics/mAP50-95(B)"

@@ -14,6 +14,7 @@ from gaugeline.plans.registry import query, r6
 from gaugeline.plans.views import NEEDS, VIEWS, sql
 from gaugeline.session import fresh_path
 from gaugeline.sources import scans, sinks
+from gaugeline.sources.annotation_files import write_files
 
 TASK = "pipe_end"
 VIEWS["v_images"] = """
@@ -55,17 +56,18 @@ def samples(spark, sf):
 
 
 @query("a1_scan_labels", sql("v_lines", """
-WITH f AS (SELECT side AS camera, string_split(value, ' ') AS f FROM v_lines)
-SELECT camera, f[2]::DOUBLE AS xn, f[3]::DOUBLE AS yn, f[4]::DOUBLE AS wn, f[5]::DOUBLE AS hn, f[6]::DOUBLE AS conf, round(greatest(0.0, f[2]::DOUBLE * 1280 - 0.5 * f[4]::DOUBLE * 1280), 6) AS x,
+WITH f AS (SELECT side AS camera, img, string_split(value, ' ') AS f FROM v_lines)
+SELECT camera, camera || '/' || img AS stem, f[2]::DOUBLE AS xn, f[3]::DOUBLE AS yn, f[4]::DOUBLE AS wn, f[5]::DOUBLE AS hn, f[6]::DOUBLE AS conf, round(greatest(0.0, f[2]::DOUBLE * 1280 - 0.5 * f[4]::DOUBLE * 1280), 6) AS x,
        round(greatest(0.0, f[5]::DOUBLE * 1536), 6) AS h FROM f WHERE len(f) IN (5, 6)"""))
 def scan_labels(spark, sf):
     path = fresh_path(spark, "labels")
-    label_lines(spark, sf).select(F.col("side").alias("camera"), "value").write.partitionBy("camera").text(path)
+    texts = label_lines(spark, sf).groupBy("side", "img").agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+    write_files(spark, texts.select(F.concat("side", F.lit("/"), "img", F.lit(".txt")).alias("rel_path"), "value"), path)
     parsed = scans.parse_labels(scans.scan_label_lines(spark, path))
     size = F.struct(F.lit(float(views.WIDTH)).alias("w"), F.lit(float(views.HEIGHT)).alias("h"))
     zero = lambda v: F.greatest(F.lit(0.0), v)
     return parsed.withColumn("s", size).select(
-        "camera", "xn", "yn", "wn", "hn", "conf", r6(zero(F.col("xn") * F.col("s.w") - 0.5 * F.col("wn") * F.col("s.w"))).alias("x"), r6(zero(F.col("hn") * F.col("s.h"))).alias("h")
+        "camera", "stem", "xn", "yn", "wn", "hn", "conf", r6(zero(F.col("xn") * F.col("s.w") - 0.5 * F.col("wn") * F.col("s.w"))).alias("x"), r6(zero(F.col("hn") * F.col("s.h"))).alias("h")
     )
 
 
@@ -93,12 +95,16 @@ def scan_image_flags(spark, sf):
     return scans.scan_image_flags(spark, path, whole_files=False)
 
 
-@query("a8_scan_images", "SELECT source AS camera, 'jpg' AS suffix, count(DISTINCT source) AS files FROM documents GROUP BY ALL")
+@query("a8_scan_images", sql("v_images", """
+SELECT i.camera, i.rel_path, CASE i.doc_id % 3 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' ELSE 'jpeg' END AS suffix, CAST(coalesce(strlen(text), 0) AS BIGINT) AS length
+FROM v_images i JOIN documents USING (doc_id)"""))
 def scan_images(spark, sf):
+    """One file per document, with another of a foreign suffix beside every fourth."""
     path = fresh_path(spark, "images")
-    rows = views.table(spark, sf, "documents").select("doc_id", F.col("source").alias("camera")).groupBy("camera").agg(F.sum("doc_id").alias("v"))
-    rows.repartition("camera").write.option("extension", "jpg").partitionBy("camera").csv(path)
-    return scans.scan_images(spark, path).groupBy("camera", "suffix").agg(F.count(F.lit(1)).alias("files"))
+    rows = images(spark, sf).join(views.table(spark, sf, "documents").select("doc_id", F.col("text").alias("value")), "doc_id")
+    notes = rows.filter(F.col("doc_id") % 4 == 0).select(F.concat("rel_path", F.lit(".md")).alias("rel_path"), F.lit("note").alias("value"))
+    write_files(spark, rows.select("rel_path", "value").unionByName(notes), path)
+    return scans.scan_images(spark, path).select("camera", "rel_path", "suffix", "length")
 
 
 @query("a9_parse_file_stamp", """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeline import constants as K
 from gaugeline.functions import scalars as S
+from gaugeline.sources.annotation_files import read_files
 
 
 def file_path() -> Column:
@@ -30,11 +31,11 @@ def relative(path: Column, root: str) -> Column:
 
 
 def scan_label_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Label lines with the camera directory and the relative stem of their file."""
-    rel = relative(F.col("path"), root)
-    lines = spark.read.option("recursiveFileLookup", "true").text(root).select("value", file_path().alias("path"))
-    camera = F.regexp_replace(F.split(rel, "/")[0], "^[a-z]+=", "")
-    return lines.select("value", camera.alias("camera"), F.regexp_replace(rel, r"\.txt$", "").alias("stem"))
+    """Label lines with the camera directory and the relative stem of their file.
+
+    Filters on ``camera`` leave the other cameras' files unopened.
+    """
+    return read_files(spark, root, "lines").select("value", "camera", F.regexp_replace("rel_path", r"\.txt$", "").alias("stem"))
 
 
 def parse_labels(lines: DataFrame, mode: str = "five_or_six") -> DataFrame:
@@ -210,19 +211,18 @@ def scan_image_flags(spark: SparkSession, root: str, whole_files: bool = True) -
 
 def scan_images(spark: SparkSession, root: str, suffixes: list[str] = K.IMAGE_SUFFIXES, camera: str | None = None) -> DataFrame:
     """Image files below the root: the listing only, file contents are not read."""
-    rel = relative(F.col("path"), root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    rows = files.select(
-        rel.alias("rel_path"), F.regexp_replace(F.split(rel, "/")[0], "^[a-z]+=", "").alias("camera"),
-        F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("suffix"), "length",
-    ).filter(F.col("suffix").isin(suffixes))
-    return rows if camera is None else rows.filter(F.col("camera") == camera)
+    files = read_files(spark, root, "listing").select("rel_path", "camera", "suffix", "length").filter(F.col("suffix").isin(suffixes))
+    return files if camera is None else files.filter(F.col("camera") == camera)
 
 
 def scan_boundaries(spark: SparkSession, root: str, whole_files: bool = True) -> DataFrame:
-    """Boundary polygons with source and camera from the path and their y bounds."""
-    rel = F.split(relative(F.col("path"), root), "/")
-    rows = scan_json(spark, root, BOUNDARY, whole_files).select("*", file_path().alias("path"), F.col("_metadata.file_modification_time").alias("mtime"))
+    """Boundary polygons with source and camera from the path and their y bounds.
+
+    Files hold one object each, or one in each line; content that cannot be read is skipped.
+    """
+    files = read_files(spark, root, "text" if whole_files else "lines")
+    rel = F.split("rel_path", "/")
+    rows = files.select("rel_path", F.col("modified").alias("mtime"), F.from_json("value", BOUNDARY).alias("b")).select("rel_path", "mtime", "b.*")
     ys = F.flatten(
         F.array(*[F.coalesce(F.transform(c, lambda p: F.get(p, F.lit(1))), F.array().cast("array<double>")) for c in ("mask_polygon", "boundary", "left_boundary", "right_boundary")])
     )
